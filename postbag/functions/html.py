@@ -1,12 +1,16 @@
-"""HTML to plain text as a chain of built-in column functions.
+"""HTML to plain text with built-in column functions.
 
 The text keeps what helps a reader of a mail (link targets, headings, list marks, emphasis, paragraphs) and
 drops what does not (head, scripts, styles, comments, images). Nothing is wrapped.
+
+Invisible parts and links are found by regular expressions. All other tags are handled in one pass: the text
+is split at ``<``, and each piece gives its tag for a mark.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -14,8 +18,8 @@ from pyspark.sql import functions as F
 
 from postbag.functions.text import let, trim
 
-# Stand for list marks until blanks are collapsed.
-_BULLET = "\x02"
+# Stands for list marks until blanks are collapsed.
+BULLET = "\x02"
 
 INVISIBLE = (
     r"(?is)<head\b.*?</head\s*>"
@@ -24,30 +28,37 @@ INVISIBLE = (
     r"|<!--.*?(?:-->|\z)"
 )
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>"""
-# In order: pattern and what stands for it. Blanks are collapsed before the first line break is put in.
-MARKS = (
-    (r"\s+", " "),
-    (r"(?i)<(?:b|strong)(?:\s[^>]*)?>|</(?:b|strong)\s*>", "**"),
-    (r"(?i)<(?:i|em)(?:\s[^>]*)?>|</(?:i|em)\s*>", "_"),
-    (r"(?i)<li\b[^>]*>", "\n" + _BULLET),
-    (r"(?i)<h1\b[^>]*>", "\n\n# "),
-    (r"(?i)<h2\b[^>]*>", "\n\n## "),
-    (r"(?i)<h3\b[^>]*>", "\n\n### "),
-    (r"(?i)<h[4-6]\b[^>]*>", "\n\n#### "),
-    (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
-    (r"(?i)<(?:br|tr)\b[^>]*>|</(?:tr|li)\s*>", "\n"),
-    (r"(?i)</t[dh]\s*>", " | "),
-    (r"(?i)</?(?:p|div|ul|ol|dl|table|blockquote|pre|h[1-6])\b[^>]*>", "\n\n"),
-    (r"(?s)<[a-zA-Z/!?][^>]*>", ""),
-)
+# Runs of blanks that are not a single space; single ones are left alone, there are so many.
+BLANKS = r" *[\t\n\f\r][ \t\n\f\r]*|  +"
+# What stands for a tag; any other tag is dropped.
+MARKS = {
+    "**": ("b", "/b", "strong", "/strong"),
+    "_": ("i", "/i", "em", "/em"),
+    "\n" + BULLET: ("li",),
+    **{"\n\n" + "#" * level + " ": (f"h{level}",) for level in range(1, 7)},
+    "\n\n* * *\n\n": ("hr",),
+    "\n": ("br", "tr", "/tr", "/li"),
+    " | ": ("/td", "/th"),
+    "\n\n": (
+        *("p", "/p", "div", "/div", "blockquote", "/blockquote", "pre", "/pre", "table", "/table"),
+        *("ul", "/ul", "ol", "/ol", "dl", "/dl"),
+        *(f"/h{level}" for level in range(1, 7)),
+    ),
+}
+# Spacing of the finished text: what shows that a step is needed, its pattern, what stands for a match.
 SPACING = (
-    ("\xa0", " "),
-    (" *\n *", "\n"),
-    ("  +", " "),
-    ("\n\n\n+", "\n\n"),
+    (("\xa0",), "\xa0", " "),
+    ((" \n", "\n "), " *\n *", "\n"),
+    (("  ",), "  +", " "),
+    (("\n\n\n",), "\n\n\n+", "\n\n"),
 )
 
 
+def _map(values: dict[str, str]) -> Column:
+    """A constant map, as one expression."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
 def _numeric(name: Column) -> Column:
     """Character of ``#233`` or ``#xe9``; NULL if there is no such character."""
     code = F.when(
@@ -64,10 +75,7 @@ def _numeric(name: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Replace character references in one pass, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``."""
-    named = F.from_json(
-        F.lit(json.dumps({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})),
-        "map<string,string>",
-    )
+    named = _map({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})
 
     def one(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
@@ -91,11 +99,38 @@ def decode_entities(c: Column) -> Column:
     )
 
 
+def _replace_tags(c: Column) -> Column:
+    marks = _map({name: mark for mark, names in MARKS.items() for name in names})
+
+    def one(piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, "^(/?[a-zA-Z][a-zA-Z0-9]*)", 1))
+        mark = F.coalesce(F.try_element_at(marks, name), F.lit(""))
+        end = F.instr(piece, ">")
+        return F.when(
+            (end > 0) & piece.rlike("^[a-zA-Z/!?]"), F.concat(mark, F.substr(piece, end + 1))
+        ).otherwise(F.concat(F.lit("<"), piece))
+
+    def all_of(pieces: Column) -> Column:
+        rest = F.slice(pieces, F.lit(2), F.size(pieces))
+        return F.concat(pieces[0], F.array_join(F.transform(rest, one), ""))
+
+    return let(F.split(c, "<"), all_of)
+
+
+def _where_needed(c: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """Replace in texts that hold one of the signs."""
+
+    def step(text: Column) -> Column:
+        needed = reduce(lambda x, y: x | y, [text.contains(sign) for sign in signs])
+        return F.when(needed, F.regexp_replace(text, pattern, to)).otherwise(text)
+
+    return let(c, step)
+
+
 def html_to_text(c: Column) -> Column:
-    text = F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), LINK, "[$2]($1)")
-    for pattern, mark in MARKS:
-        text = F.regexp_replace(text, pattern, mark)
-    text = decode_entities(text)
-    for pattern, mark in SPACING:
-        text = F.regexp_replace(text, pattern, mark)
-    return F.replace(trim(text), F.lit(_BULLET), F.lit("  * "))
+    visible = F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), LINK, "[$2]($1)")
+    marked = _replace_tags(F.regexp_replace(visible, BLANKS, " "))
+    spaced = decode_entities(marked)
+    for signs, pattern, to in SPACING:
+        spaced = _where_needed(spaced, signs, pattern, to)
+    return F.replace(trim(spaced), F.lit(BULLET), F.lit("  * "))

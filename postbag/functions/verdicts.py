@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,33 @@ EMPTY_ANSWERS = (
     r"^\s*none\s*$",
 )
 SHORTEST_ANSWER = 10
-EMPTY_ANSWER = "(?is)(?:" + "|".join(EMPTY_ANSWERS) + ")"
+
+
+def _in_order(text: Column, words: list[str], start: int | Column = 1) -> Column:
+    """The words occur one after the other. Each is taken where it first comes, so one walk decides, where a
+    regular expression would try all combinations."""
+    word, *others = words
+    at = F.position(F.lit(word), text, F.lit(start) if isinstance(start, int) else start)
+    if not others:
+        return at > 0
+    return let(at, lambda p: (p > 0) & _in_order(text, others, p + len(word)))
+
+
+def _says(text: Column, pattern: str) -> Column:
+    """The pattern matches. Those that only ask for words in order need no regular expression."""
+    middle = pattern.removeprefix("^.*").removesuffix(".*$")
+    if len(middle) == len(pattern) - 6:
+        return _in_order(text, middle.split(".*"))
+    return text.rlike(f"(?is){pattern}")
 
 
 def is_empty_answer(content: Column) -> Column:
     """True for a missing, very short or "nothing found" answer."""
     return let(
         F.lower(trim(F.coalesce(content, F.lit("")))),
-        lambda said: (F.length(said) < SHORTEST_ANSWER) | said.rlike(EMPTY_ANSWER),
+        lambda said: reduce(
+            lambda a, b: a | b,
+            [_says(said, pattern) for pattern in EMPTY_ANSWERS],
+            F.length(said) < SHORTEST_ANSWER,
+        ),
     )

@@ -35,7 +35,11 @@ def with_order(messages: DataFrame, mailboxes: list[str], folders: list[str]) ->
 
 def date_us(date_local: Column) -> Column:
     """Wall clock as a number that sorts; messages without a date come first."""
-    return F.coalesce(F.unix_micros(date_local.cast("timestamp")), F.lit(-(2**63) + 1))
+    days = F.unix_date(F.to_date(date_local)).cast("long")
+    minutes = (days * 24 + F.hour(date_local)) * 60 + F.minute(date_local)
+    seconds = F.extract(F.lit("SECOND"), date_local)
+    micros = minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
+    return F.coalesce(micros, F.lit(-(2**63) + 1))
 
 
 def running_sums(
@@ -44,7 +48,8 @@ def running_sums(
     """Add ``before``, the sum of ``cost`` over the rows that come earlier, and ``slot``, the range.
 
     With ``within`` each group sums for itself; the order must begin with those columns. Give it only the
-    columns it needs: the rows are written once, to fix which range each is in.
+    columns it needs: the rows are written before they are sampled for ranges, so that whatever computes them
+    runs once, and again after, to fix which range each is in.
     """
     if order[: len(within)] != within:
         raise ValueError("the order has to begin with the group columns")
@@ -52,7 +57,8 @@ def running_sums(
     # are. It is the session's number of shuffle partitions, which a job sets by the size of its data.
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = pin(
-        rows.repartitionByRange(count, *order).withColumn("slot", F.spark_partition_id()), "ranges"
+        pin(rows, "keys").repartitionByRange(count, *order).withColumn("slot", F.spark_partition_id()),
+        "ranges",
     )
     local = Window.partitionBy("slot", *within).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1

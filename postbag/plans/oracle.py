@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from postbag.functions.chunks import TOKEN, chunk_pattern
-from postbag.functions.html import INVISIBLE, LINK, MARKS, SPACING
+from postbag.functions.chunks import chunk_pattern
+from postbag.functions.html import BLANKS, INVISIBLE, LINK, MARKS, SPACING
 from postbag.functions.replies import (
     LANGUAGES,
     SIGNATURE,
@@ -45,11 +45,13 @@ def trim(c: str) -> str:
 
 def html_text(c: str) -> str:
     out = replace_all(replace_all(c, INVISIBLE, ""), LINK, "[$2]($1)")
-    for pattern, to in MARKS:
-        out = replace_all(out, pattern, to)
+    out = replace_all(out, BLANKS, " ")
+    for mark, names in MARKS.items():
+        out = replace_all(out, f"(?i)<(?:{'|'.join(names)})\\b[^>]*>", mark)
+    out = replace_all(out, "<[a-zA-Z/!?][^>]*>", "")
     for entity, char in ENTITIES:
         out = f"replace({out}, {text(entity)}, {text(char)})"
-    for pattern, to in SPACING:
+    for _, pattern, to in SPACING:
         out = replace_all(out, pattern, to)
     return f"replace({trim(out)}, chr(2), '  * ')"
 
@@ -359,7 +361,7 @@ FROM (SELECT item_id, content, unnest(range((length(content) + {CHUNK - 1}) // {
     ),
     "token_estimates": over_cleaned(
         f"""SELECT mailbox, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS largest
-FROM (SELECT mailbox, len(regexp_extract_all(content, {text(TOKEN)})) AS tokens FROM cleaned) GROUP BY mailbox"""
+FROM (SELECT mailbox, len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9_\\s]')) AS tokens FROM cleaned) GROUP BY mailbox"""
     ),
     "token_counts": "SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS tokens FROM documents",
     "infer_stub": asked(RESPONSES),
