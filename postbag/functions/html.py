@@ -75,7 +75,9 @@ def _numeric(name: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Replace character references in one pass, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``."""
-    named = _map({name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"})
+    # Looked up from the front: the usual ones come first.
+    usual = {name: chr(name2codepoint[name]) for name in ("amp", "nbsp", "quot", "lt", "gt")} | {"apos": "'"}
+    named = _map(usual | {name: chr(code) for name, code in name2codepoint.items()})
 
     def one(piece: Column) -> Column:
         name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)

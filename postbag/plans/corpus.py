@@ -7,86 +7,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from postbag.schema import MESSAGE
 
 MAILBOXES = ["conv", "docs", "web"]
 FOLDERS = ["INBOX", "sent"]
-START = "2024-01-01 00:00:00"
+# Given, so that no job has to look at the files to find them.
+COLUMNS = {
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _after_start(hours: Column, minutes: Column) -> Column:
-    start = F.lit(START).cast("timestamp_ntz")
-    return start + F.make_dt_interval(F.lit(0), hours.cast("int"), minutes.cast("int"), F.lit(0))
+def _after_start(hours: str, minutes: str) -> str:
+    return f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, int({hours}), int({minutes}), 0)"
 
 
 def conv_messages(turns: DataFrame) -> DataFrame:
-    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
-    sender = F.concat(F.initcap("role"), F.lit(" <"), F.col("role"), F.lit("@example.com>"))
-    quote = F.concat(
-        F.lit("\n\nOn Mon, Jan 1, 2024, "),
-        sender,
-        F.lit(" wrote:\n> "),
-        F.replace("text", F.lit("\n"), F.lit("\n> ")),
-    )
-    return turns.select(
-        F.lit("conv").alias("mailbox"),
-        F.when(F.col("role") == "assistant", "sent").otherwise("INBOX").alias("folder"),
-        F.concat(F.lit("c-"), conv, F.lit("-"), turn).alias("uid"),
-        F.concat(F.lit("t-"), conv).alias("thread_id"),
-        F.concat(F.lit("Re: Gespräch №"), conv, F.lit(" [turn "), turn, F.lit("!]")).alias("subject"),
-        sender.alias("sender"),
-        F.array(
-            F.lit("me@example.com"),
-            F.concat(F.lit("Team"), (F.col("conv_id") % 7).cast("string"), F.lit("@example.com")),
-        ).alias("recipients"),
-        _after_start(F.col("conv_id"), F.col("turn")).alias("date_local"),
-        F.lit(None).cast("int").alias("date_offset_min"),
-        F.when(F.col("turn") > 0, F.concat("text", quote)).otherwise(F.col("text")).alias("text"),
-        F.lit(None).cast("string").alias("html"),
-        F.lit(None).cast("array<string>").alias("labels"),
+    sender = "concat(initcap(role), ' <', role, '@example.com>')"
+    quote = rf"concat('\n\nOn Mon, Jan 1, 2024, ', {sender}, ' wrote:\n> ', replace(text, '\n', '\n> '))"
+    return turns.selectExpr(
+        "'conv' AS mailbox",
+        "if(role = 'assistant', 'sent', 'INBOX') AS folder",
+        "concat('c-', conv_id, '-', turn) AS uid",
+        "concat('t-', conv_id) AS thread_id",
+        "concat('Re: Gespräch №', conv_id, ' [turn ', turn, '!]') AS subject",
+        f"{sender} AS sender",
+        "array('me@example.com', concat('Team', conv_id % 7, '@example.com')) AS recipients",
+        f"{_after_start('conv_id', 'turn')} AS date_local",
+        "CAST(NULL AS INT) AS date_offset_min",
+        f"if(turn > 0, concat(text, {quote}), text) AS text",
+        "CAST(NULL AS STRING) AS html",
+        "CAST(NULL AS ARRAY<STRING>) AS labels",
     )
 
 
 def docs_messages(documents: DataFrame) -> DataFrame:
-    doc = F.col("doc_id").cast("string")
-    return documents.select(
-        F.lit("docs").alias("mailbox"),
-        F.lit("INBOX").alias("folder"),
-        F.concat(F.lit("d-"), doc).alias("uid"),
-        F.lit(None).cast("string").alias("thread_id"),
-        F.concat("lang", F.lit(" report from "), "source", F.lit(", no. 1,"), doc).alias("subject"),
-        F.concat("source", F.lit("@example.com")).alias("sender"),
-        F.array(F.concat("lang", F.lit("@lists.example.com"))).alias("recipients"),
-        _after_start(F.lit(0), F.col("doc_id")).alias("date_local"),
-        F.lit(120).alias("date_offset_min"),
-        F.concat("text", F.lit("\n-- \n"), "source", F.lit(" desk")).alias("text"),
-        F.lit(None).cast("string").alias("html"),
-        F.array(F.lit("INBOX"), F.lit("Unread")).alias("labels"),
+    return documents.selectExpr(
+        "'docs' AS mailbox",
+        "'INBOX' AS folder",
+        "concat('d-', doc_id) AS uid",
+        "CAST(NULL AS STRING) AS thread_id",
+        "concat(lang, ' report from ', source, ', no. 1,', doc_id) AS subject",
+        "concat(source, '@example.com') AS sender",
+        "array(concat(lang, '@lists.example.com')) AS recipients",
+        f"{_after_start('0', 'doc_id')} AS date_local",
+        "120 AS date_offset_min",
+        r"concat(text, '\n-- \n', source, ' desk') AS text",
+        "CAST(NULL AS STRING) AS html",
+        "array('INBOX', 'Unread') AS labels",
     )
 
 
 def web_messages(pages: DataFrame) -> DataFrame:
-    page = F.col("page_id").cast("string")
-    return pages.select(
-        F.lit("web").alias("mailbox"),
-        F.lit("INBOX").alias("folder"),
-        F.concat(F.lit("p-"), page).alias("uid"),
-        F.lit("").alias("thread_id"),
-        F.col("url").alias("subject"),
-        F.concat(F.lit("web@"), F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("sender"),
-        F.array().cast("array<string>").alias("recipients"),
-        _after_start(F.lit(0), F.col("page_id")).alias("date_local"),
-        F.lit(-330).alias("date_offset_min"),
-        F.lit(None).cast("string").alias("text"),
-        F.col("html").alias("html"),
-        F.lit(None).cast("array<string>").alias("labels"),
+    return pages.selectExpr(
+        "'web' AS mailbox",
+        "'INBOX' AS folder",
+        "concat('p-', page_id) AS uid",
+        "'' AS thread_id",
+        "url AS subject",
+        "concat('web@', regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS sender",
+        "CAST(array() AS ARRAY<STRING>) AS recipients",
+        f"{_after_start('0', 'page_id')} AS date_local",
+        "-330 AS date_offset_min",
+        "CAST(NULL AS STRING) AS text",
+        "html",
+        "CAST(NULL AS ARRAY<STRING>) AS labels",
     )
 
 

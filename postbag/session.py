@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # A speculative copy of an inference task would repeat its calls.
     "spark.speculation": "false",
+    # Recording where in Python each column was made triples the time to build the larger expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
