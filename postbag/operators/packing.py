@@ -68,14 +68,13 @@ def with_packs(
         packs.groupBy("first.slot")
         .agg(F.min("first").alias("first"))
         .select(
+            "slot",
             F.to_json(F.struct(*[F.col("first")[name].alias(name) for name in order])).alias("key"),
             F.col("first")["before"].alias("before"),
-            F.struct(*[F.col("first")[name] for name in order]).alias("_order"),
         )
-        .orderBy("_order")
-        .drop("_order")
         .collect()  # one row per range
     )
+    bounds.sort(key=lambda bound: bound["slot"])
     if not bounds:
         return rows.withColumns({"slot": F.lit(0), "place": F.lit(0).cast("long"), "pack": F.lit(0).cast("long")})
 
