@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postbag.operators.cleaning import with_content
@@ -55,15 +56,12 @@ def provider_json_stream(
 
     A bad line ends nothing; with one stream per mailbox, neither does a mailbox that cannot be read.
     """
-    schema = PROVIDER_JSON.add(CORRUPT, "string")
-    reader = (
-        spark.readStream.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
+    reader = spark.readStream
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.json(path)
+    schema = T.StructType([*PROVIDER_JSON.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    raw = reader.text(path).filter("value <> ''").select(parsed.alias("m")).select("m.*")
     bad = raw.filter(F.col(CORRUPT).isNotNull()).select(F.lit(mailbox).alias("mailbox"), CORRUPT)
     return from_json_rows(raw.filter(F.col(CORRUPT).isNull()), mailbox), bad
 
