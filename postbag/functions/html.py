@@ -129,10 +129,14 @@ def _where_needed(c: Column, signs: tuple[str, ...], pattern: str, to: str) -> C
     return let(c, step)
 
 
+def respaced(c: Column) -> Column:
+    """Tidy up blanks and line breaks of a text with marks."""
+    for signs, pattern, to in SPACING:
+        c = _where_needed(c, signs, pattern, to)
+    return F.replace(trim(c), F.lit(BULLET), F.lit("  * "))
+
+
 def html_to_text(c: Column) -> Column:
     visible = F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), LINK, "[$2]($1)")
     marked = _replace_tags(F.regexp_replace(visible, BLANKS, " "))
-    spaced = decode_entities(marked)
-    for signs, pattern, to in SPACING:
-        spaced = _where_needed(spaced, signs, pattern, to)
-    return F.replace(trim(spaced), F.lit(BULLET), F.lit("  * "))
+    return respaced(decode_entities(marked))

@@ -330,6 +330,7 @@ WHERE before < 301""",
     ),
     "body_choice": over_messages(f"SELECT {KEY}, body FROM bodies", BODIES),
     "html_text": f"SELECT page_id, {html_text('html')} AS text FROM pages",
+    "html_text_parsed": f"SELECT page_id, {html_text('html')} AS text FROM pages",
     "quotes_stripped": over_messages(
         f"SELECT uid, {without_quotes('text')} AS text FROM messages WHERE mailbox = 'conv'"
     ),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postbag.functions.chunks import chunk_size, token_count, token_estimate
 from postbag.functions.html import html_to_text
+from postbag.functions.html_parsing import parsed_html_to_text
 from postbag.functions.replies import strip_quotes, strip_signature
 from postbag.functions.text import (
     batch_header,
@@ -331,6 +332,12 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
+def html_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same text from a real parser."""
+    pages = spread(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", parsed_html_to_text(F.col("html")).alias("text"))
+
+
 def quotes_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = spread(conv_messages(table(spark, sf_dir, "conversations")))
     return mail.select("uid", strip_quotes(F.col("text")).alias("text"))
@@ -618,7 +625,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         thread_expand_multi, thread_expand_dedup, thread_expand_shuffled, thread_fallback, thread_rows,
         message_block, thread_transcript, thread_transcript_parts,
         max_emails, max_emails_large, max_emails_threads,
-        body_choice, html_text, quotes_stripped, quotes_stripped_languages, signature_stripped,
+        body_choice, html_text, html_text_parsed, quotes_stripped, quotes_stripped_languages, signature_stripped,
         clean_content, character_savings,
         batch_fixed, batch_text, batch_fit, chunk_fixed, chunk_semantic, chunk_semantic_full,
         token_estimates, token_counts,

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postbag.functions import html, replies, text, verdicts
+from postbag.functions.html_parsing import parsed_html_to_text
 
 
 @pytest.mark.parametrize(
@@ -249,3 +250,20 @@ def test_is_empty_answer_agrees_with_the_patterns(spark, answers):
             re.match(pattern, said, re.IGNORECASE | re.DOTALL) for pattern in verdicts.EMPTY_ANSWERS
         )
         assert row["y"] is bool(expected), said
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ('<a href="/x" title="a > b">one</a>', "[one](/x)"),
+        ('<p>x <a href="/x">never closed', "x [never closed](/x)"),
+        ("<a name=top>no target</a>", "no target"),
+        ("<head><title>no</title><body><b>bold</b>", "**bold**"),
+        ("<p>one<p>two &copy 2024 <img alt='x'>", "one\n\ntwo © 2024"),
+        ("<ul><li>a<li>b</ul>", "  * a\n  * b"),
+        ("<script>var t='</p>'</script>seen<!-- <b> -->", "seen"),
+        (None, None),
+    ],
+)
+def test_parsed_html(value, page, expected):
+    assert value(parsed_html_to_text, page) == expected
