@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from postbag.session import pin
 
+# Rows that are not worth another range.
+SMALL_RANGE = 1000
+
 # Makes the order total: uid is unique within mailbox and folder.
 ORDER = ("mailbox_ord", "folder_ord", "date_us", "uid", "folder")
 
@@ -42,6 +45,15 @@ def date_us(date_local: Column) -> Column:
     return F.coalesce(micros, F.lit(-(2**63) + 1))
 
 
+def _range_count(keys: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions, which a job sets by the size of its data; fewer
+    for a small table. The ranges will also carry the texts, so their number must not follow from how small
+    the keys are."""
+    spark = keys.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, keys.count() // SMALL_RANGE))
+
+
 def running_sums(
     rows: DataFrame, order: tuple[str, ...], cost: str, within: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -53,12 +65,10 @@ def running_sums(
     """
     if order[: len(within)] != within:
         raise ValueError("the order has to begin with the group columns")
-    # A fixed number: the ranges will also carry the texts, so they must not be merged by how small the keys
-    # are. It is the session's number of shuffle partitions, which a job sets by the size of its data.
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = pin(rows, "keys")
+    count = _range_count(keys)
     ranged = pin(
-        pin(rows, "keys").repartitionByRange(count, *order).withColumn("slot", F.spark_partition_id()),
-        "ranges",
+        keys.repartitionByRange(count, *order).withColumn("slot", F.spark_partition_id()), "ranges"
     )
     local = Window.partitionBy("slot", *within).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1

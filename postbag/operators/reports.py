@@ -35,9 +35,10 @@ def item_stats(responses: DataFrame) -> DataFrame:
     used = F.col("response.usage_prompt_tokens") + F.col("response.usage_completion_tokens")
     return (
         with_verdict(responses)
-        .groupBy("item_id")
+        .withColumn("output_key", first_key(F.col("emails")))
+        # An item has one mailbox and one key: as group columns they keep the aggregation on hash tables.
+        .groupBy("item_id", "mailbox", "output_key")
         .agg(
-            F.first("mailbox").alias("mailbox"),
             (F.max(F.size("emails")) * F.max("copies")).cast("long").alias("messages"),
             F.max(F.col("error").isNotNull()).alias("failed"),
             F.count("response").alias("calls"),
@@ -45,7 +46,6 @@ def item_stats(responses: DataFrame) -> DataFrame:
             F.coalesce(F.sum(used), F.lit(0)).alias("tokens"),
             F.count_if(~F.col("is_empty")).alias("written"),
             F.count_if("is_empty").alias("skipped"),
-            F.min(first_key(F.col("emails"))).alias("output_key"),
         )
     )
 
