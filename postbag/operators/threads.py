@@ -10,6 +10,9 @@ from postbag.operators.packing import with_packs
 from postbag.session import pin
 
 KEYS = ["mailbox", "thread_key"]
+# Plain comparisons, so that scans of mailboxes without threads skip one side.
+IN_THREAD = "thread_id <> ''"
+ALONE = "thread_id IS NULL OR thread_id = ''"
 # Thread keys up to this many bytes are sent to every executor; more are joined by a shuffle.
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Characters of one transcript part. Only threads longer than this have more than one part.
@@ -55,25 +58,26 @@ def expand_threads(
     is, how often a search that expands hit by hit shows it. A count says the same as so many equal rows, and
     does not square a thread that holds much of the corpus.
 
-    With ``fallback`` hits whose thread is not in ``messages`` are kept as they are.
+    Hits that belong to no thread are passed on as they are; nothing is looked up for them. With ``fallback`` so
+    are hits whose thread is not in ``messages``.
 
     The messages are read in place if the thread keys fit a broadcast. Otherwise both sides are shuffled by
     thread, and the hot thread's partition is split by adaptive execution: the key side is a plain scan, so
     nothing but the exchange lies between the scan and the join.
     """
-    keys = hit_threads(hits)
+    keys = hit_threads(hits.filter(IN_THREAD))
     side = _sized(keys, broadcast_bytes)
-    keyed = with_thread_key(messages)
+    keyed = with_thread_key(messages.filter(IN_THREAD))
     if dedup:
         found = keyed.join(side.select(*KEYS), KEYS, "left_semi")
     else:
         found = keyed.join(side, KEYS, "inner")
-    if not fallback:
-        return found
-    present = with_thread_key(messages.select("mailbox", "thread_id", "folder", "uid")).select(*KEYS)
-    known = present.join(side.select(*KEYS), KEYS, "left_semi").distinct()
-    lost = pin(keys.join(known, KEYS, "left_anti").select(*KEYS), "lost-threads")
-    alone = with_thread_key(hits).join(_sized(lost, broadcast_bytes), KEYS, "left_semi")
+    alone = with_thread_key(hits.filter(ALONE))
+    if fallback:
+        known = keyed.select(*KEYS).join(side.select(*KEYS), KEYS, "left_semi").distinct()
+        lost = pin(keys.join(known, KEYS, "left_anti").select(*KEYS), "lost-threads")
+        kept = with_thread_key(hits.filter(IN_THREAD)).join(_sized(lost, broadcast_bytes), KEYS, "left_semi")
+        alone = alone.unionByName(kept)
     if not dedup:
         alone = alone.withColumn("copies", F.lit(1).cast("long"))
     return found.unionByName(alone)

@@ -255,6 +255,17 @@ def quoted_in_languages() -> str:
     return f"SELECT doc_id, {stripped} AS text FROM (SELECT doc_id, {quoted} AS quoted FROM documents)"
 
 
+BATCH_RECORD = asked(
+    f"""SELECT first({OUTPUT_KEY}) OVER (PARTITION BY item_id, chunk_ix ORDER BY place) AS output_key,
+   place, uid, {ISO} AS date, said AS content
+FROM good JOIN members USING (item_id) WHERE NOT is_empty""",
+    BATCH_ITEMS,
+    batched(10),
+    f"""members AS (SELECT * EXCLUDE (mailbox), 'b|' || batch_id AS item_id,
+  row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER}) - 1 AS place FROM placed)""",
+)
+
+
 SQL: dict[str, str] = {
     "filter_criteria": over_messages(f"""SELECT {KEY}, subject FROM messages
 WHERE mailbox IN ('conv', 'docs') AND lower(folder) IN ('inbox', 'sent')
@@ -303,10 +314,12 @@ FROM messages WHERE mailbox = 'conv'"""),
         f"SELECT {KEY}, count(*) OVER (PARTITION BY mailbox, thread_key) AS copies FROM threaded", THREADED
     ),
     "thread_fallback": over_messages(
-        f"""SELECT {KEY} FROM archive SEMI JOIN hits USING (mailbox, thread_key)
-UNION ALL SELECT {KEY} FROM hits ANTI JOIN archive USING (mailbox, thread_key)""",
+        f"""SELECT {KEY} FROM archive SEMI JOIN hits USING (mailbox, thread_key) WHERE length(thread_id) > 0
+UNION ALL SELECT {KEY} FROM hits ANTI JOIN archive USING (mailbox, thread_key)
+UNION ALL SELECT {KEY} FROM hits SEMI JOIN archive USING (mailbox, thread_key)
+WHERE thread_id IS NULL OR thread_id = ''""",
         THREADED,
-        "archive AS (SELECT * FROM threaded WHERE mailbox = 'conv' AND folder = 'INBOX')",
+        "archive AS (SELECT * FROM threaded WHERE folder = 'INBOX' AND date_local < DATE '2024-01-03')",
         "hits AS (SELECT * FROM threaded WHERE contains(lower(subject), 're'))",
     ),
     "thread_rows": over_cleaned(
@@ -412,15 +425,7 @@ GROUP BY batch_id"""
     "iso_dates": over_messages(f"SELECT {KEY}, {ISO} AS date FROM messages"),
     "result_record": asked(FLAT_RECORD),
     "result_readback": asked(FLAT_RECORD),
-    "batch_record": asked(
-        f"""SELECT first({OUTPUT_KEY}) OVER (PARTITION BY item_id, chunk_ix ORDER BY place) AS output_key,
-       place, uid, {ISO} AS date, said AS content
-FROM good JOIN members USING (item_id) WHERE NOT is_empty""",
-        BATCH_ITEMS,
-        batched(10),
-        f"""members AS (SELECT * EXCLUDE (mailbox), 'b|' || batch_id AS item_id,
-  row_number() OVER (PARTITION BY batch_id ORDER BY {ORDER}) - 1 AS place FROM placed)""",
-    ),
+    "batch_record": BATCH_RECORD,
     "mailbox_counts_total": over_messages("""SELECT coalesce(name, 'Total') AS mailbox, count(uid) AS processed
 FROM (VALUES ('conv'), ('docs'), ('web')) AS requested (name)
 LEFT JOIN messages ON mailbox = name AND folder = 'sent' AND date_local < DATE '2024-01-02'
@@ -442,4 +447,12 @@ FROM good"""
         f"SELECT {KEY}, content FROM cleaned WHERE mailbox = 'conv' AND contains(lower(sender), 'user')"
     ),
     "stream_ask": asked(FLAT_RECORD),
+    "stream_batches": BATCH_RECORD,
+    "stream_threads": asked(
+        FLAT_RECORD,
+        f"items AS (SELECT *, {ITEM} AS item_id FROM blocks SEMI JOIN hits USING (mailbox, thread_key))",
+        BLOCKS,
+        THREADED,
+        USER_HITS,
+    ),
 }

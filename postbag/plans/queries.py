@@ -37,7 +37,13 @@ from postbag.sources.provider_json import read_provider_json
 from postbag.sources.records import read_records, records, with_verdict
 from postbag.sources.registry import read_mailboxes
 from postbag.sources.rfc822 import read_rfc822
-from postbag.streaming.jobs import ask_stream, message_stream, write_records_stream, write_stream
+from postbag.streaming.jobs import (
+    ask_stream,
+    message_stream,
+    write_asked_stream,
+    write_records_stream,
+    write_stream,
+)
 
 PROMPT = "Report the size of this text."
 CONTEXT = 1200  # leaves 200 characters of content
@@ -270,9 +276,9 @@ def thread_expand_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def thread_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits in all mailboxes, but an archive that holds only the chats' inbox."""
+    """Hits in all mailboxes, but an archive that ends after two days and holds only the inbox."""
     everything = messages(spark, sf_dir)
-    archive = everything.filter("mailbox = 'conv' AND folder = 'INBOX'")
+    archive = search(everything, Criteria(date_to="2024-01-03"), None, ["INBOX"])
     found = threads.expand_threads(
         search(everything, Criteria(subject="re")), archive, fallback=True
     )
@@ -568,8 +574,11 @@ def batch_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = packing.chunked(packing.batch_items(packing.batches(ordered(cleaned(spark, sf_dir)))), size=FULL)
     found = records(infer(work, PROMPT, make_stub, sleep=no_wait), batch=True)
     found.write.option("ignoreNullFields", "false").json(path)
-    read = read_records(spark, path, batch=True)
-    return read.select(
+    return _flat_batch_records(read_records(spark, path, batch=True))
+
+
+def _flat_batch_records(found: DataFrame) -> DataFrame:
+    return found.select(
         "output_key",
         F.posexplode("emails").alias("place", "email"),
         F.col("response.content").alias("content"),
@@ -616,6 +625,31 @@ def stream_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_records(read_records(spark, f"{base}/out"))
 
 
+def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages arrive at once and are asked about in batches."""
+    base = shared_path(spark, "stream")
+    corpus(spark, sf_dir).write.parquet(f"{base}/in")
+    options = AskOptions(PROMPT, boxes=MAILBOXES, folders=FOLDERS, batch=True, attempts=1)
+    query = write_asked_stream(
+        message_stream(spark, f"{base}/in"), options, make_stub, f"{base}/out", f"{base}/checkpoint"
+    )
+    query.awaitTermination()
+    return _flat_batch_records(read_records(spark, f"{base}/out", batch=True))
+
+
+def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' turns arrive; their threads come from the message table."""
+    base = shared_path(spark, "stream")
+    _user_hits(spark, sf_dir).write.parquet(f"{base}/in")
+    options = AskOptions(PROMPT, boxes=MAILBOXES, folders=FOLDERS, thread=True, attempts=1)
+    query = write_asked_stream(
+        message_stream(spark, f"{base}/in"), options, make_stub, f"{base}/out", f"{base}/checkpoint",
+        archive=messages(spark, sf_dir),
+    )
+    query.awaitTermination()
+    return _flat_records(read_records(spark, f"{base}/out"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -632,6 +666,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         infer_stub, infer_errors, error_report, ask_messages, ask_batches,
         response_gate, skipped_answers, sender_address, truncated, header_lines, batch_headers,
         output_keys, slugs, iso_dates, result_record, result_readback, batch_record,
-        mailbox_counts_total, run_stats, stream_clean, stream_ask,
+        mailbox_counts_total, run_stats, stream_clean, stream_ask, stream_batches, stream_threads,
     )
 }

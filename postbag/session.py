@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def build_session(app: str = "postbag", master: str | None = None, **settings: s
     return builder.getOrCreate()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="postbag-")
+
+
 def shared_path(spark: SparkSession, kind: str) -> str:
     """A new path below the folder that ``spark.checkpoint.dir`` names.
 
@@ -45,8 +51,7 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="postbag-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/postbag/{kind}-{uuid.uuid4().hex}"
 
 

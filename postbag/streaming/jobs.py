@@ -1,8 +1,8 @@
 """The same transforms over files that keep arriving.
 
 Search, cleaning, chunking, asking and writing look at one message at a time and run in a stream as they
-are. What needs an order over all messages (batches) is done per micro-batch. Thread expansion joins the
-stream's hits with a message table that stays as it is.
+are. What needs to see several messages (batches, threads) is done per micro-batch, threads with the help of a
+message table that stays as it is.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from postbag.operators.filters import resolve_folders, search
 from postbag.operators.inference import Completer, infer
 from postbag.operators.ordering import with_order
 from postbag.operators.packing import chunked, single_items
-from postbag.operators.threads import with_thread_key
+from postbag.operators.threads import expand_threads
 from postbag.plans.ask import AskOptions, items
 from postbag.schema import MESSAGE, PROVIDER_JSON
 from postbag.sources.provider_json import from_json_rows
@@ -66,12 +66,6 @@ def provider_json_stream(
     return from_json_rows(raw.filter(F.col(CORRUPT).isNull()), mailbox), bad
 
 
-def expand_stream(hits: DataFrame, messages: DataFrame) -> DataFrame:
-    """Each streamed hit's thread, from a message table; every hit shows its thread."""
-    keys = with_thread_key(hits).select("mailbox", "thread_key")
-    return keys.join(with_thread_key(messages), ["mailbox", "thread_key"])
-
-
 def ask_stream(messages: DataFrame, options: AskOptions, make_completer: Callable[[], Completer]) -> DataFrame:
     """Responses as a stream, one message per item."""
     found = search(
@@ -99,14 +93,18 @@ def write_records_stream(responses: DataFrame, path: str, checkpoint: str) -> St
     return write_stream(records(responses), path, checkpoint, "json")
 
 
-def write_batches_stream(
+def write_asked_stream(
     messages: DataFrame,
     options: AskOptions,
     make_completer: Callable[[], Completer],
     path: str,
     checkpoint: str,
+    archive: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Ask about batches of messages. A micro-batch's last batch is not carried on to the next one.
+    """Ask about batches or threads of what arrives.
+
+    A micro-batch's last batch is not carried on to the next one. Threads are looked up in ``archive``, a
+    message table, by default in the micro-batch itself; hits whose thread it does not know stay alone.
 
     Each micro-batch writes its own folder and replaces it when it is repeated, so nothing comes twice.
     """
@@ -114,8 +112,10 @@ def write_batches_stream(
     folders = resolve_folders(options.folders, options.in_sent)
 
     def each(micro: DataFrame, number: int) -> None:
-        found = with_order(search(micro, options.criteria, boxes, folders), boxes, folders)
-        work = chunked(items(found, options), options.max_context)
+        found = search(micro, options.criteria, boxes, folders)
+        if options.thread:
+            found = expand_threads(found, micro if archive is None else archive, dedup=False, fallback=True)
+        work = chunked(items(with_order(found, boxes, folders), options), options.max_context)
         responses = infer(work, options.prompt, make_completer, attempts=options.attempts)
         (
             records(responses, batch=options.batch)

@@ -9,10 +9,9 @@ from postbag.sources.records import read_records, records
 from postbag.streaming.jobs import (
     ask_stream,
     buffer_size,
-    expand_stream,
     message_stream,
     provider_json_stream,
-    write_batches_stream,
+    write_asked_stream,
     write_records_stream,
     write_stream,
 )
@@ -82,7 +81,7 @@ def test_batches_of_a_stream(spark, tmp_path):
     options = AskOptions("P", batch=True, batch_size=3)
     for _ in range(2):  # the second time there is nothing new
         stream = message_stream(spark, source, max_files=1)
-        write_batches_stream(stream, options, make_echo, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+        write_asked_stream(stream, options, make_echo, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     found = read_records(spark, str(tmp_path / "out"), batch=True).collect()
     assert sorted(len(r["emails"]) for r in found) == [2, 2, 3, 3]
 
@@ -99,8 +98,14 @@ def test_bad_lines_do_not_stop_a_mailbox(spark, tmp_path):
 
 
 def test_threads_of_a_stream_come_from_a_table(spark, tmp_path):
-    archive = frame(spark, [message(str(i), thread_id="t" if i < 3 else None) for i in range(5)])
-    land(spark, str(tmp_path / "in"), [message("1", thread_id="t"), message("4")])
-    found = expand_stream(message_stream(spark, str(tmp_path / "in")), archive).select("uid")
-    write_stream(found, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    assert sorted(r["uid"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["0", "1", "2", "4"]
+    archive = frame(spark, [message(str(i), thread_id="t" if i < 3 else None, text=f"number {i}") for i in range(5)])
+    hits = [message("1", thread_id="t"), message("2", thread_id="t"), message("4"), message("7", thread_id="new")]
+    land(spark, str(tmp_path / "in"), hits)
+    stream = message_stream(spark, str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    write_asked_stream(
+        stream, AskOptions("P", thread=True), make_echo, out, str(tmp_path / "c"), archive
+    ).awaitTermination()
+    found = read_records(spark, out).collect()
+    assert sorted(r["email"]["uid"] for r in found) == ["0", "1", "2", "4", "7"]
+    assert all("From: john.doe@example.com" in r["response"]["content"] for r in found)
