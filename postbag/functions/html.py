@@ -30,6 +30,8 @@ INVISIBLE = (
 LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>"""
 # Runs of blanks that are not a single space; single ones are left alone, there are so many.
 BLANKS = r" *[\t\n\f\r][ \t\n\f\r]*|  +"
+# What may follow an ampersand.
+REFERENCE = "^(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});?"
 # What stands for a tag; any other tag is dropped.
 MARKS = {
     "**": ("b", "/b", "strong", "/strong"),
@@ -74,19 +76,23 @@ def _numeric(name: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    """Replace character references in one pass, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``."""
+    """Replace character references in one pass, so that ``&amp;lt;`` becomes ``&lt;`` and not ``<``.
+
+    As in browsers the semicolon may be missing.
+    """
     # Looked up from the front: the usual ones come first.
     usual = {name: chr(name2codepoint[name]) for name in ("amp", "nbsp", "quot", "lt", "gt")} | {"apos": "'"}
     named = _map(usual | {name: chr(code) for name, code in name2codepoint.items()})
 
     def one(piece: Column) -> Column:
-        name = F.regexp_extract(piece, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
+        def char(name: Column) -> Column:
+            return F.when(name.startswith("#"), _numeric(name)).otherwise(F.try_element_at(named, name))
+
         return let(
-            name,
-            lambda n: F.coalesce(
+            F.regexp_extract(piece, REFERENCE, 0),
+            lambda ref: F.coalesce(
                 F.concat(
-                    F.when(n.startswith("#"), _numeric(n)).otherwise(F.try_element_at(named, n)),
-                    F.substr(piece, F.length(n) + 2),
+                    let(F.rtrim(ref, F.lit(";")), char), F.substr(piece, F.length(ref) + 1)
                 ),
                 F.concat(F.lit("&"), piece),
             ),

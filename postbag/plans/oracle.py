@@ -19,7 +19,7 @@ from postbag.plans.corpus import MESSAGES_SQL
 from postbag.plans.queries import CHUNK, FULL, PROMPT
 
 # Entities that occur in the pages; & itself last, so that nothing is decoded twice.
-ENTITIES = (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+ENTITIES = (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&"))
 
 
 def text(value: str) -> str:
@@ -50,7 +50,7 @@ def html_text(c: str) -> str:
         out = replace_all(out, f"(?i)<(?:{'|'.join(names)})\\b[^>]*>", mark)
     out = replace_all(out, "<[a-zA-Z/!?][^>]*>", "")
     for entity, char in ENTITIES:
-        out = f"replace({out}, {text(entity)}, {text(char)})"
+        out = replace_all(out, rf"&{entity}(?:;|\b)", char)
     for _, pattern, to in SPACING:
         out = replace_all(out, pattern, to)
     return f"replace({trim(out)}, chr(2), '  * ')"

@@ -145,6 +145,7 @@ def test_trim_is_the_unicode_strip(spark, texts):
         ("x<script>never closed", "x"),
         ("fish &amp; chips &lt;b&gt; &eacute;&#233;&#xe9; &copy;", "fish & chips <b> ééé ©"),
         ("&amp;lt; &unknown; &#99999999; &#xD800; & ;", "&lt; &unknown; &#99999999; &#xD800; & ;"),
+        ("a &amp b &copy2024 &copy 2024 &#233 &ampersand; &lt", "a & b &copy2024 © 2024 é &ampersand; <"),
         ("a&nbsp;&nbsp;b \n\t c", "a b c"),
         ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
         ("<table><tr><td>a</td><td>b</td></tr></table>", "a | b |"),
