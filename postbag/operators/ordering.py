@@ -16,17 +16,20 @@ from postbag.session import pin
 SMALL_RANGE = 1000
 
 # Makes the order total: uid is unique within mailbox and folder.
-ORDER = ("mailbox_ord", "folder_ord", "date_us", "uid", "folder")
+ORDER = ("mailbox_ord", "mailbox", "folder_ord", "date_us", "uid", "folder")
 
 
 def position(c: Column, names: list[str]) -> Column:
     """Place of a name in a list, counted from 0; names outside come last."""
+    if not names:
+        return F.lit(0)
     place = F.array_position(F.array(*[F.lit(name.lower()) for name in names]), F.lower(c))
     return F.when(place > 0, place - 1).otherwise(len(names)).cast("int")
 
 
 def with_order(messages: DataFrame, mailboxes: list[str], folders: list[str]) -> DataFrame:
-    """Add the fetch-order columns: mailbox, then folder, then date, then uid."""
+    """Add the fetch-order columns: mailbox, then folder, then date, then uid. Mailboxes that are not listed
+    follow by name."""
     return messages.withColumns(
         {
             "mailbox_ord": position(F.col("mailbox"), mailboxes),

@@ -11,21 +11,23 @@ from pyspark.sql.streaming import StreamingQueryListener
 from postbag.sources.records import first_key, with_verdict
 
 
-def mailbox_counts(messages: DataFrame, mailboxes: list[str]) -> DataFrame:
-    """Messages per requested mailbox, in that order, those without any included, and the total."""
-    spark = messages.sparkSession
-    requested = spark.createDataFrame(
-        list(enumerate(mailboxes)), "mailbox_ord int, mailbox string"
-    )
+def mailbox_counts(messages: DataFrame, mailboxes: list[str] | None = None) -> DataFrame:
+    """Messages per requested mailbox, in that order, those without any included, and the total. Without a
+    request all mailboxes that have messages, by name."""
     copies = F.sum("copies") if "copies" in messages.columns else F.count("*")
     counted = messages.groupBy("mailbox").agg(copies.alias("_n"))
+    if mailboxes:
+        requested = messages.sparkSession.createDataFrame(
+            list(enumerate(mailboxes)), "mailbox_ord int, mailbox string"
+        )
+        counted = requested.join(counted, "mailbox", "left")
+    else:
+        counted = counted.withColumn("mailbox_ord", F.lit(0))
     return (
-        F.broadcast(requested)  # the caller's list of names
-        .join(counted, "mailbox", "left")
-        .rollup("mailbox_ord", "mailbox")
+        counted.rollup("mailbox_ord", "mailbox")
         .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("processed"))
         .filter("mailbox IS NOT NULL OR mailbox_ord IS NULL")
-        .orderBy(F.col("mailbox_ord").asc_nulls_last())
+        .orderBy(F.col("mailbox_ord").asc_nulls_last(), "mailbox")
         .select(F.coalesce("mailbox", F.lit("Total")).alias("mailbox"), "processed")
     )
 

@@ -151,8 +151,6 @@ def run_ask(
         found, options.output_dir or default_output_dir(), options.per_key_files, options.dry_run
     )
     names = resolve_mailboxes(options.boxes, known) if known else options.boxes
-    if not names:
-        names = [row["mailbox"] for row in responses.select("mailbox").distinct().orderBy("mailbox").collect()]
     # In a batch the messages of several mailboxes count for the batch's own.
     fetched = responses.groupBy("item_id", "mailbox").agg(
         (F.max(F.size("emails")) * F.max("copies")).cast("long").alias("copies"),

@@ -201,6 +201,16 @@ def test_nothing_found_and_dry_run(spark, tmp_path):
     assert dry.records.count() == 1
 
 
+def test_without_a_list_of_mailboxes_all_are_asked(spark, tmp_path):
+    rows = [message("1", mailbox=name, text=f"hello {name}") for name in ("b", "a", "b")]
+    options = AskOptions("P", output_dir=str(tmp_path / "out"), batch=True, batch_size=2)
+    result = run_ask(frame(spark, rows[:2]), options, make_echo)
+    assert result.records.first()["response"]["content"] == "P: hello a\n---\nhello b"
+    assert [tuple(r) for r in result.counts.collect()] == [("a", 2), ("Total", 2)]
+    single = run_ask(frame(spark, rows[:2]), AskOptions("P", dry_run=True), make_echo)
+    assert [tuple(r) for r in single.counts.collect()] == [("a", 1), ("b", 1), ("Total", 2)]
+
+
 def test_max_emails(spark, tmp_path):
     rows = [message(str(i), text=f"Hello number {i}", date_local=after(i)) for i in range(10)]
     assert run(spark, rows, tmp_path, max_emails=3).stats.first()["emails_fetched"] == 3
