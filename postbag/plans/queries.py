@@ -631,7 +631,8 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus(spark, sf_dir).write.parquet(f"{base}/in")
     options = AskOptions(PROMPT, boxes=MAILBOXES, folders=FOLDERS, batch=True, attempts=1)
     query = write_asked_stream(
-        message_stream(spark, f"{base}/in"), options, make_stub, f"{base}/out", f"{base}/checkpoint"
+        message_stream(spark, f"{base}/in", max_files=None),
+        options, make_stub, f"{base}/out", f"{base}/checkpoint",
     )
     query.awaitTermination()
     return _flat_batch_records(read_records(spark, f"{base}/out", batch=True))

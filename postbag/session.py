@@ -71,7 +71,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than the cluster has cores.
 
     Body cleaning is CPU-bound, and one big file with one row group is one task however many cores there
-    are. Inputs with enough splits (any large table) pass through without a shuffle.
+    are. Inputs with enough splits (any large table) pass through without a shuffle, and so does whatever has
+    been shuffled already: its partitions are only known by running it.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

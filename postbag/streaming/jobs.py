@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 
 from postbag.operators.cleaning import with_content
 from postbag.operators.filters import resolve_folders, search
@@ -20,7 +20,7 @@ from postbag.operators.inference import Completer, infer
 from postbag.operators.ordering import with_order
 from postbag.operators.packing import chunked, single_items
 from postbag.operators.threads import expand_threads
-from postbag.plans.ask import AskOptions, items
+from postbag.plans.ask import MAX_CONTEXT, AskOptions, items
 from postbag.schema import MESSAGE, PROVIDER_JSON
 from postbag.sources.provider_json import from_json_rows
 from postbag.sources.records import records
@@ -37,31 +37,39 @@ def buffer_size(max_context: int, contexts: int = BUFFERED_CONTEXTS) -> int:
     return max(SMALLEST_BUFFER, max_context * contexts // TOKENS_PER_MESSAGE)
 
 
+MAX_FILES = buffer_size(MAX_CONTEXT)
+
+
+def _reader(spark: SparkSession, max_files: int | None, max_bytes: str | None) -> DataStreamReader:
+    """A reader whose micro-batches are bounded by files, or by bytes if given."""
+    if max_bytes:
+        return spark.readStream.option("maxBytesPerTrigger", max_bytes)
+    return spark.readStream.option("maxFilesPerTrigger", max_files) if max_files else spark.readStream
+
+
 def message_stream(
-    spark: SparkSession, path: str, max_files: int | None = None, glob: str | None = None
+    spark: SparkSession, path: str, max_files: int | None = MAX_FILES, max_bytes: str | None = None
 ) -> DataFrame:
-    """Message tables as a stream. ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(MESSAGE)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(path).filter("uid IS NOT NULL")
+    """Message tables as a stream."""
+    reader = _reader(spark, max_files, max_bytes)
+    return reader.schema(MESSAGE).parquet(path).filter("uid IS NOT NULL")
 
 
 def provider_json_stream(
-    spark: SparkSession, path: str, mailbox: str, max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    mailbox: str,
+    max_files: int | None = MAX_FILES,
+    max_bytes: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Messages of one mailbox as they land, and the lines that are no JSON, as two streams.
 
     A bad line ends nothing; with one stream per mailbox, neither does a mailbox that cannot be read.
     """
-    reader = spark.readStream
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
     schema = T.StructType([*PROVIDER_JSON.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    raw = reader.text(path).filter("value <> ''").select(parsed.alias("m")).select("m.*")
+    lines = _reader(spark, max_files, max_bytes).text(path)
+    raw = lines.filter("value <> ''").select(parsed.alias("m")).select("m.*")
     bad = raw.filter(F.col(CORRUPT).isNotNull()).select(F.lit(mailbox).alias("mailbox"), CORRUPT)
     return from_json_rows(raw.filter(F.col(CORRUPT).isNull()), mailbox), bad
 

@@ -30,3 +30,8 @@ def test_pin_fixes_what_is_random(spark):
 def test_spread_leaves_enough_splits_alone(spark):
     assert spread(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
+
+
+def test_spread_runs_nothing(spark):
+    grouped = spark.range(100).groupBy("id").count()
+    assert spread(grouped) is grouped

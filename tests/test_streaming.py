@@ -48,6 +48,10 @@ def test_a_stream_equals_the_batch_and_takes_each_file_once(spark, tmp_path):
     run()
     batch = with_content(search(spark.read.parquet(source), Criteria(sender="john")))
     assert contents(spark, out) == sorted((r["uid"], r["content"]) for r in batch.collect())
+    one_by_one = message_stream(spark, source, max_bytes="1").select("uid")
+    query = write_stream(one_by_one, str(tmp_path / "bytes"), str(tmp_path / "bytes-checkpoint"))
+    query.awaitTermination()
+    assert len([p for p in query.recentProgress if p.numInputRows == 4]) == 3
     land(spark, source, [message("99", text="late"), message("98", sender="other")])
     run()
     assert len(contents(spark, out)) == 13
