@@ -13,11 +13,12 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from postbag.schema import RESPONSE
 
@@ -82,20 +83,25 @@ def infer(
     ]
     schema = T.StructType([*chunks.schema.fields, *added])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow_types = to_arrow_schema(T.StructType(added))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         complete = make_completer()
-        for frame in frames:
+        for batch in batches:
             results = [
                 (None, 0, None) if chunk is None else call(complete, prompt, chunk, attempts, sleep)
-                for chunk in frame["chunk"]
+                for chunk in batch.column("chunk").to_pylist()
+            ]
+            # Message metadata passes through untouched; only the new columns are built here.
+            new = [
+                pa.array([result[i] for result in results], field.type)
+                for i, field in enumerate(arrow_types)
             ]
-            yield frame.assign(
-                response=pd.Series([r[0] for r in results], index=frame.index, dtype=object),
-                attempts=pd.Series([r[1] for r in results], index=frame.index, dtype="int32"),
-                error=pd.Series([r[2] for r in results], index=frame.index, dtype=object),
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *new], names=[*batch.schema.names, *arrow_types.names]
             )
 
-    return chunks.mapInPandas(run, schema, profile=profile)
+    return chunks.mapInArrow(run, schema, profile=profile)
 
 
 def answered(responses: DataFrame) -> DataFrame:

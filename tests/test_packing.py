@@ -179,6 +179,17 @@ def test_chunked_keeps_items_without_text(spark):
     assert [r["chunk_ix"] for r in found if "|b" in r["item_id"]] == [0, 1, 2, 3, 4]
 
 
+def test_messages_without_folder(spark):
+    """Provider messages carry labels and no folder."""
+    rows = [message(f"{i:02}", folder=None, date_local=after(i % 3), text=f"text {i}") for i in range(60)]
+    expected = sorted(rows, key=lambda m: (m["date_local"], m["uid"]))
+    found = sorted(batches(contents(spark, rows), 7).collect(), key=lambda r: r["batch_id"])
+    assert [e["uid"] for r in found for e in r["emails"]] == [m["uid"] for m in expected]
+    assert {len(r["emails"]) for r in found[:-1]} == {7}
+    first = limit(ordered(spark, shuffled(rows)), 25).collect()
+    assert {r["uid"] for r in first} == {m["uid"] for m in expected[:25]}
+
+
 def test_batch_items(spark):
     rows = [message(str(i), date_local=after(i)) for i in range(3)]
     row = batch_items(batches(contents(spark, rows))).first()
