@@ -20,7 +20,6 @@ from postbag.functions.text import (
     iso_date,
     output_key,
     slug,
-    trim,
     truncate,
 )
 from postbag.functions.verdicts import is_empty_answer
