@@ -1,0 +1,80 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from postbag.llm import mixing
+
+SCHEMA = "doc_id bigint, text string, source string, size string, key string, bucket string, doc string"
+
+
+def targets(sizes, weights=(1, 2, 3)):
+    """Shares by weight; what is above three times a source goes to the others, again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    bound, left, open_ = {}, float(sum(sizes.values())), set(names)
+    while open_:
+        share = {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not over:
+            return bound | share
+        for s in over:
+            bound[s] = 3.0 * sizes[s]
+            left -= bound[s]
+        open_ -= over
+    return bound
+
+
+@pytest.fixture
+def rows():
+    rows = [(i, "word " * (i % 50), "big" if i % 3 else f"s{i % 7}", *"abcd") for i in range(3000)]
+    return rows + [(None, None, None, *"abcd"), (None, "a b c", None, *"abcd"), (5, "x", "", *"abcd"), (5, "x", "", *"abcd"), (6, "", "void", *"abcd")]
+
+
+def test_targets_and_taken(spark, rows):
+    found = mixing.decided(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in found) == Counter((r[0], r[2], len(re.findall(mixing.WORD, r[1] or ""))) for r in rows)
+    sizes, taken = Counter(), Counter()
+    for r in found:
+        sizes[r.source] += r.size
+        taken[r.source] += r.copies * r.size
+        assert 0 <= r.copies <= 3
+    expected = targets(sizes)
+    for r in found:
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(expected[r.source])
+    for source in sizes:
+        longest = max(r.size for r in found if r.source == source)
+        assert abs(taken[source] - expected[source]) <= longest / 2 + 1e-6
+    # Complete passes come first: copies differ by one at most within a source.
+    copies = defaultdict(set)
+    for r in found:
+        if r.size:
+            copies[r.source].add(r.copies)
+    assert all(max(c) - min(c) <= 1 for c in copies.values())
+
+
+def test_the_mix_repeats_what_is_taken(spark, rows):
+    documents = spark.createDataFrame(rows, SCHEMA)
+    copies = Counter()
+    for r in mixing.decided(documents).collect():
+        copies[r.doc_id, r.source, r.size] += r.copies
+    mixed = mixing.mixed(documents)
+    assert mixed.columns == documents.columns
+    found = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixed.collect())
+    assert found == +copies
+
+
+def test_quality_weights_draw(spark):
+    rows = [(i, "word " * 10, "a" if i % 2 else "b", *"abcd") for i in range(4000)]
+    found = mixing.decided(spark.createDataFrame(rows, SCHEMA), weights=(1, 3), weight=F.when(F.col("doc_id") % 4 < 2, 4.0).otherwise(1.0)).collect()
+    some = [r for r in found if r.source == "a"]
+    heavy = sum(r.copies for r in some if r.doc_id % 4 < 2)
+    assert heavy > 1.5 * sum(r.copies for r in some if r.doc_id % 4 >= 2)
+
+
+def test_empty_table_and_no_words(spark):
+    assert mixing.decided(spark.createDataFrame([], SCHEMA)).collect() == []
+    found = mixing.decided(spark.createDataFrame([(1, None, "a", *"abcd"), (2, " ", "b", *"abcd")], SCHEMA)).collect()
+    assert {(r.target, r.size) for r in found} == {(0.0, 0)}
