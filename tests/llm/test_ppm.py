@@ -1,0 +1,105 @@
+"""The tabulated model against coding byte by byte, and language identification on held-out text."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from postbag.llm import langid, ppm
+from postbag.llm.common import utf8
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, doc string, score string, body string"
+
+
+def bits_one_by_one(texts, text, order):
+    follow = defaultdict(Counter)
+    for t in texts:
+        wide = b"\0" * order + t
+        for i in range(order, len(wide)):
+            for k in range(order + 1):
+                follow[k, wide[i - k : i]][wide[i]] += 1
+    wide, bits = b"\0" * order + text, 0.0
+    for i in range(order, len(wide)):
+        hidden = set()
+        for k in range(order, -1, -1):
+            seen = {s: c for s, c in follow[k, wide[i - k : i]].items() if s not in hidden}
+            n = sum(seen.values())
+            if wide[i] in seen:
+                bits -= math.log2((2 * seen[wide[i]] - 1) / (2 * n))
+                break
+            if seen:
+                bits -= math.log2(len(seen) / (2 * n))
+            hidden |= set(seen)
+        else:
+            bits += math.log2(256 - len(hidden))
+    return bits
+
+
+@pytest.mark.parametrize("order", [0, 1, 3, 6])
+def test_model_is_the_plain_one(order):
+    draw = random.Random(order)
+    texts = ["".join(draw.choice("abcab \x00é") for _ in range(draw.randint(0, 80))).encode() for _ in range(30)]
+    asked = texts[:5] + [b"", b"xyz", "日本".encode(), b"abc" * 20] + ["".join(draw.choice("abcdx ") for _ in range(50)).encode() for _ in range(9)]
+    data, borders = utf8(pa.array([t.decode("latin-1") for t in texts]).cast(pa.string()))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    borders = np.cumsum([0] + [len(t) for t in texts])
+    grams, counts = np.unique(ppm.padded(data, borders, order), return_counts=True)
+    levels = [ppm.merged(grams & np.uint64((1 << 8 * k) - 1), counts) for k in range(1, order + 2)]
+    model = ppm.Model([levels, levels], order)
+    found = model.bits(np.frombuffer(b"".join(asked), np.uint8), np.cumsum([0] + [len(t) for t in asked]))
+    expected = [bits_one_by_one(texts, t, order) for t in asked]
+    assert np.allclose(found[:, 0], expected) and np.allclose(found[:, 1], expected)
+
+
+def test_probabilities_sum_to_one():
+    data = np.frombuffer(b"abracadabra", np.uint8)
+    grams, counts = np.unique(ppm.padded(data, np.array([0, 11]), 2), return_counts=True)
+    trie = ppm.Trie([ppm.merged(grams & np.uint64((1 << 8 * k) - 1), counts) for k in (1, 2, 3)])
+    for context in (b"ab", b"ra", b"xa", b"xx"):
+        every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
+        assert np.exp2(-trie.bits(every)).sum() == pytest.approx(1)
+
+
+def test_counts_in_spark(spark):
+    grams = spark.createDataFrame([(5, 2), (5, 1), (0x0105, 1), (0x0106, 4)], "gram bigint, n bigint")
+    found = {(r.length, r.gram): r.n for r in ppm.trie_counts(grams, 1, 0.2, []).collect()}
+    assert found == {(1, 5): 4, (1, 6): 4, (2, 5): 3, (2, 0x0106): 4}
+
+
+WORDS = {"en": "the and with from have this that which".split(), "de": "der und mit von haben dieser dass welche".split()}
+
+
+@pytest.fixture
+def rows():
+    draw = random.Random(1)
+    return [(i, " ".join(draw.choice(WORDS[lang]) for _ in range(40)), lang, "a", 1, *"xyz") for i in range(120) for lang in WORDS]
+
+
+def test_languages(spark, rows):
+    odd = [(900, None, "en", None, None, *"xyz"), (901, "", "de", None, None, *"xyz"), (902, "12 345 !?", None, None, None, *"xyz"), (None, "the and " * 30_000, None, None, None, *"xyz")]
+    documents = spark.createDataFrame(rows + odd + odd[:1], SCHEMA)
+    found = langid.language_digests(documents).collect()
+    assert len(found) == len(rows) + 5
+    by_id = {r.doc_id: r for r in found}
+    assert [by_id[i].lang_pred for i in (900, 901, 902, None)] == ["und", "und", "und", "en"]
+    assert all(0 <= r.score <= 1 for r in found)
+    wrong = [r for r in found if r.doc_id is not None and r.doc_id < 900 and r.lang_pred not in {x[2] for x in rows if x[0] == r.doc_id}]
+    assert not wrong and any(r.held_out for r in found)
+    kept = langid.keep_known_languages(documents)
+    assert kept.columns == documents.columns
+    assert {r.doc_id for r in kept.collect()} == {x[0] for x in rows} | {None}
+
+
+def test_without_training(spark, rows):
+    documents = spark.createDataFrame(rows[:3], SCHEMA)
+    none = langid.learn(documents.limit(0))
+    assert [(r.lang_pred, r.score) for r in langid.identify(documents, none).collect()] == [("und", 0.0)] * 3
+    assert langid.language_digests(documents.limit(0)).collect() == []
+
+
+def test_training_sample_is_bounded(spark, rows):
+    labelled = spark.createDataFrame(rows, SCHEMA)
+    assert 20 < langid.training_rows(labelled, train_rows=30).count() < 100
