@@ -8,7 +8,6 @@ import numpy as np
 import pytest
 
 from postbag.llm import packing
-from postbag.llm.common import utf8
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, task string, rank string"
 TEXTS = [
@@ -23,13 +22,23 @@ TEXTS = [
 ]
 
 
-def test_ids_are_those_of_whole_texts():
-    import pyarrow as pa
+@pytest.fixture(scope="module")
+def reference_ids():
+    """Ids by the JSON vocabulary."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    encode = packing.public_encoder()
-    data, borders = utf8(pa.array(TEXTS))
-    ids, at = packing.WordEncoder(encode)(data, borders)
-    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == encode(TEXTS)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_odd_texts(reference_ids):
+    encode, draw = packing.public_encoder(), random.Random(0)
+    alphabet = "aZé ß 日'd'll\n\r\t\x0b\x1c\x85\xa0\u2028\u3000\u200b1２½-_🙂\U000e0001\x00"
+    odd = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(500)]
+    for text in TEXTS + odd:
+        assert encode(text).tolist() == reference_ids(text)
 
 
 def one_by_one(counts, most):
@@ -63,12 +72,12 @@ def test_intervals_are_best_fit_decreasing(seed):
     assert Counter(sum(n for _, n in b) for b in bins.values()) == one_by_one(counts, most)
 
 
-def test_pieces_round_trip(spark):
+def test_pieces_round_trip(spark, reference_ids):
     rows = [(i, t, None, None, None, "x", "y") for i, t in enumerate(TEXTS)] + [(None, None) + (None,) * 5] * 2 + [(0, TEXTS[0]) + (None,) * 5]
     found = packing.packed(spark.createDataFrame(rows, SCHEMA)).collect()
-    encode, expected = packing.public_encoder(), Counter()
+    expected = Counter()
     for row in rows:
-        own = encode([row[1] or ""])[0] + [packing.END]
+        own = reference_ids(row[1] or "") + [packing.END]
         start = 0
         for piece, length in enumerate(packing.piece_lengths(len(own))):
             crc = zlib.crc32(np.array(own[start : start + length], "<u4").tobytes())
