@@ -89,11 +89,13 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     found = pin(found.select("*", (F.col("target") - F.col("passes") * F.col("source_size")).alias("rest")), "mix-targets")
     running = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("*", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("start"))
-    crossed = (
+    # Written, tables of one row per source have a known size, and rows of a large source needn't meet to join them.
+    crossed = pin(
         starts.join(found.select("source_key", "rest"), "source_key")
         .filter("start <= rest")
         .groupBy("source_key")
-        .agg(F.max("bucket").alias("cut_bucket"), F.max_by("start", "bucket").alias("start"), F.max("rest").alias("rest"))
+        .agg(F.max("bucket").alias("cut_bucket"), F.max_by("start", "bucket").alias("start"), F.max("rest").alias("rest")),
+        "mix-crossed",
     )
     inside = rows.join(crossed.withColumnRenamed("cut_bucket", "bucket"), ["source_key", "bucket"])
     place = F.struct("key", "doc_id", "size")
@@ -102,7 +104,7 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     # Where the rest runs out inside a document, it is taken if that comes nearer.
     taken = inside.select("source_key", place.alias("place"), (2 * before + F.col("size") <= 2 * F.col("rest")).alias("fits"))
     last = taken.filter("fits").groupBy("source_key").agg(F.max("place").alias("cut"))
-    return found.join(crossed.select("source_key", "cut_bucket"), "source_key", "left").join(last, "source_key", "left")
+    return pin(found.join(crossed.select("source_key", "cut_bucket"), "source_key", "left").join(last, "source_key", "left"), "mix-cuts")
 
 
 def bucket_count(rows: int) -> int:
