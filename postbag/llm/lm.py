@@ -23,7 +23,7 @@ from postbag.llm import ppm
 from postbag.llm.common import fold, row_sums, steps, utf8
 from postbag.session import pin
 
-ORDER = 5
+ORDER = 6
 LEAST_SHARE = 2.0**-24
 HEAD_SHARE = 2.0**-17
 SMOOTHING = 0.1

@@ -1,6 +1,7 @@
 """Prediction by partial matching over bytes, with frozen statistics.
 
-A model is a trie of byte contexts up to a length ``order``, with counts of the bytes that followed. A byte is coded
+A model is a trie of byte contexts up to a length ``order``, with counts of the bytes that followed: how often in the
+longest contexts, and in the shorter ones in how many contexts one byte longer (update exclusion). A byte is coded
 in the longest context that is known; if it was never seen there, an escape leads to the next shorter one, where the
 bytes of the longer context are excluded. In a context with n counted bytes, d of them distinct, a byte counted c
 times has probability (2c - 1) / 2n and the escape d / 2n. After the empty context come all bytes not seen at all,
@@ -15,6 +16,7 @@ tasks hold, and contexts are the deeper the more often they occur.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -78,14 +80,20 @@ class GramCounter:
 def trie_counts(grams: DataFrame, order: int, least_share: float, by: list[str]) -> DataFrame:
     """(by, length, gram, n) of all grams of 1 to order + 1 bytes that reach the least share of their model's counts.
 
-    ``grams``: by, gram, n, maybe several rows for a gram; n sums to the length of the text.
+    ``grams``: by, gram, n, maybe several rows for a gram; n sums to the length of the text. The counts of the
+    longest grams are those; a shorter gram counts by the bytes that were found before it (update exclusion).
     """
-    whole = pin(grams.groupBy(*by, "gram").agg(F.sum("n").alias("n")), "grams")
-    totals = whole.groupBy(*by).agg(F.sum("n").alias("total"))
-    shorter = F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")) for k in range(1, order + 2)]))
-    all_lengths = whole.select(*by, "n", shorter.alias("g")).groupBy(*by, "g.length", "g.gram").agg(F.sum("n").alias("n"))
-    kept = all_lengths.join(totals, by) if by else all_lengths.crossJoin(F.broadcast(totals))  # a single row
-    return kept.filter(F.col("n") >= F.col("total") * least_share).select(*by, "length", "gram", "n")
+    level = pin(grams.groupBy(*by, "gram").agg(F.sum("n").alias("n"), F.sum("n").alias("kinds")), "grams")
+    totals = level.groupBy(*by).agg(F.sum("n").alias("total"))
+    levels = []
+    for length in range(order + 1, 0, -1):
+        if length <= order:
+            shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("gram")
+            level = pin(level.groupBy(*by, shorter).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")), "grams")
+        levels.append(level.select(*by, F.lit(length).alias("length"), "gram", "n", "kinds"))
+    every = reduce(DataFrame.unionByName, levels)
+    kept = every.join(totals, by) if by else every.crossJoin(F.broadcast(totals))  # a single row
+    return kept.filter(F.col("n") >= F.col("total") * least_share).select(*by, "length", "gram", F.col("kinds").alias("n"))
 
 
 class Trie:
@@ -143,8 +151,8 @@ class Model:
         self.tries = [Trie(levels) for levels in counts]
         grams = [t.levels[order][0] for t in self.tries if len(t.levels) > order]
         grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        # A table with open addresses, at most a quarter full.
-        self.shift = np.uint64(64 - max(4, int(4 * len(grams)).bit_length()))
+        # A table with open addresses, at most half full.
+        self.shift = np.uint64(64 - max(4, int(2 * len(grams)).bit_length()))
         self.keys = np.full(1 << (64 - int(self.shift)), np.uint64(0xFFFFFFFFFFFFFFFF))
         self.rows = np.full(len(self.keys), -1, np.int32)
         left, slot = np.arange(len(grams)), self._slot(grams)

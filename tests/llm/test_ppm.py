@@ -15,12 +15,15 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 
 
 def bits_one_by_one(texts, text, order):
-    follow = defaultdict(Counter)
+    follow, seen_before = defaultdict(Counter), set()
     for t in texts:
         wide = b"\0" * order + t
         for i in range(order, len(wide)):
-            for k in range(order + 1):
-                follow[k, wide[i - k : i]][wide[i]] += 1
+            follow[order, wide[i - order : i]][wide[i]] += 1
+            for k in range(order):
+                if (longer := wide[i - k - 1 : i + 1]) not in seen_before:
+                    seen_before.add(longer)
+                    follow[k, wide[i - k : i]][wide[i]] += 1
     wide, bits = b"\0" * order + text, 0.0
     for i in range(order, len(wide)):
         hidden = set()
@@ -38,6 +41,14 @@ def bits_one_by_one(texts, text, order):
     return bits
 
 
+def levels_from(grams, counts, order):
+    levels = [(grams, counts)]
+    for k in range(order, 0, -1):
+        longer = levels[0][0] & np.uint64((1 << 8 * k) - 1)
+        levels.insert(0, ppm.merged(longer, np.ones(len(longer), np.int64)))
+    return levels
+
+
 @pytest.mark.parametrize("order", [0, 1, 3, 6])
 def test_model_is_the_plain_one(order):
     draw = random.Random(order)
@@ -47,7 +58,7 @@ def test_model_is_the_plain_one(order):
     data = np.frombuffer(b"".join(texts), np.uint8)
     borders = np.cumsum([0] + [len(t) for t in texts])
     grams, counts = np.unique(ppm.padded(data, borders, order), return_counts=True)
-    levels = [ppm.merged(grams & np.uint64((1 << 8 * k) - 1), counts) for k in range(1, order + 2)]
+    levels = levels_from(grams, counts, order)
     model = ppm.Model([levels, levels], order)
     found = model.bits(np.frombuffer(b"".join(asked), np.uint8), np.cumsum([0] + [len(t) for t in asked]))
     expected = [bits_one_by_one(texts, t, order) for t in asked]
@@ -57,7 +68,7 @@ def test_model_is_the_plain_one(order):
 def test_probabilities_sum_to_one():
     data = np.frombuffer(b"abracadabra", np.uint8)
     grams, counts = np.unique(ppm.padded(data, np.array([0, 11]), 2), return_counts=True)
-    trie = ppm.Trie([ppm.merged(grams & np.uint64((1 << 8 * k) - 1), counts) for k in (1, 2, 3)])
+    trie = ppm.Trie(levels_from(grams, counts, 2))
     for context in (b"ab", b"ra", b"xa", b"xx"):
         every = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
         assert np.exp2(-trie.bits(every)).sum() == pytest.approx(1)
@@ -66,7 +77,7 @@ def test_probabilities_sum_to_one():
 def test_counts_in_spark(spark):
     grams = spark.createDataFrame([(5, 2), (5, 1), (0x0105, 1), (0x0106, 4)], "gram bigint, n bigint")
     found = {(r.length, r.gram): r.n for r in ppm.trie_counts(grams, 1, 0.2, []).collect()}
-    assert found == {(1, 5): 4, (1, 6): 4, (2, 5): 3, (2, 0x0106): 4}
+    assert found == {(1, 5): 2, (1, 6): 1, (2, 5): 3, (2, 0x0106): 4}
 
 
 WORDS = {"en": "the and with from have this that which".split(), "de": "der und mit von haben dieser dass welche".split()}
