@@ -10,6 +10,7 @@ from postbag.llm.common import table
 from postbag.llm.langid import language_digests
 from postbag.llm.lm import lm_digests
 from postbag.llm.mixing import mix_digests
+from postbag.llm.near_dups import near_duplicate_digests
 from postbag.llm.packing import packed
 from postbag.llm.sharding import shard_digests
 
@@ -34,6 +35,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in globals().items() if name.startswith("op")
 }
