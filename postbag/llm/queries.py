@@ -13,6 +13,11 @@ from postbag.llm.mixing import mix_digests
 from postbag.llm.near_dups import near_duplicate_digests
 from postbag.llm.packing import packed
 from postbag.llm.sharding import shard_digests
+from postbag.llm.substrings import repeat_digests
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
