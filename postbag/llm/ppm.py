@@ -4,7 +4,7 @@ A model is a trie of byte contexts up to a length ``order``, with counts of the
 longest contexts, and in the shorter ones in how many contexts one byte longer (update exclusion). A byte is coded
 in the longest context that is known; if it was never seen there, an escape leads to the next shorter one, where the
 bytes of the longer context are excluded. In a context with n counted bytes, d of them distinct, a byte counted c
-times has probability (2c - 1) / 2n and the escape d / 2n. After the empty context come all bytes not seen at all,
+times has probability (c - D) / n and the escape d D / n, where D is the discount. After the empty context come all bytes not seen at all,
 evenly. What a byte costs depends on it and the ``order`` bytes before it alone, so costs are tabulated for the
 grams of order + 1 bytes that the trie holds, and all others are worked out in bulk.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from postbag.session import pin
 
+#: What every distinct byte of a context leaves to the escape.
+DISCOUNT = 0.3
 #: Distinct grams that a counting task holds before it passes their counts on.
 HELD_GRAMS = 2_000_000
 
@@ -132,10 +134,10 @@ class Trie:
             n = total[at] - hidden[open_]
             d = kinds[at] - hidden_kinds[open_]
             hit = known & (keys[place] == own)
-            out[open_[hit]] -= np.log2((2 * counts[place[hit]] - 1) / (2 * n[hit]))
+            out[open_[hit]] -= np.log2((counts[place[hit]] - DISCOUNT) / n[hit])
             miss = known & ~hit
             escape = miss & (d > 0)
-            out[open_[escape]] -= np.log2(d[escape] / (2 * n[escape]))
+            out[open_[escape]] -= np.log2(d[escape] * DISCOUNT / n[escape])
             hidden[open_[miss]], hidden_kinds[open_[miss]] = shadow[at[miss]], kinds[at[miss]]
             open_ = open_[~hit]
         seen = len(self.levels[0][0]) if self.levels else 0

@@ -31,10 +31,10 @@ def bits_one_by_one(texts, text, order):
             seen = {s: c for s, c in follow[k, wide[i - k : i]].items() if s not in hidden}
             n = sum(seen.values())
             if wide[i] in seen:
-                bits -= math.log2((2 * seen[wide[i]] - 1) / (2 * n))
+                bits -= math.log2((seen[wide[i]] - ppm.DISCOUNT) / n)
                 break
             if seen:
-                bits -= math.log2(len(seen) / (2 * n))
+                bits -= math.log2(len(seen) * ppm.DISCOUNT / n)
             hidden |= set(seen)
         else:
             bits += math.log2(256 - len(hidden))
