@@ -14,6 +14,7 @@ from postbag.llm.near_dups import near_duplicate_digests
 from postbag.llm.packing import packed
 from postbag.llm.sharding import shard_digests
 from postbag.llm.substrings import repeat_digests
+from postbag.llm.toxicity import toxicity_digests
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 

@@ -1,0 +1,91 @@
+"""Segments against all subsequences, and toxic documents held out from training."""
+
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from postbag.llm import toxicity as tox
+from postbag.llm.common import utf8
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic string, score string, token string"
+CLASH = ("l", "s", 1, "x", "y", "z")
+CLEAN = [f"w{i}" for i in range(300)]
+BAD = ["Vile", "scum", "örgs", "nasty", "trash"]
+
+
+def by_halving(scores, low, high):
+    """Maximal segments by definition: the best one, then those left and right of it."""
+    best = max(((sum(scores[a:b]), -(b - a), -a) for a in range(low, high) for b in range(a + 1, high + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return by_halving(scores, low, a) + [(a, b)] + by_halving(scores, b, high)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_segments_are_all_maximal_ones(seed):
+    draw = random.Random(seed)
+    scores = [draw.uniform(-1, 1) for _ in range(draw.randint(0, 25))]
+    found = tox.segments(np.array(scores))
+    assert [(a, b) for a, b, _ in found] == by_halving(scores, 0, len(scores))
+    assert all(s == pytest.approx(sum(scores[a:b])) for a, b, s in found)
+
+
+def test_words_and_places():
+    texts = ["Ab, É-ß x1", None, "", " y "]
+    words, at, starts = tox.tokens_of(*utf8(pa.array(texts)))
+    assert [w.decode() for w in words.to_pylist()] == ["ab", "é", "ß", "x1", "y"]
+    assert at.tolist() == [0, 4, 4, 4, 5]
+
+
+def test_rate_solves_its_equation():
+    scores, shares = np.array([-0.2, 3.0]), np.array([0.99, 0.01])
+    rate = tox.root_rate(scores, shares)
+    assert (shares * np.exp(rate * scores)).sum() == pytest.approx(1) and rate > 0.01
+
+
+@pytest.fixture
+def rows():
+    draw = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        words, bad = [draw.choice(CLEAN) for _ in range(draw.randint(30, 200))], i % 8 == 0
+        for _ in range(draw.randint(3, 6) if bad else 0):
+            words.insert(draw.randint(0, len(words)), draw.choice(BAD))
+        rows.append((i, " ".join(words) + ".", *CLASH))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_held_out_documents(spark, rows):
+    rows, labels = rows
+    odd = [(None, "scum trash vile", *CLASH), (5000, None, *CLASH), (5001, "", *CLASH), (5002, "w1 " * 50_000, *CLASH), (3, rows[3][1], *CLASH)]
+    odd_labels = [(None, 1, 1), (7, 1, None), (3, 1, 0), (9999, 1, 1)]
+    documents = spark.createDataFrame(rows + odd, SCHEMA)
+    found = tox.toxicity_digests(documents, spark.createDataFrame(labels + odd_labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert len(found) == len(rows) + len(odd)
+    by_id = {r.doc_id: r for r in found}
+    held = [r for r in found if r.held_out and r.doc_id is not None and r.doc_id < 1200]
+    assert {r.doc_id for r in held} == {i for i in range(1200) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert np.mean([r.predicted == (r.doc_id % 8 == 0) for r in held]) > 0.98
+    assert all(r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in found)
+    assert by_id[None].predicted == 1 and [by_id[i].score for i in (5000, 5001, 5002)] == [0.0] * 3
+
+
+def test_passages_are_where_the_words_are(spark, rows):
+    rows, labels = rows
+    lexicon = tox.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    text = "w1 w2 é w3 " * 30 + "vile SCUM nasty trash" + " w4 w5" * 60
+    row = tox.score(spark.createDataFrame([(1, "", *CLASH), (2, text, *CLASH)], SCHEMA), lexicon).filter("doc_id = 2").first()
+    assert row.score > 0.9 and len(row.passages) == 1
+    assert text.encode()[row.passages[0].start :].startswith(b"vile") and row.passages[0].tokens == 4
+
+
+def test_without_labels_or_rows(spark, rows):
+    documents = spark.createDataFrame(rows[0][:20], SCHEMA)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    assert {r.score for r in tox.toxicity_digests(documents, none).collect()} == {0.0}
+    assert tox.toxicity_digests(documents.limit(0), none).collect() == []
