@@ -11,6 +11,7 @@ from postbag.llm.langid import language_digests
 from postbag.llm.lm import lm_digests
 from postbag.llm.mixing import mix_digests
 from postbag.llm.near_dups import near_duplicate_digests
+from postbag.llm.neighbours import neighbour_digests
 from postbag.llm.packing import packed
 from postbag.llm.sharding import shard_digests
 from postbag.llm.substrings import repeat_digests
@@ -21,6 +22,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op2_hash_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_digests(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digests(table(spark, sf_dir, "documents"))
 

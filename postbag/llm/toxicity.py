@@ -33,6 +33,8 @@ BEGINNINGS = (8, 7, 6, 5, 4)
 TOGETHER = 6
 #: A shorter text counts as one of so many tokens: a single slip in it is no more telling.
 LEAST_TOKENS = 100
+#: Values tried for the constant of the extreme-value law.
+LOG_K = [k / 2 for k in range(-24, 61)]
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -189,6 +191,47 @@ def _best(lexicon: Lexicon) -> Batches:
     return best
 
 
+def _fitted_log_k(found: pa.Table, rate: float) -> float:
+    """The constant K at which a score of one half parts the training documents best.
+
+    What counts is the share of toxic documents found and, twice, that of the others left alone.
+    """
+    toxic, n, best = found["toxic"].to_numpy(), found["n"].to_numpy(), found["best"].to_pylist()
+    if not len(toxic):
+        return 0.0
+
+    def merit(log_k: float) -> float:
+        said = np.array([expected(np.array(b), m, rate, log_k) <= math.log(2) for b, m in zip(best, n)])
+        return float(said[toxic == 1].mean() + 2 * (~said[toxic == 0]).mean()) if 0 < toxic.sum() < len(toxic) else 0.0
+
+    # Of equally good values the middle one.
+    merits = [merit(log_k) for log_k in LOG_K]
+    good = [log_k for log_k, m in zip(LOG_K, merits) if m >= max(merits) - 1e-12]
+    return good[len(good) // 2]
+
+
+def _score_counts(lexicon: Lexicon) -> Batches:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [scores for scores, _, _ in _scored(batch.column(1), lexicon)]
+            values, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["score", "n"])
+
+    return count
+
+
+def _best(lexicon: Lexicon) -> Batches:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, out = [], []
+            for scores, _, _ in _scored(batch.column(1), lexicon):
+                n.append(len(scores))
+                out.append(sorted((s for _, _, s in segments(scores)), reverse=True)[:TOGETHER])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["toxic", "n", "best"])
+
+    return best
+
+
 def _fitted_log_k(found: pa.Table, rate: float) -> float:
     """The constant K under which the labels of the training documents are likeliest."""
     toxic, n, best = found["toxic"].to_numpy(), found["n"].to_numpy(), found["best"].to_pylist()
@@ -199,7 +242,7 @@ def _fitted_log_k(found: pa.Table, rate: float) -> float:
         p = np.clip(np.where(toxic == 1, p, 1 - p), 1e-4, 1)
         return float(np.log(p).sum())
 
-    return max(np.arange(-12.0, 6.1, 1.0).tolist(), key=likelihood)
+    return max(np.arange(-12.0, 40.1, 1.0).tolist(), key=likelihood)
 
 
 def _scored(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
