@@ -12,8 +12,12 @@ SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint
 CLASH = ("l", "s", 1, "x", "y", "z", "w")
 
 
-def hashed(words):
-    return nd.shingle_hashes(nd.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))[0])
+def signed(*texts, counted=False):
+    """Signatures of lists of words, and their sets."""
+    hashes = [nd.word_hashes(np.frombuffer(" ".join(t).encode(), np.uint8))[0] for t in texts]
+    kinds, weights, borders = nd.shingle_sets_of(np.concatenate(hashes), np.cumsum([0, *map(len, hashes)]), counted)
+    sets = [dict(zip(kinds[a:b].tolist(), weights[a:b])) for a, b in zip(borders, borders[1:])]
+    return nd.signatures_of(kinds, weights, borders)[0], sets
 
 
 @pytest.mark.parametrize("counted", [False, True])
@@ -24,9 +28,8 @@ def test_agreement_is_similarity(counted):
         if counted:
             base += base[:40] * 3
         other = [w if draw.random() < 0.98 else "new" for w in base]
-        sets = [nd.weighted(hashed(t), counted) for t in (base, other)]
-        agree += (nd.signature(*sets[0]) == nd.signature(*sets[1])).mean()
-        a, b = (dict(zip(k.tolist(), w)) for k, w in sets)
+        found, (a, b) = signed(base, other, counted=counted)
+        agree += (found[0] == found[1]).mean()
         expected += sum(min(a[x], b[x]) for x in a.keys() & b.keys()) / sum(max(a.get(x, 0), b.get(x, 0)) for x in a.keys() | b.keys())
     assert abs(agree - expected) / 60 < 0.03
 
@@ -37,23 +40,32 @@ def test_fractional_weights():
     for _ in range(40):
         kinds = nd.mix(kinds)
         a, b = rng.random(40) * 5, rng.random(40) * 5
-        agree.append((nd.signature(kinds, a) == nd.signature(kinds, b)).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
+        found, _ = nd.signatures_of(np.tile(kinds, 2), np.concatenate([a, b]), np.array([0, 40, 80]))
+        agree.append((found[0] == found[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum())
     assert abs(np.mean(agree)) < 0.03
 
 
-def test_small_sets():
-    assert len(nd.signature(*nd.weighted(hashed(["one"])))) == nd.COORDINATES
-    assert len(nd.signature(*nd.weighted(hashed([])))) == 0
+def test_rows_are_signed_apart():
+    draw = random.Random(3)
+    texts = [[], ["one"], ["one", "two"]] + [[f"w{draw.randint(0, 50)}" for _ in range(draw.randint(1, 40))] for _ in range(30)] + [[]]
+    together, sets = signed(*texts)
+    for text, found, own in zip(texts, together, sets):
+        alone, (again,) = signed(text)
+        assert (found == alone[0]).all() and own == again
+        assert len(own) == len(shingles(" ".join(text)))
+    assert (together[0] == 0).all() and (together[1] != 0).any()
 
 
 def test_rows_do_not_run_together():
     import pyarrow as pa
 
+    from postbag.llm.common import utf8
+
     texts = ["a b", "", "c", None, " d  e f "]
-    rows = list(nd._rows(pa.array(texts)))
-    assert [len(r) for r in rows] == [2, 0, 1, 0, 3]
+    hashes, borders = nd.word_hashes_apart(*utf8(pa.array(texts)))
+    assert np.diff(borders).tolist() == [2, 0, 1, 0, 3]
     alone = [nd.word_hashes(np.frombuffer((t or "").encode(), np.uint8))[0] for t in texts]
-    assert [r.tolist() for r in rows] == [a.tolist() for a in alone]
+    assert hashes.tolist() == np.concatenate(alone).tolist()
 
 
 def shingles(text):
