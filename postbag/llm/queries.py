@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postbag.llm.common import table
+from postbag.llm.fingerprints import fingerprint_digests
 from postbag.llm.langid import language_digests
 from postbag.llm.lm import lm_digests
 from postbag.llm.mixing import mix_digests
@@ -50,6 +51,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digests(table(spark, sf_dir, "documents"))
 
