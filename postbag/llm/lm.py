@@ -143,29 +143,26 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER, least_
         end = np.log10((ends + SMOOTHING) / below)
         row_id = secrets.randbits(62)
         for batch in batches:
-            parts = [(model.bits(data, borders)[:, 0], *words_of(data, borders)) for _, _, data, borders in _normalised(batch.column(1))]
-            if not parts:
-                continue
-            bits, per_row = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
-            flat = pa.chunked_array([p[1].cast(pa.binary()) for p in parts]).combine_chunks()
-            # The table of head words is built for each call: one call for a whole batch.
-            found = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy()
-            at, rows = np.append(0, np.cumsum(per_row)), batch.num_rows
-            rare = np.flatnonzero(found < 0)
-            rare_borders = np.searchsorted(np.searchsorted(at, rare, "right") - 1, np.arange(rows + 1))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row_id + np.arange(rows)),
-                    batch.column(0),
-                    pa.array(per_row + 1),
-                    pa.array(row_sums((found >= 0).astype(np.int64), at).astype(np.int64) + (ends > 0)),
-                    pa.array(row_sums(each[found], at) + end),
-                    pa.array(bits * -np.log10(2)),
-                    pa.ListArray.from_arrays(pa.array(rare_borders, pa.int32()), flat.take(pa.array(rare))),
-                ],
-                ["row_id", "doc_id", "n_tokens", "n_head", "head_score", "score", "rare"],
-            )
-            row_id += rows
+            for low, high, data, borders in _normalised(batch.column(1)):
+                flat, per_row = words_of(data, borders)
+                flat, rows = flat.cast(pa.binary()), high - low
+                found = pc.index_in(flat, value_set=names).fill_null(-1).to_numpy()
+                at = np.append(0, np.cumsum(per_row))
+                rare = np.flatnonzero(found < 0)
+                rare_borders = np.searchsorted(np.searchsorted(at, rare, "right") - 1, np.arange(rows + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row_id + np.arange(rows)),
+                        batch.column(0)[low:high],
+                        pa.array(per_row + 1),
+                        pa.array(row_sums((found >= 0).astype(np.int64), at).astype(np.int64) + (ends > 0)),
+                        pa.array(row_sums(each[found], at) + end),
+                        pa.array(model.bits(data, borders)[:, 0] * -np.log10(2)),
+                        pa.ListArray.from_arrays(pa.array(rare_borders, pa.int32()), flat.take(pa.array(rare))),
+                    ],
+                    ["row_id", "doc_id", "n_tokens", "n_head", "head_score", "score", "rare"],
+                )
+                row_id += rows
 
     schema = "row_id bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_score double, score double, rare array<binary>"
     # Row numbers are drawn once, and fixed by writing them.

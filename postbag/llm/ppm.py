@@ -28,7 +28,7 @@ from postbag.session import pin
 #: What every distinct byte of a context leaves to the escape.
 DISCOUNT = 0.3
 #: Distinct grams that a counting task holds before it passes their counts on.
-HELD_GRAMS = 2_000_000
+HELD_GRAMS = 1_000_000
 
 
 def padded(data: np.ndarray, borders: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
