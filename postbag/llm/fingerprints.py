@@ -83,8 +83,9 @@ def _fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], words
 def document_fingerprints(documents: DataFrame) -> DataFrame:
     """(doc_id, text, fingerprint) of every row; NULL texts count as empty."""
     n = documents.count()
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return _fingerprints(rows, ["doc_id", "text"], {"text": "fingerprint"}, _for_join(lexicon(documents, n)))
+    # Equal rows are told apart by a number.
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _fingerprints(rows, ["doc_id", "text", "row"], {"text": "fingerprint"}, _for_join(lexicon(documents, n))).drop("row")
 
 
 def _for_join(words: DataFrame) -> DataFrame:

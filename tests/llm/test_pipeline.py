@@ -1,0 +1,55 @@
+"""The stages on a small table, each held against its operator or a plain reading of what it does."""
+
+from collections import Counter
+
+import pytest
+
+import __spark_entry__ as contract
+import corpus_pipeline
+from postbag.llm.oracle import SQL
+from postbag.llm.queries import QUERIES
+from tests.conftest import SMALL
+from tests.llm.test_near_dups import brute
+
+
+def test_names():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert set(SQL) <= set(QUERIES)
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    docs, out = spark.read.parquet(f"{SMALL}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stages") / name)
+        stage(spark, docs, SMALL).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_stages(spark, stages):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = documents.collect()
+    assert all(s.columns == documents.columns for s in stages[:4])
+    # Clean documents stay.
+    known = {r.doc_id for r in stages[0].collect()}
+    assert known == {r.doc_id for r in rows if r.text and any(c.isalpha() for c in r.text)}
+    classes, _ = brute([r for r in rows if r.doc_id in known])
+    apart = stages[1].collect()
+    assert sorted(r.doc_id for r in apart) == sorted(set(classes.values()))
+    cut = {r.doc_id: r for r in stages[2].collect()}
+    assert cut.keys() == {r.doc_id for r in apart}
+    for r in apart:
+        assert cut[r.doc_id].text == r.text or len(cut[r.doc_id].text) < len(r.text)
+    mixed = Counter(r.doc_id for r in stages[3].collect())
+    assert max(mixed.values()) <= 3 and mixed.keys() <= cut.keys()
+    words = {i: len(r.text.split()) for i, r in cut.items()}
+    assert sum(words[i] * n for i, n in mixed.items()) == pytest.approx(sum(words.values()), rel=0.05)
+    assert Counter(r.doc_id for r in stages[4].collect() if r.piece == 0) == mixed
+
+
+def test_run(spark, stages):
+    assert corpus_pipeline.run(spark, SMALL).count() == stages[4].count()
