@@ -39,12 +39,31 @@ def chunk_pattern(size: int) -> str:
     )
 
 
+def _short_runs(c: Column, size: int) -> Column:
+    """Runs of more than ``size`` blanks cut down to that many.
+
+    No chunk reaches over such a run, so all that counts of it is whether it holds a line end, two or none. The
+    pattern of a chunk would look over the whole run from each place where a chunk may end.
+    """
+    start = f"(?<![ \\t\\r\\f\\n])(?=[ \\t\\r\\f\\n]{{{size + 1},}}+)"
+    blanks = "[ \\t\\r\\f]*+"
+    for run, end in (
+        (f"{blanks}\\n{blanks}\\n[ \\t\\r\\f\\n]*+", "\n\n"),
+        (f"{blanks}\\n{blanks}", "\n"),
+        (f"{blanks}", ""),
+    ):
+        c = F.regexp_replace(c, start + run, end + " " * (size - len(end)))
+    return c
+
+
 def chunks(c: Column, size: int) -> Column:
     """Array of chunks of at most ``size`` characters; no chunk for an empty text.
 
     One regular expression walks each text once, inside the JVM.
     """
-    pieces = F.regexp_extract_all(c, F.lit(chunk_pattern(size)), F.lit(0))
+    long_run = c.rlike(f"(?<![ \\t\\r\\f\\n])[ \\t\\r\\f\\n]{{{size + 1},}}+")
+    text = F.when(long_run, _short_runs(c, size)).otherwise(c)
+    pieces = F.regexp_extract_all(text, F.lit(chunk_pattern(size)), F.lit(0))
     return F.filter(F.transform(pieces, trim), lambda x: x != "")
 
 

@@ -32,7 +32,7 @@ class Markers:
 LANGUAGES = {
     "en": Markers(
         "wrote:",
-        r"On [^\n]{1,200}(?:\n[^\n]{0,200})?wrote:",
+        r"On [^\n]+(?:\n[^\n]*)?wrote:",
         ("Original Message", "Forwarded message"),
         "From:",
         ("Sent:", "Date:", "To:"),
@@ -40,7 +40,7 @@ LANGUAGES = {
     ),
     "de": Markers(
         "schrieb",
-        r"Am [^\n]{1,200}(?:\n[^\n]{0,200})?schrieb[^\n]{0,200}:",
+        r"Am [^\n]+(?:\n[^\n]*)?schrieb[^\n]*:",
         ("Ursprüngliche Nachricht", "Weitergeleitete Nachricht"),
         "Von:",
         ("Gesendet:", "Datum:", "An:"),
@@ -48,7 +48,7 @@ LANGUAGES = {
     ),
     "fr": Markers(
         "écrit",
-        r"Le [^\n]{1,200}(?:\n[^\n]{0,200})?écrit ?:",
+        r"Le [^\n]+(?:\n[^\n]*)?écrit ?:",
         ("Message d'origine", "Message transféré"),
         "De :",
         ("Envoyé :", "Date :", "À :"),
@@ -56,7 +56,7 @@ LANGUAGES = {
     ),
     "es": Markers(
         "escribió",
-        r"El [^\n]{1,200}(?:\n[^\n]{0,200})?escribió:",
+        r"El [^\n]+(?:\n[^\n]*)?escribió:",
         ("Mensaje original", "Mensaje reenviado"),
         "De:",
         ("Enviado:", "Fecha:", "Para:"),

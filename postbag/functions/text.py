@@ -134,14 +134,14 @@ def batch_header(emails: Column, shown: int = 3, max_subject: int = 25) -> Colum
 
 
 def output_key(date_local: Column, sender: Column, subject: Column) -> Column:
-    """File name of a message's record: ``yyMMdd-HHmmss-sender-subject.jsonl``."""
+    """File name of a message's record: ``yyMMdd-HHmmss-sender-subject.jsonl``; a missing part is empty."""
     local_part = F.substring_index(sender, "@", 1)
     return F.concat(
-        F.date_format(date_local, "yyMMdd-HHmmss"),
+        F.coalesce(F.date_format(date_local, "yyMMdd-HHmmss"), F.lit("")),
         F.lit("-"),
-        slug(local_part, 20),
+        F.coalesce(slug(local_part, 20), F.lit("")),
         F.lit("-"),
-        slug(subject, 30),
+        F.coalesce(slug(subject, 30), F.lit("")),
         F.lit(".jsonl"),
     )
 

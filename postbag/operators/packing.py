@@ -109,15 +109,23 @@ def email_struct() -> Column:
         "recipients",
         iso_date(F.col("date_local"), F.col("date_offset_min")).alias("date"),
         "date_local",
+        # Not shown, but counted by.
+        "mailbox",
+        F.col("copies").cast("long").alias("copies"),
     )
 
 
+def counted(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``copies``: how often each was found, once if nothing says otherwise."""
+    return messages if "copies" in messages.columns else messages.withColumn("copies", F.lit(1))
+
+
 EMAIL_COLUMNS = ("uid", "subject", "sender", "recipients", "date_local", "date_offset_min")
 
 
 def _batched(messages: DataFrame, cost: Column, budget: int) -> DataFrame:
-    columns = list(dict.fromkeys([*ORDER, *EMAIL_COLUMNS, "mailbox", "content"]))
-    packed = with_packs(messages.select(*columns), ORDER, cost, budget)
+    columns = list(dict.fromkeys([*ORDER, *EMAIL_COLUMNS, "mailbox", "copies", "content"]))
+    packed = with_packs(counted(messages).select(*columns), ORDER, cost, budget)
     member = F.struct(F.struct(*ORDER).alias("key"), email_struct().alias("email"), "mailbox", "content")
     members = F.array_sort(F.collect_list(member))
     return (
@@ -135,9 +143,10 @@ def _batched(messages: DataFrame, cost: Column, budget: int) -> DataFrame:
 def batches(messages: DataFrame, size: int | None = None) -> DataFrame:
     """``size`` consecutive messages per batch, over folder and mailbox borders; the last may be smaller.
 
-    Takes messages with order columns and ``content``; the mailbox of a batch is that of its first message.
+    Takes messages with order columns and ``content``; the mailbox of a batch is that of its first message. A
+    message that was found several times is there once, and takes as many places as it was found times.
     """
-    return _batched(messages, F.lit(1), size or DEFAULT_BATCH)
+    return _batched(messages, F.coalesce("copies", F.lit(1)), size or DEFAULT_BATCH)
 
 
 def fitted_batches(messages: DataFrame, size: int) -> DataFrame:
@@ -151,12 +160,11 @@ def fitted_batches(messages: DataFrame, size: int) -> DataFrame:
 def single_items(messages: DataFrame) -> DataFrame:
     """Every message its own item."""
     item = F.concat_ws("|", F.lit("m"), "mailbox", "folder", "uid")
-    copies = F.col("copies") if "copies" in messages.columns else F.lit(1)
-    return messages.select(
+    return counted(messages).select(
         item.alias("item_id"),
         "mailbox",
         F.array(email_struct()).alias("emails"),
-        copies.cast("long").alias("copies"),
+        F.col("copies").cast("long").alias("copies"),
         "content",
     )
 

@@ -41,7 +41,7 @@ def item_stats(responses: DataFrame) -> DataFrame:
         # An item has one mailbox and one key: as group columns they keep the aggregation on hash tables.
         .groupBy("item_id", "mailbox", "output_key")
         .agg(
-            (F.max(F.size("emails")) * F.max("copies")).cast("long").alias("messages"),
+            F.max(F.aggregate("emails", F.lit(0).cast("long"), lambda n, e: n + e["copies"])).alias("messages"),
             F.max(F.col("error").isNotNull()).alias("failed"),
             F.count("response").alias("calls"),
             F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"),
@@ -85,7 +85,7 @@ def error_report(responses: DataFrame, shown: int = 3) -> DataFrame:
     """
     errors = responses.filter("error IS NOT NULL")
     subjects = F.array_join(F.transform(F.slice("emails", 1, 2), lambda e: F.left(e["subject"], F.lit(20))), ", ")
-    line = F.concat(F.lit("LLM error for '"), subjects, F.lit("...': "), F.col("error"))
+    line = F.concat(F.lit("no answer on ["), subjects, F.lit("]: "), F.col("error"))
     newest = Window.partitionBy("mailbox").orderBy(
         F.col("emails")[0]["date_local"].desc(), F.col("item_id").desc(), F.col("chunk_ix").desc()
     )

@@ -121,7 +121,10 @@ def ask(
     make_completer: Callable[[], Completer],
     known: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Responses of a run, one row per chunk. Lazy: write it before using it twice."""
+    """Responses of a run, one row per chunk. The calls are made when it is read: write it before using it twice.
+
+    A limit, threads and batches need an order or counts over everything and run jobs while the plan is built.
+    """
     work = chunked(items(fetch(messages, options, known), options), options.max_context)
     return infer(
         work,
@@ -151,10 +154,9 @@ def run_ask(
         found, options.output_dir or default_output_dir(), options.per_key_files, options.dry_run
     )
     names = resolve_mailboxes(options.boxes, known) if known else options.boxes
-    # In a batch the messages of several mailboxes count for the batch's own.
-    fetched = responses.groupBy("item_id", "mailbox").agg(
-        (F.max(F.size("emails")) * F.max("copies")).cast("long").alias("copies"),
-    )
+    # Of an item's chunks the first stands for it; messages count for their own mailbox, also in a batch.
+    firsts = responses.filter("chunk_ix IS NULL OR chunk_ix = 0").select(F.explode("emails").alias("email"))
+    fetched = firsts.select("email.mailbox", "email.copies")
     return AskResult(
         responses=responses,
         records=found,

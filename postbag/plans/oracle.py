@@ -387,7 +387,7 @@ FROM (SELECT mailbox, len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9
        greatest(max(n) - 3, 0) AS more
 FROM (SELECT mailbox, count(*) OVER (PARTITION BY mailbox) AS n,
              row_number() OVER (PARTITION BY mailbox ORDER BY date_local DESC, item_id DESC, chunk_ix DESC) AS place,
-             'LLM error for ''' || left(subject, 20) || '...'': ConnectionError: no answer' AS line
+             'no answer on [' || left(subject, 20) || ']: ConnectionError: no answer' AS line
       FROM bad JOIN items USING (item_id, mailbox))
 WHERE place <= 3 GROUP BY mailbox"""
     ),

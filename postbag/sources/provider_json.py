@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postbag.functions.text import let, trim
 from postbag.schema import MESSAGE, PROVIDER_JSON
 
+# Where a line that cannot be read is kept.
+CORRUPT = "_corrupt"
+
 # Zone names of mail dates and their offsets.
 ZONES = {
     "UT": "+0000",
@@ -129,4 +133,17 @@ def from_json_rows(raw: DataFrame, mailbox: str) -> DataFrame:
 
 
 def read_provider_json(spark: SparkSession, path: str, mailbox: str = "gmail") -> DataFrame:
+    """Messages of JSON lines. Lines that are no JSON are in ``provider_json_errors``."""
     return from_json_rows(spark.read.schema(PROVIDER_JSON).json(path), mailbox)
+
+
+def provider_json_errors(spark: SparkSession, path: str, mailbox: str = "gmail") -> DataFrame:
+    """(mailbox, source, error) of the lines that are no JSON or have no message id. ``source`` is the line."""
+    schema = T.StructType([*PROVIDER_JSON.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).filter(trim(F.col("value")) != "").select("value", parsed.alias("m"))
+    return lines.filter(F.col(f"m.{CORRUPT}").isNotNull() | F.col("m.id").isNull()).select(
+        F.lit(mailbox).alias("mailbox"),
+        F.col("value").alias("source"),
+        F.when(F.col(f"m.{CORRUPT}").isNotNull(), "no JSON").otherwise("no message id").alias("error"),
+    )

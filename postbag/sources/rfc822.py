@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 from collections.abc import Iterator
 
@@ -27,6 +28,14 @@ _PARSED = T.StructType(
 )
 
 
+def _part_text(part: email.message.EmailMessage) -> str:
+    """Text of a part. Where its charset is unknown or wrong, what UTF-8 makes of it, with replacement characters."""
+    try:
+        return part.get_content()
+    except (LookupError, UnicodeError):
+        return (part.get_payload(decode=True) or b"").decode("utf-8", "replace")
+
+
 def _parse(raw: bytes) -> dict:
     """Header fields and the bodies of all parts of a message."""
     message = email.message_from_bytes(raw, policy=email.policy.default)
@@ -34,7 +43,7 @@ def _parse(raw: bytes) -> dict:
     bodies: dict[str, list[str]] = {"text/plain": [], "text/html": []}
     for part in message.walk():
         if part.get_content_type() in bodies and not part.is_attachment():
-            bodies[part.get_content_type()].append(part.get_content())
+            bodies[part.get_content_type()].append(_part_text(part))
     fields["text"] = "".join(bodies["text/plain"]) or None
     fields["html"] = "".join(bodies["text/html"]) or None
     return fields
@@ -57,14 +66,38 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_parse_files, _PARSED)
 
 
-def read_rfc822(spark: SparkSession, path: str, mailbox: str = "imap", glob: str = "*.eml") -> DataFrame:
-    """Files below ``path`` as messages: the directory is the folder, the file's stem the uid."""
-    files = (
+def mail_files(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
+    """Files below ``path``, one per mail. The driver lists them: for very many mails pack them into tables."""
+    return (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
     )
+
+
+def read_rfc822(spark: SparkSession, path: str, mailbox: str = "imap", glob: str = "*.eml") -> DataFrame:
+    """Files below ``path`` as messages: the directory is the folder, the file's stem the uid.
+
+    Files that cannot be read are in ``rfc822_errors``.
+    """
+    return from_mail_rows(mail_files(spark, path, glob), mailbox)
+
+
+def read_packed_rfc822(spark: SparkSession, path: str, mailbox: str = "imap") -> DataFrame:
+    """Mails from a Parquet table with columns ``path`` and ``content``: many mails to a file."""
+    return from_mail_rows(spark.read.parquet(path), mailbox)
+
+
+def rfc822_errors(files: DataFrame, mailbox: str = "imap") -> DataFrame:
+    """(mailbox, source, error) of the mails that could not be read."""
+    return parse_files(files).filter("error IS NOT NULL").select(
+        F.lit(mailbox).alias("mailbox"), F.col("path").alias("source"), "error"
+    )
+
+
+def from_mail_rows(files: DataFrame, mailbox: str) -> DataFrame:
+    """Messages of rows with ``path`` and ``content``."""
     dated = parse_files(files).filter("error IS NULL").withColumn("_date", mail_date(F.col("date")))
     messages = dated.select(
         F.lit(mailbox).alias("mailbox"),

@@ -22,10 +22,9 @@ from postbag.operators.packing import chunked, single_items
 from postbag.operators.threads import expand_threads
 from postbag.plans.ask import MAX_CONTEXT, AskOptions, items
 from postbag.schema import MESSAGE, PROVIDER_JSON
-from postbag.sources.provider_json import from_json_rows
+from postbag.sources.provider_json import CORRUPT, from_json_rows
 from postbag.sources.records import records
 
-CORRUPT = "_corrupt"
 # Contexts' worth of messages per micro-batch, and what a message is taken to weigh.
 BUFFERED_CONTEXTS = 20
 TOKENS_PER_MESSAGE = 500
@@ -74,14 +73,37 @@ def provider_json_stream(
     return from_json_rows(raw.filter(F.col(CORRUPT).isNull()), mailbox), bad
 
 
+def _reject(options: AskOptions, *names: str) -> None:
+    """A stream has no end to count to and no run to leave out: such options are errors, not ignored."""
+    used = [name for name in ("max_emails", "dry_run", *names) if getattr(options, name)]
+    if used:
+        raise ValueError(f"a stream cannot do: {', '.join(used)}")
+
+
 def ask_stream(messages: DataFrame, options: AskOptions, make_completer: Callable[[], Completer]) -> DataFrame:
-    """Responses as a stream, one message per item."""
+    """Responses as a stream, one message per item.
+
+    Without ``boxes`` all mailboxes of the stream count. ``thread`` shows each message with its headers; whole
+    threads, batches, limits and dry runs are errors here.
+    """
+    _reject(options, "batch")
     found = search(
         messages, options.criteria, options.boxes, resolve_folders(options.folders, options.in_sent)
     )
     cleaned = with_content(found, options.languages, headers=options.thread)
     work = chunked(single_items(cleaned), options.max_context)
-    return infer(work, options.prompt, make_completer, attempts=options.attempts)
+    return _infer(work, options, make_completer)
+
+
+def _infer(work: DataFrame, options: AskOptions, make_completer: Callable[[], Completer]) -> DataFrame:
+    return infer(
+        work,
+        options.prompt,
+        make_completer,
+        attempts=options.attempts,
+        concurrency=options.concurrency,
+        profile=options.profile,
+    )
 
 
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
@@ -97,8 +119,36 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     )
 
 
+def responses_path(path: str) -> str:
+    """Where a stream that writes records to ``path`` keeps all responses, failures too: read them with
+    ``spark.read.parquet`` for statistics, the error report and to ask again."""
+    return f"{path.rstrip('/')}-responses"
+
+
+def _write_micro_batch(responses: DataFrame, path: str, number: int, batch: bool) -> None:
+    """Answers and failures of a micro-batch, then the records made of what was written: no call is made twice.
+
+    Each micro-batch writes its own folders and replaces them when it is repeated, so nothing comes twice.
+    """
+    kept = f"{responses_path(path)}/micro_batch={number}"
+    responses.write.mode("overwrite").parquet(kept)
+    written = responses.sparkSession.read.schema(responses.schema).parquet(kept)
+    (
+        records(written, batch=batch)
+        .write.mode("overwrite")
+        .option("ignoreNullFields", "false")
+        .json(f"{path}/micro_batch={number}")
+    )
+
+
 def write_records_stream(responses: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return write_stream(records(responses), path, checkpoint, "json")
+    """Records of a stream of responses; all responses go to ``responses_path(path)``."""
+    return (
+        responses.writeStream.foreachBatch(lambda micro, number: _write_micro_batch(micro, path, number, False))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def write_asked_stream(
@@ -112,10 +162,10 @@ def write_asked_stream(
     """Ask about batches or threads of what arrives.
 
     A micro-batch's last batch is not carried on to the next one. Threads are looked up in ``archive``, a
-    message table, by default in the micro-batch itself; hits whose thread it does not know stay alone.
-
-    Each micro-batch writes its own folder and replaces it when it is repeated, so nothing comes twice.
+    message table, by default in the micro-batch itself; hits whose thread it does not know stay alone. All
+    responses go to ``responses_path(path)``. Without ``boxes`` all mailboxes of the stream count.
     """
+    _reject(options)
     boxes = options.boxes or []
     folders = resolve_folders(options.folders, options.in_sent)
 
@@ -124,13 +174,7 @@ def write_asked_stream(
         if options.thread:
             found = expand_threads(found, micro if archive is None else archive, dedup=False, fallback=True)
         work = chunked(items(with_order(found, boxes, folders), options), options.max_context)
-        responses = infer(work, options.prompt, make_completer, attempts=options.attempts)
-        (
-            records(responses, batch=options.batch)
-            .write.mode("overwrite")
-            .option("ignoreNullFields", "false")
-            .json(f"{path}/micro_batch={number}")
-        )
+        _write_micro_batch(_infer(work, options, make_completer), path, number, options.batch)
 
     return (
         messages.writeStream.foreachBatch(each)

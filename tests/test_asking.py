@@ -147,7 +147,7 @@ def test_run_ask(spark, tmp_path):
     assert error.asDict() == {
         "mailbox": "first",
         "errors": 1,
-        "last_errors": "LLM error for 'Test Subject...': ValueError: told to fail",
+        "last_errors": "no answer on [Test Subject]: ValueError: told to fail",
         "more": 0,
     }
 
@@ -205,7 +205,7 @@ def test_without_a_list_of_mailboxes_all_are_asked(spark, tmp_path):
     options = AskOptions("P", output_dir=str(tmp_path / "out"), batch=True, batch_size=2)
     result = run_ask(frame(spark, rows[:2]), options, make_echo)
     assert result.records.first()["response"]["content"] == "P: hello a\n---\nhello b"
-    assert [tuple(r) for r in result.counts.collect()] == [("a", 2), ("Total", 2)]
+    assert [tuple(r) for r in result.counts.collect()] == [("a", 1), ("b", 1), ("Total", 2)]
     single = run_ask(frame(spark, rows[:2]), AskOptions("P", dry_run=True), make_echo)
     assert [tuple(r) for r in single.counts.collect()] == [("a", 1), ("b", 1), ("Total", 2)]
 
@@ -262,3 +262,13 @@ def test_options():
     assert str(options.criteria.date_from) == "2024-01-15"
     with pytest.raises(ValueError):
         AskOptions("P", date_to="yesterday")
+
+
+def test_copies_count_in_batches(spark, tmp_path):
+    rows = [message(str(i), thread_id="t", text=f"number {i}", date_local=after(i)) for i in range(3)]
+    given = {"thread": True, "batch": True, "batch_size": 3}
+    result = run_ask(frame(spark, rows), AskOptions("P", output_dir=str(tmp_path / "o"), **given), make_echo, ["first"])
+    # Three hits in one thread of three messages: each message is found three times and fills a batch.
+    assert sorted(len(r["emails"]) for r in result.responses.collect()) == [1, 1, 1]
+    assert result.stats.first()["emails_fetched"] == 9
+    assert [tuple(r) for r in result.counts.collect()] == [("first", 9), ("Total", 9)]

@@ -1,4 +1,5 @@
 import re
+import time
 from datetime import datetime
 
 import pytest
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from postbag.functions import html, replies, text, verdicts
+from postbag.functions import chunks, html, replies, text, verdicts
 from postbag.functions.html_parsing import parsed_html_to_text
 
 
@@ -268,3 +269,31 @@ def test_is_empty_answer_agrees_with_the_patterns(spark, answers):
 )
 def test_parsed_html(value, page, expected):
     assert value(parsed_html_to_text, page) == expected
+
+
+def test_long_reply_headers_are_cut_off(value):
+    names = ", ".join(f"Person {i} <p{i}@example.com>" for i in range(40))
+    assert value(replies.newest_reply, f"Hi\n\nOn Mon, {names}\n{names} wrote:\n> old") == "Hi"
+    assert value(lambda c: replies.newest_reply(c, ["de"]), f"Hi\n\nAm Mo schrieb {names}:\n> alt") == "Hi"
+
+
+def test_output_key_with_missing_parts(spark):
+    row = spark.range(1).select(text.output_key(F.lit(None).cast("timestamp_ntz"), F.lit(None).cast("string"), F.lit("a b")).alias("k"))
+    assert row.first()["k"] == "--a-b.jsonl"
+
+
+@pytest.mark.parametrize("size", [200, 7192])
+def test_long_blank_runs_are_quick_and_change_nothing(value, size):
+    start = time.perf_counter()
+    assert value(lambda c: chunks.chunks(c, size), " " * 10_000_000) == []
+    assert value(lambda c: chunks.chunks(c, size), "a" + " " * 5_000_000 + "\n b") == ["a", "b"]
+    assert time.perf_counter() - start < 10
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["ab", "c.", "defg"]), st.sampled_from([" ", "\n", "\n\n", "\t \n \n"]), st.integers(1, 30)), min_size=1, max_size=12))
+def test_short_runs_cut_alike(spark, pieces):
+    long = "".join(word + (blank * n)[:40] for word, blank, n in pieces)
+    plain = F.filter(F.transform(F.regexp_extract_all(F.lit(long), F.lit(chunks.chunk_pattern(10)), F.lit(0)), text.trim), lambda x: x != "")
+    row = spark.range(1).select(chunks.chunks(F.lit(long), 10).alias("ours"), plain.alias("plain")).first()
+    assert row["ours"] == row["plain"]

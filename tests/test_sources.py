@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from postbag.schema import MESSAGE
 from postbag.sources import registry
 from postbag.sources.provider_json import mail_date, read_provider_json
-from postbag.sources.registry import read_mailbox, read_mailboxes, register_source
-from postbag.sources.rfc822 import parse_files, read_rfc822
+from postbag.sources.registry import read_errors, read_mailbox, read_mailboxes, register_source
+from postbag.sources.rfc822 import parse_files, read_rfc822, rfc822_errors
 from tests.rows import frame, message
 
 
@@ -163,11 +163,30 @@ def test_rfc822(spark, tmp_path):
 
 
 def test_a_bad_file_is_a_row_not_a_failure(spark):
-    bad = b"Content-Type: text/plain; charset=no-such-charset\nContent-Transfer-Encoding: 8bit\n\n\xff\n"
-    files = spark.createDataFrame([("p/1.eml", bytearray(bad)), ("p/2.eml", bytearray(b"Subject: x\n\ny"))], "path string, content binary")
+    files = spark.createDataFrame([("p/1.eml", None), ("p/2.eml", bytearray(b"Subject: x\n\ny"))], "path string, content binary")
     rows = {row["path"]: row for row in parse_files(files).collect()}
     assert rows["p/1.eml"]["error"] and rows["p/1.eml"]["subject"] is None
     assert rows["p/2.eml"]["error"] is None and rows["p/2.eml"]["subject"] == "x"
+    assert [(r.mailbox, r.source) for r in rfc822_errors(files, "m").collect()] == [("m", "p/1.eml")]
+
+
+def test_an_odd_charset_loses_no_message(spark, tmp_path):
+    odd = b"Subject: odd\nContent-Type: text/plain; charset=no-such-charset\nContent-Transfer-Encoding: 8bit\n\nab \xff \xc3\xa9\n"
+    wrong = b"Subject: wrong\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\nab \xff\n"
+    packed = [("in/1.eml", bytearray(odd)), ("in/2.eml", bytearray(wrong))]
+    spark.createDataFrame(packed, "path string, content binary").write.parquet(str(tmp_path / "packed"))
+    found = {r.subject: r for r in read_mailbox(spark, "imap_packed", str(tmp_path / "packed"), "m").collect()}
+    assert found["odd"].text == "ab \ufffd é\n" and found["wrong"].text == "ab \ufffd\n"
+    assert found["odd"].folder == "in" and found["odd"].uid == "1"
+    assert read_errors(spark, {"m": ("imap_packed", str(tmp_path / "packed"))}).collect() == []
+
+
+def test_bad_lines_are_reported(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(MAIL[0]) + '\n{not json\n{"threadId": "x"}\n\n')
+    mailboxes = {"m": ("gmail", str(tmp_path)), "t": ("table", "unused")}
+    assert [r.uid for r in read_mailboxes(spark, mailboxes, "m").collect()] == ["parts"]
+    found = sorted(tuple(r) for r in read_errors(spark, mailboxes, "m,t").collect())
+    assert found == [("m", '{"threadId": "x"}', "no message id"), ("m", "{not json", "no JSON")]
 
 
 def test_registry(spark, tmp_path, monkeypatch):

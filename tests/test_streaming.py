@@ -1,9 +1,11 @@
 import json
 
+import pytest
+
 from postbag import AskOptions
 from postbag.operators.cleaning import with_content
 from postbag.operators.filters import Criteria, search
-from postbag.operators.reports import Progress
+from postbag.operators.reports import Progress, run_stats
 from postbag.plans.ask import ask
 from postbag.sources.records import read_records, records
 from postbag.streaming.jobs import (
@@ -11,6 +13,7 @@ from postbag.streaming.jobs import (
     buffer_size,
     message_stream,
     provider_json_stream,
+    responses_path,
     write_asked_stream,
     write_records_stream,
     write_stream,
@@ -113,3 +116,37 @@ def test_threads_of_a_stream_come_from_a_table(spark, tmp_path):
     found = read_records(spark, out).collect()
     assert sorted(r["email"]["uid"] for r in found) == ["0", "1", "2", "4", "7"]
     assert all("From: john.doe@example.com" in r["response"]["content"] for r in found)
+
+
+def make_failing():
+    def complete(prompt, content):
+        if "told to fail" in content:
+            raise ValueError(content)
+        return {"content": f"answer to {content}"}
+
+    return complete
+
+
+def test_failures_of_a_stream_are_kept(spark, tmp_path):
+    land(spark, str(tmp_path / "in"), [message(str(i), text="told to fail" if i % 2 else "fine") for i in range(4)])
+    for name, options in (("one", AskOptions("P", attempts=1)), ("batch", AskOptions("P", attempts=1, batch=True, batch_size=1))):
+        out, stream = str(tmp_path / name), message_stream(spark, str(tmp_path / "in"))
+        if options.batch:
+            query = write_asked_stream(stream, options, make_failing, out, f"{out}-c")
+        else:
+            query = write_records_stream(ask_stream(stream, options, make_failing), out, f"{out}-c")
+        query.awaitTermination()
+        assert read_records(spark, out, batch=options.batch).count() == 2
+        kept = spark.read.parquet(responses_path(out))
+        stats = run_stats(kept).first()
+        assert (stats["emails_processed"], stats["emails_failed"]) == (2, 2)
+
+
+@pytest.mark.parametrize("option", [{"max_emails": 2}, {"dry_run": True}, {"batch": True}])
+def test_what_a_stream_cannot_do_is_an_error(spark, tmp_path, option):
+    options, stream = AskOptions("P", **option), message_stream(spark, str(tmp_path))
+    with pytest.raises(ValueError, match=next(iter(option))):
+        ask_stream(stream, options, make_echo)
+    if "batch" not in option:
+        with pytest.raises(ValueError, match=next(iter(option))):
+            write_asked_stream(stream, options, make_echo, str(tmp_path / "o"), str(tmp_path / "c"))
