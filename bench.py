@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from postbag.plans.queries import QUERIES
@@ -51,6 +52,7 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="16g",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="postbag-bench-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     # Starts the Python workers and compiles the common code paths.

@@ -123,9 +123,13 @@ def counted(messages: DataFrame) -> DataFrame:
 EMAIL_COLUMNS = ("uid", "subject", "sender", "recipients", "date_local", "date_offset_min")
 
 
-def _batched(messages: DataFrame, cost: Column, budget: int) -> DataFrame:
+def _batched(messages: DataFrame, cost: Column, budget: int, fit: bool = False) -> DataFrame:
     columns = list(dict.fromkeys([*ORDER, *EMAIL_COLUMNS, "mailbox", "copies", "content"]))
     packed = with_packs(counted(messages).select(*columns), ORDER, cost, budget)
+    if fit:
+        # What reaches over the end of its stretch is a batch of its own.
+        over = F.coalesce(F.col("place") + cost > (F.col("pack") + 1) * budget, F.lit(False))
+        packed = packed.withColumn("pack", 2 * F.col("pack") + over.cast("long"))
     member = F.struct(F.struct(*ORDER).alias("key"), email_struct().alias("email"), "mailbox", "content")
     members = F.array_sort(F.collect_list(member))
     return (
@@ -150,11 +154,13 @@ def batches(messages: DataFrame, size: int | None = None) -> DataFrame:
 
 
 def fitted_batches(messages: DataFrame, size: int) -> DataFrame:
-    """As many consecutive messages per batch as fill ``size`` characters, separators included.
+    """Consecutive messages in batches of at most ``size`` characters, separators included.
 
-    A batch holds the messages that begin within its stretch of ``size`` characters.
+    All messages one after the other are cut into stretches of ``size`` characters. A batch holds the messages that
+    lie within one stretch (even ``batch_id``), a message across the end of a stretch is alone (odd). So only a
+    single message can be longer than ``size``, and the result does not depend on how rows are partitioned.
     """
-    return _batched(messages, F.length("content") + len(SEPARATOR), size)
+    return _batched(messages, F.length("content") + len(SEPARATOR), size, fit=True)
 
 
 def single_items(messages: DataFrame) -> DataFrame:

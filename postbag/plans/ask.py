@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -92,6 +93,7 @@ class AskResult:
     counts: DataFrame  # messages per mailbox and total
     errors: DataFrame  # last errors per mailbox
     path: str | None  # where the records were written
+    elapsed_seconds: float  # from the start of the run until its records were written
 
 
 def fetch(messages: DataFrame, options: AskOptions, known: Iterable[str] | None = None) -> DataFrame:
@@ -101,7 +103,9 @@ def fetch(messages: DataFrame, options: AskOptions, known: Iterable[str] | None
     found = search(messages, options.criteria, boxes, folders)
     copies = None
     if options.thread:
-        found, copies = expand_threads(found, messages, dedup=False), "copies"
+        # A thread never leaves its mailbox: others needn't be read.
+        own = messages.filter(F.col("mailbox").isin(list(boxes))) if boxes else messages
+        found, copies = expand_threads(found, own, dedup=False), "copies"
     return limit(with_order(found, boxes, folders), options.max_emails, copies)
 
 
@@ -147,6 +151,7 @@ def run_ask(
     The responses are written to the shared folder first; records, statistics and error report read them
     there, so no call is made twice for them.
     """
+    started = time.monotonic()
     known = list(known) if known else None
     responses = pin(ask(messages, options, make_completer, known), "responses")
     found = records(responses, options.batch)
@@ -164,4 +169,5 @@ def run_ask(
         counts=mailbox_counts(fetched, names),
         errors=error_report(responses),
         path=path,
+        elapsed_seconds=time.monotonic() - started,
     )

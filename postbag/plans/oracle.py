@@ -187,9 +187,9 @@ def walked_chunks(rows: str, size: int = FULL) -> tuple[str, str]:
 ITEMS = f"items AS (SELECT *, {ITEM} AS item_id FROM cleaned)"
 
 
-def batched(size: int, rows: str = "cleaned", place: str = "row_number() OVER w - 1") -> str:
+def batched(size: int, rows: str = "cleaned", batch: str | None = None) -> str:
     return f"""placed AS (
-  SELECT *, CAST({place} AS BIGINT) // {size} AS batch_id FROM {rows}
+  SELECT *, CAST({batch or f"(row_number() OVER w - 1) // {size}"} AS BIGINT) AS batch_id FROM {rows}
   WINDOW w AS (ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 batches AS (
   SELECT batch_id, first(mailbox ORDER BY {ORDER}) AS mailbox, count(*) AS n_emails,
@@ -362,7 +362,9 @@ FROM bodies GROUP BY mailbox""",
     "batch_text": over_cleaned("SELECT batch_id, mailbox, n_emails, content FROM batches", batched(7)),
     "batch_fit": over_cleaned(
         "SELECT * FROM batches",
-        batched(FULL, place="sum(length(content) + 5) OVER w - length(content) - 5"),
+        batched(FULL, rows="cleaned", batch=f"""2 * ((sum(length(content) + 5) OVER w - length(content) - 5) // {FULL})
+         + CASE WHEN sum(length(content) + 5) OVER w > ((sum(length(content) + 5) OVER w - length(content) - 5) // {FULL} + 1) * {FULL}
+                THEN 1 ELSE 0 END"""),
     ),
     "chunk_fixed": over_cleaned(
         f"""SELECT item_id, chunk_ix, substring(content, chunk_ix * {CHUNK} + 1, {CHUNK}) AS chunk

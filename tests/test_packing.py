@@ -83,9 +83,11 @@ def test_fitted_batches(spark):
     found = sorted(fitted_batches(contents(spark, rows), 100).collect(), key=lambda r: r["batch_id"])
     expected, place = {}, 0
     for row, n in zip(rows, sizes):
-        expected.setdefault(place // 100, []).append(row["uid"])
+        over = place + n + 5 > (place // 100 + 1) * 100
+        expected.setdefault(2 * (place // 100) + over, []).append(row["uid"])
         place += n + 5
     assert {r["batch_id"]: [e["uid"] for e in r["emails"]] for r in found} == expected
+    assert all(len(r["content"]) <= 100 for r in found if len(r["emails"]) > 1)
 
 
 def test_batching_moves_texts_once_and_never_to_one_task(spark):
