@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from postbag.session import shared_path
 
 #: The tables' columns; given, so that no job has to look at the files to find them.
 TABLES = {
@@ -37,8 +39,21 @@ def uniform(*parts: Column | str) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
-def schema_of(df: DataFrame, *names: str) -> list[T.StructField]:
-    return [df.schema[name] for name in names]
+class Scratch:
+    """Tables of one computation, in a folder of their own in the shared folder, to be dropped together."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.path = spark, shared_path(spark, kind)
+
+    def pin(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """To be called when nothing reads the tables any more."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

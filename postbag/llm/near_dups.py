@@ -7,7 +7,7 @@ documents agree at a coordinate with the probability of their weighted Jaccard s
 looked at for k coordinates, however many shingles there are.
 
 Texts that agree in all coordinates of a band share a bucket. Within a bucket texts are compared with leaders, not
-with each other: first with one, then, in buckets that still hold several classes, with sixteen times as many in each
+with each other: first with one, then, in buckets that still hold several classes, with 64 times as many in each
 round, until all pairs of different classes have been compared. A comparison is exact, on the shingle sets. Links
 become classes by spreading the least id.
 """
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postbag.llm.common import steps, utf8
+from postbag.llm.common import Scratch, steps, utf8
 from postbag.session import pin
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 COORDINATES = BANDS * BAND_ROWS
-GROWTH = 16
+GROWTH = 64
 #: Bands that two texts are to share for a comparison after the first round; of 24, at 0.8, fewer in one of 2000 cases.
 SHARED_BANDS = 3
 SPACE = np.zeros(256, bool)
@@ -220,35 +220,41 @@ def shingle_sets(texts: DataFrame, counted: bool = False) -> DataFrame:
     return texts.select("text_id", "text").mapInArrow(sets, "text_id binary, shingles array<bigint>")
 
 
-def least_labels(links: DataFrame) -> DataFrame:
+def least_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(text_id, class) for all ends of ``links`` (a, b): the least id of the connected component.
 
     Each pass takes the least label among the neighbours' and then that label's own label, so long chains shrink
     geometrically. Everything stays in written tables.
     """
-    both = pin(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = pin(both.groupBy(F.col("a").alias("text_id")).agg(F.least(F.min("b"), F.col("text_id")).alias("class")), "labels")
+    both = scratch.pin(links.select("a", "b").union(links.select("b", "a")).distinct())
+    labels = scratch.pin(both.groupBy(F.col("a").alias("text_id")).agg(F.least(F.min("b"), F.col("text_id")).alias("class")))
     while True:
         near = both.join(labels.withColumnRenamed("text_id", "b"), "b").groupBy(F.col("a").alias("text_id")).agg(F.min("class").alias("near"))
         step = labels.join(near, "text_id").select("text_id", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         jump = labels.select(F.col("text_id").alias("class"), F.col("class").alias("further"))
-        found = pin(step.join(jump, "class", "left").select("text_id", "old", F.least("class", "further").alias("class")), "labels")
+        found = scratch.pin(step.join(jump, "class", "left").select("text_id", "old", F.least("class", "further").alias("class")))
         labels = found.select("text_id", "class")
         if found.filter("old <> class").isEmpty():
             return labels
 
 
-def classes_of(signed: DataFrame, documents: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+def alike(similarity: float) -> Column:
+    """Whether ``shingles`` and ``shingles_a`` have the Jaccard similarity."""
+    common = F.size(F.array_intersect("shingles", "shingles_a"))
+    return common >= (F.size("shingles") + F.size("shingles_a") - common) * (similarity - 1e-9)
+
+
+def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
     """(text_id, class) of the texts that have a near-duplicate; ``signed`` holds one row per different text."""
     members = signed.select("text_id", "n", "least_id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
     # Buckets of several texts, and all their members: what every round starts from.
     order = F.xxhash64("text_id")
-    members = pin(members.join(shared, "bucket").select("bucket", "m", "text_id", "n", "least_id", order.alias("order")), "buckets")
+    members = scratch.pin(members.join(shared, "bucket").select("bucket", "m", "text_id", "n", "least_id", order.alias("order")))
     # A text has one set, from one of the documents that have it: copies don't meet in one place.
     wanted = members.select("text_id", id_key("least_id").alias("id_key")).distinct()
     texts = with_text_id(documents).withColumn("id_key", id_key("doc_id")).join(wanted.hint("shuffle_hash"), ["text_id", "id_key"], "left_semi")
-    sets = pin(shingle_sets(texts.groupBy("text_id", "id_key").agg(F.first("text").alias("text")), counted), "shingle-sets")
+    sets = scratch.pin(shingle_sets(texts.groupBy("text_id", "id_key").agg(F.first("text").alias("text")), counted))
     links = labels = None
     leaders = 1
     while True:
@@ -257,32 +263,36 @@ def classes_of(signed: DataFrame, documents: DataFrame, similarity: float = SIMI
         else:
             here = members.join(labels, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
             several = here.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-            here = here.filter(F.col("m") > 2 * (leaders // GROWTH)).join(several, "bucket", "left_semi")
-            here = pin(here.join(signed.select("text_id", "bands"), "text_id"), "open-buckets")
+            here = scratch.pin(here.filter(F.col("m") > 2 * (leaders // GROWTH)).join(several, "bucket", "left_semi"))
             if here.isEmpty():
                 break
+            here = here.join(signed.select("text_id", "bands"), "text_id").join(sets, "text_id")
         if leaders == 1:
             first = here.groupBy("bucket").agg(F.min(F.struct("order", "text_id", "n", "class")).alias("l")).select("bucket", "l.*")
         else:
             # By a hash of the text, about so many in each bucket; all, where there are no more members.
             share = (F.col("order").cast("double") + 2.0**63) / 2.0**64
-            first = here.filter(share * F.col("m") < 2 * leaders).select("bucket", "text_id", "n", "class", "bands")
+            first = here.filter(share * F.col("m") < 2 * leaders).select("bucket", "text_id", "n", "class", "bands", "shingles")
         first = first.select("bucket", *[F.col(c).alias(f"{c}_a") for c in first.columns if c not in ("bucket", "order")])
         fits = (F.col("text_id_a") != F.col("text_id")) & (F.col("class_a") != F.col("class"))
         fits &= F.least("n", "n_a") >= F.greatest("n", "n_a") * (similarity - 1e-9)
-        if leaders > 1:
-            # A pair meets in one of the buckets it shares.
+        ends = [F.least("text_id_a", "text_id").alias("a"), F.greatest("text_id_a", "text_id").alias("b")]
+        if leaders == 1:
+            pairs = here.join(first, "bucket").filter(fits).select(*ends).distinct()
+            one = sets.select(F.col("text_id").alias("a"), F.col("shingles").alias("shingles_a"))
+            two = sets.select(F.col("text_id").alias("b"), "shingles")
+            found = pairs.join(one, "a").join(two, "b").filter(alike(similarity)).select("a", "b")
+        else:
+            # A pair meets in one of the buckets it shares, and is compared there: only links leave the join.
             common = F.array_intersect("bands", "bands_a")
             fits &= (F.size(common) >= SHARED_BANDS) & (F.get(common, F.lit(0)) == F.col("bucket"))
-        pairs = here.join(first, "bucket").filter(fits)
-        pairs = pairs.select(F.least("text_id_a", "text_id").alias("a"), F.greatest("text_id_a", "text_id").alias("b")).distinct()
-        one = sets.select(F.col("text_id").alias("a"), F.col("shingles").alias("set_a"))
-        two = sets.select(F.col("text_id").alias("b"), F.col("shingles").alias("set_b"))
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        alike = common >= (F.size("set_a") + F.size("set_b") - common) * (similarity - 1e-9)
-        found = pin(pairs.join(one, "a").join(two, "b").filter(alike).select("a", "b"), "links")
-        links = found if links is None else links.union(found)
-        labels = least_labels(links)
+            found = here.join(first, "bucket").filter(fits & alike(similarity)).select(*ends).distinct()
+        found = scratch.pin(found)
+        if links is None:
+            links, labels = found, least_labels(found, scratch)
+        elif not found.isEmpty():
+            links = links.union(found)
+            labels = least_labels(links, scratch)
         leaders *= GROWTH
     return labels
 
@@ -295,12 +305,14 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, counte
     one). ``kept`` marks the documents with the least text_id among those with that doc_id.
     """
     rows = pin(signatures(documents, counted), "signatures")
-    texts = pin(rows.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
-    labels = classes_of(texts, documents, similarity, counted)
+    scratch = Scratch(documents.sparkSession, "near-dups")
+    texts = scratch.pin(rows.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    labels = classes_of(texts, documents, scratch, similarity, counted)
     classed = texts.select("text_id", "least_id", "copies").join(labels, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
     first = F.struct(F.col("least_id").isNull(), "least_id", "text_id")
     groups = classed.groupBy("class").agg(F.min(first).alias("first"), F.sum("copies").alias("class_size"))
     by_text = pin(classed.join(groups, "class").select("text_id", F.col("first.least_id").alias("class_id"), F.col("first.text_id").alias("kept_text"), "class_size"), "text-classes")
+    scratch.drop()
     kept = (F.col("text_id") == F.col("kept_text")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
     return rows.join(by_text, "text_id").select("doc_id", "text_id", "class_id", "class_size", kept.alias("kept"))
 
