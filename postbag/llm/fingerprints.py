@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from postbag.functions.text import let
 from postbag.session import pin
 
 #: Least and most document frequency of a lexicon term, as shares of all documents; and the least in documents.
@@ -47,10 +48,17 @@ def fingerprint(found: Column, text_key: Column) -> Column:
 
     Parts without terms are empty. A text without lexicon terms has the hash of the text alone.
     """
-    hashed = lambda chosen: F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(F.transform(chosen, lambda x: x["term"]), " ").cast("binary")), 1, 8)).otherwise("")
-    order = F.array_sort(found)
-    parts = F.transform(F.sequence(F.lit(0), F.lit(len(SHARES) * OF_EACH - 1)), lambda i: hashed(F.filter(order, lambda x: F.call_function("getbit", x["mask"], i) == 1)))
-    return F.when(F.size(found) > 0, F.concat_ws("-", hashed(order), F.array_join(parts, "-"))).otherwise(text_key)
+    def hashed(chosen: Column) -> Column:
+        joined = F.array_join(F.transform(chosen, lambda x: x["term"]), " ")
+        return F.when(joined != "", F.substring(F.md5(joined.cast("binary")), 1, 8)).otherwise("")
+
+    def printed(order: Column) -> Column:
+        part = lambda i: let(F.filter(order, lambda x: F.call_function("getbit", x["mask"], i) == 1), hashed)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(len(SHARES) * OF_EACH - 1)), part)
+        return F.concat_ws("-", hashed(order), F.array_join(parts, "-"))
+
+    # Sorted once: the parts are taken from a value, not from the expression.
+    return F.when(F.size(found) > 0, let(F.sort_array(found), printed)).otherwise(text_key)
 
 
 def likeness(one: Column, two: Column) -> Column:
