@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postbag.functions.text import let
 from postbag.session import pin
 
 #: Least and most document frequency of a lexicon term, as shares of all documents; and the least in documents.
 LEAST_SHARE, MOST_SHARE, LEAST = 0.001, 0.1, 2
 #: Random parts of the lexicon: so many for each share of its terms.
 SHARES, OF_EACH = (8, 16, 32, 64, 128, 256), 8
+#: The number of the whole lexicon among its parts.
+WHOLE = -1
 TERM = r"[\p{L}\p{N}]+"
 #: Lexicon terms that are broadcast, some 100 bytes each; a larger lexicon is joined by shuffling.
 BROADCAST_TERMS = 500_000
@@ -33,32 +34,24 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(documents: DataFrame, n: int) -> DataFrame:
-    """(term, mask): the terms in the band; bit i of the mask says if the term is in part i."""
+    """(term, parts): the terms in the band, and the parts of the lexicon they are in; WHOLE is the whole lexicon."""
     counts = documents.select(F.explode(terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").count()
     band = counts.filter((F.col("count") >= max(LEAST, LEAST_SHARE * n)) & (F.col("count") <= max(LEAST, MOST_SHARE * n)))
-    bits = [
-        F.when(F.conv(F.substring(F.md5(F.concat("term", F.lit(f"#{i}")).cast("binary")), 1, 8), 16, 10).cast("bigint") < (1 << 32) // share, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    inside = [
+        F.when(F.conv(F.substring(F.md5(F.concat("term", F.lit(f"#{i}")).cast("binary")), 1, 8), 16, 10).cast("bigint") < (1 << 32) // share, i)
         for i, share in enumerate(s for s in SHARES for _ in range(OF_EACH))
     ]
-    return band.select("term", sum(bits, F.lit(0).cast("bigint")).alias("mask"))
+    return band.select("term", F.array_compact(F.array(F.lit(WHOLE), *inside)).alias("parts"))
 
 
-def fingerprint(found: Column, text_key: Column) -> Column:
-    """The hash of all terms and of those in each part, parted by ``-``, from (term, mask) pairs.
+def fingerprint(hashes: Column, text_key: Column) -> Column:
+    """The hash of all terms and of those in each part, parted by ``-``, from a map of the hashes by part.
 
     Parts without terms are empty. A text without lexicon terms has the hash of the text alone.
     """
-    def hashed(chosen: Column) -> Column:
-        joined = F.array_join(F.transform(chosen, lambda x: x["term"]), " ")
-        return F.when(joined != "", F.substring(F.md5(joined.cast("binary")), 1, 8)).otherwise("")
-
-    def printed(order: Column) -> Column:
-        part = lambda i: let(F.filter(order, lambda x: F.call_function("getbit", x["mask"], i) == 1), hashed)
-        parts = F.transform(F.sequence(F.lit(0), F.lit(len(SHARES) * OF_EACH - 1)), part)
-        return F.concat_ws("-", hashed(order), F.array_join(parts, "-"))
-
-    # Sorted once: the parts are taken from a value, not from the expression.
-    return F.when(F.size(found) > 0, let(F.sort_array(found), printed)).otherwise(text_key)
+    every = F.sequence(F.lit(WHOLE), F.lit(len(SHARES) * OF_EACH - 1))
+    listed = F.transform(every, lambda i: F.coalesce(F.try_element_at(hashes, i), F.lit("")))
+    return F.when(F.size(hashes) > 0, F.array_join(listed, "-")).otherwise(text_key)
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -81,11 +74,16 @@ def _fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], words
     pairs = F.concat(F.array(F.struct(F.lit(-1).alias("which"), F.lit("").alias("term"))), *each)
     md5s = [F.substring(F.md5(F.col(column).cast("binary")), 1, 12).alias(f"{name}_key") for column, name in texts.items()]
     exploded = rows.select(*keys, *md5s, F.explode(pairs).alias("pair")).select(*keys, *[f"{name}_key" for name in texts.values()], "pair.*")
-    hit = exploded.join(words, "term", "left").filter("which < 0 OR mask IS NOT NULL")
-    found = hit.groupBy(*keys, *[f"{name}_key" for name in texts.values()]).agg(
-        *[F.collect_list(F.when(F.col("which") == which, F.struct("term", "mask"))).alias(f"{name}_terms") for which, name in enumerate(texts.values())]
+    hit = exploded.join(words, "term", "left").filter("which < 0 OR parts IS NOT NULL")
+    # A row per term and part: a document's terms are grouped by part, not looked through for each part.
+    row = [*keys, *[f"{name}_key" for name in texts.values()]]
+    by_part = hit.select(*row, "which", "term", F.explode_outer("parts").alias("part")).groupBy(*row, "which", "part")
+    joined = F.array_join(F.sort_array(F.collect_list("term")), " ")
+    hashed = by_part.agg(F.substring(F.md5(joined.cast("binary")), 1, 8).alias("hash"))
+    found = hashed.groupBy(*row).agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("which") == which, F.struct("part", "hash")))).alias(f"{name}_hashes") for which, name in enumerate(texts.values())]
     )
-    return found.select(*keys, *[fingerprint(F.col(f"{name}_terms"), F.col(f"{name}_key")).alias(name) for name in texts.values()])
+    return found.select(*keys, *[fingerprint(F.col(f"{name}_hashes"), F.col(f"{name}_key")).alias(name) for name in texts.values()])
 
 
 def document_fingerprints(documents: DataFrame) -> DataFrame:
