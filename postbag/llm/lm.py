@@ -2,6 +2,9 @@
 
 The model is a trie of byte contexts with counts from all training documents (see ``ppm``). A text is scored as its
 lower-case words, parted by single spaces, and one end; the score is the log10 probability of all these bytes.
+Every gram of the training text counts, however rare. Costs of grams above a share of all are sent to the tasks, at
+most 1 / GRAM_HEAD_SHARE; the other grams of a document are joined with the table of all grams, which may grow
+without bound.
 
 The unigram score needs the count of every word of the corpus. Counts of words above a share of all tokens are sent
 to the tasks: there are at most 1 / HEAD_SHARE of those, in a corpus of any size. The other words of a document are
@@ -24,7 +27,7 @@ from postbag.llm.common import fold, row_sums, steps, utf8
 from postbag.session import pin
 
 ORDER = 5
-LEAST_SHARE = 2.0**-24
+GRAM_HEAD_SHARE = 2.0**-24
 HEAD_SHARE = 2.0**-20
 SMOOTHING = 0.1
 SPACE = np.zeros(256, bool)
@@ -115,13 +118,26 @@ def count_grams(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(count, "gram bigint, n bigint")
 
 
-def train(texts: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> ppm.Model:
-    """The trie of all ``texts``; its size is bounded by ``least_share``."""
-    table = ppm.trie_counts(count_grams(texts, order), order, least_share, []).toArrow()
-    return ppm.Model([ppm.levels_of(table, order)], order)
+def distinct_in_rows(grams: np.ndarray, at: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the ``grams`` at some places: the distinct ones of each row, how often each stands there, and the rows' borders."""
+    row, own = np.searchsorted(borders, at, "right") - 1, grams[at]
+    order = np.lexsort((own, row))
+    row, own = row[order], own[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.diff(np.append(first, len(own))), np.searchsorted(row[first], np.arange(len(borders)))
 
 
-def scores(documents: DataFrame, training: DataFrame, order: int = ORDER, least_share: float = LEAST_SHARE) -> DataFrame:
+def head_costs(counts: DataFrame, total: int) -> tuple[ppm.GramTable, np.ndarray]:
+    """Bits of the frequent grams, at most 1 / GRAM_HEAD_SHARE. Each was seen in its longest context, and codes there."""
+    context = F.shiftrightunsigned("gram", 8).alias("context")
+    head = counts.filter(F.col("n") >= total * GRAM_HEAD_SHARE).select(context, "gram", "n")
+    every = counts.groupBy(context).agg(F.sum("n").alias("all"))
+    table = head.join(every, "context").select("gram", "n", "all").toArrow()
+    bits = -np.log2((table["n"].to_numpy() - ppm.DISCOUNT) / table["all"].to_numpy())
+    return ppm.GramTable(table["gram"].to_numpy().astype(np.uint64)), bits
+
+
+def scores(documents: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``documents``, learned from ``training``.
 
     A NULL or empty text is its end alone. Repeated rows and NULL ids are rows of their own. With no training
@@ -135,10 +151,13 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER, least_
     # At most 1 / HEAD_SHARE rows.
     head = words.filter(F.col("c") >= total * HEAD_SHARE).toArrow()
     below = total + SMOOTHING * (kinds + 1)
-    shared = spark.sparkContext.broadcast((train(training, order, least_share), head["word"].combine_chunks(), head["c"].to_numpy()))
+    grams = pin(count_grams(training, order).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    bytes_ = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast((*head_costs(grams, bytes_), head["word"].combine_chunks(), head["c"].to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, names, counts = shared.value
+        known, bits, names, counts = shared.value
+        bits = np.append(bits, 0.0)
         each = np.append(np.log10((counts + SMOOTHING) / below), 0.0)
         end = np.log10((ends + SMOOTHING) / below)
         row_id = secrets.randbits(62)
@@ -150,6 +169,10 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER, least_
                 at = np.append(0, np.cumsum(per_row))
                 rare = np.flatnonzero(found < 0)
                 rare_borders = np.searchsorted(np.searchsorted(at, rare, "right") - 1, np.arange(rows + 1))
+                own = ppm.padded(data, borders, order)
+                place = known.find(own)
+                odd, odd_n, odd_borders = distinct_in_rows(own, np.flatnonzero(place < 0), borders)
+                odd = pa.StructArray.from_arrays([pa.array(odd.astype(np.int64)), pa.array(odd_n)], ["gram", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row_id + np.arange(rows)),
@@ -157,22 +180,27 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER, least_
                         pa.array(per_row + 1),
                         pa.array(row_sums((found >= 0).astype(np.int64), at).astype(np.int64) + (ends > 0)),
                         pa.array(row_sums(each[found], at) + end),
-                        pa.array(model.bits(data, borders)[:, 0] * -np.log10(2)),
+                        pa.array(row_sums(bits[place], borders)),
                         pa.ListArray.from_arrays(pa.array(rare_borders, pa.int32()), flat.take(pa.array(rare))),
+                        pa.ListArray.from_arrays(pa.array(odd_borders, pa.int32()), odd),
                     ],
-                    ["row_id", "doc_id", "n_tokens", "n_head", "head_score", "score", "rare"],
+                    ["row_id", "doc_id", "n_tokens", "n_head", "head_score", "head_bits", "rare", "odd"],
                 )
                 row_id += rows
 
-    schema = "row_id bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_score double, score double, rare array<binary>"
+    schema = "row_id bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_score double, head_bits double, rare array<binary>, odd array<struct<gram: bigint, n: bigint>>"
     # Row numbers are drawn once, and fixed by writing them.
     scored = pin(documents.select("doc_id", "text").mapInArrow(score, schema), "lm-scores")
     rare = scored.select("row_id", F.explode("rare").alias("word")).join(words.filter(F.col("c") < total * HEAD_SHARE), "word")
     rare = rare.groupBy("row_id").agg(F.count("*").alias("known"), F.sum(F.log10((F.col("c") + SMOOTHING) / below) - float(np.log10(SMOOTHING / below))).alias("gain"))
-    joined = scored.withColumn("n_rare", F.size("rare")).drop("rare").join(rare, "row_id", "left")
+    odd = scored.select("row_id", F.explode("odd").alias("odd")).select("row_id", "odd.*")
+    costs = ppm.costs(grams, odd.select("gram").distinct(), ppm.short_levels(grams, order), order)
+    odd = odd.join(costs, "gram").groupBy("row_id").agg(F.sum(F.col("n") * F.col("bits")).alias("odd_bits"))
+    joined = scored.withColumn("n_rare", F.size("rare")).drop("rare", "odd").join(rare, "row_id", "left").join(odd, "row_id", "left")
     known, gain = F.coalesce("known", F.lit(0)), F.coalesce("gain", F.lit(0.0))
     base = F.col("head_score") + F.col("n_rare") * float(np.log10(SMOOTHING / below)) + gain
-    return joined.select("doc_id", "n_tokens", (F.col("n_head") + known).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), "score")
+    score = (F.col("head_bits") + F.coalesce("odd_bits", F.lit(0.0))) * -float(np.log10(2))
+    return joined.select("doc_id", "n_tokens", (F.col("n_head") + known).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
 def lm_digests(documents: DataFrame) -> DataFrame:

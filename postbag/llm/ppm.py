@@ -8,9 +8,10 @@ times has probability (c - D) / n and the escape d D / n, where D is the discoun
 evenly. What a byte costs depends on it and the ``order`` bytes before it alone, so costs are tabulated for the
 grams of order + 1 bytes that the trie holds, and all others are worked out in bulk.
 
-Counting is a Spark aggregation. A gram stays in the trie if it has at least the share ``least_share`` of all counts:
-then a trie of any corpus has at most 1 / least_share grams of each length, which is what bounds the model that
-tasks hold, and contexts are the deeper the more often they occur.
+Counting is a Spark aggregation. In a trie that tasks hold (``Model``) a gram stays if it has at least the share
+``least_share`` of all counts: such a trie has at most 1 / least_share grams of each length. ``costs`` keeps every gram:
+the grams lie in a table dealt by the last bytes of their contexts, where all longer contexts are together, and each
+task works out what the grams asked of it cost.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from postbag.session import pin
 DISCOUNT = 0.3
 #: Distinct grams that a counting task holds before it passes their counts on.
 HELD_GRAMS = 1_000_000
+#: Bytes of grams short enough for every task to hold all of them.
+SHORT = 3
 
 
 def padded(data: np.ndarray, borders: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +148,10 @@ class Trie:
         return out
 
 
-class Model:
-    """Several tries that code the same text, with a table of the grams they hold."""
+class GramTable:
+    """The place of each of some distinct grams; a table with open addresses, at most half full."""
 
-    def __init__(self, counts: list[list[tuple[np.ndarray, np.ndarray]]], order: int):
-        self.order = order
-        self.tries = [Trie(levels) for levels in counts]
-        grams = [t.levels[order][0] for t in self.tries if len(t.levels) > order]
-        grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        # A table with open addresses, at most half full.
+    def __init__(self, grams: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(2 * len(grams)).bit_length()))
         self.keys = np.full(1 << (64 - int(self.shift)), np.uint64(0xFFFFFFFFFFFFFFFF))
         self.rows = np.full(len(self.keys), -1, np.int32)
@@ -165,15 +163,12 @@ class Model:
             self.keys[taken] = grams[left[free][first]]
             wait = self.keys[slot] != grams[left]
             left, slot = left[wait], (slot[wait] + 1) % len(self.keys)
-        self.cost = np.stack([t.bits(grams) for t in self.tries], axis=1) if self.tries else np.zeros((0, 0))
-        self.cost = np.vstack([self.cost, np.zeros((1, len(self.tries)))])  # the last row is for grams not held
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def bits(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
-        """Code length of each row under each trie."""
-        grams = padded(data, borders, self.order)
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Places of ``grams``, or -1."""
         slot = self._slot(grams)
         found = self.keys[slot]
         rows = np.where(found == grams, self.rows[slot], -1)
@@ -184,6 +179,25 @@ class Model:
             same = found == grams[look]
             rows[look[same]] = self.rows[slot[look[same]]]
             look = look[~same & (self.rows[slot[look]] >= 0)]
+        return rows
+
+
+class Model:
+    """Several tries that code the same text, with a table of the grams they hold."""
+
+    def __init__(self, counts: list[list[tuple[np.ndarray, np.ndarray]]], order: int):
+        self.order = order
+        self.tries = [Trie(levels) for levels in counts]
+        grams = [t.levels[order][0] for t in self.tries if len(t.levels) > order]
+        grams = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
+        self.table = GramTable(grams)
+        self.cost = np.stack([t.bits(grams) for t in self.tries], axis=1) if self.tries else np.zeros((0, 0))
+        self.cost = np.vstack([self.cost, np.zeros((1, len(self.tries)))])  # the last row is for grams not held
+
+    def bits(self, data: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """Code length of each row under each trie."""
+        grams = padded(data, borders, self.order)
+        rows = self.table.find(grams)
         costs = self.cost[rows]
         odd = np.flatnonzero(rows < 0)
         if len(odd):
@@ -196,6 +210,67 @@ class Model:
         return out
 
 
+def short_levels(counts: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts by gram length up to SHORT, or ``order`` if that is less, from (gram, n) of all longest grams.
+
+    At most 256 ** SHORT grams, of any corpus.
+    """
+    short = min(SHORT, order)
+    if not short:
+        return []
+    longer, own = (F.lit((1 << 8 * k) - 1) for k in (short + 1, short))
+    kinds = counts.select(F.col("gram").bitwiseAND(longer).alias("gram")).distinct()
+    table = kinds.groupBy(F.col("gram").bitwiseAND(own).alias("gram")).count().toArrow()
+    levels = [(table["gram"].to_numpy().astype(np.uint64), table["count"].to_numpy())]
+    for length in range(short - 1, 0, -1):
+        levels.insert(0, _shorter(levels[0][0], length))
+    return levels
+
+
+def _shorter(grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ``length`` bytes, and how many of the distinct ``grams`` end in each."""
+    return np.unique(grams & np.uint64((1 << 8 * length) - 1), return_counts=True)
+
+
+def costs(counts: DataFrame, asked: DataFrame, levels: list[tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+    """gram, bits of every row of ``asked`` (gram) by all grams of ``counts`` (gram, n; distinct grams of order + 1 bytes).
+
+    Grams whose contexts end in the same bytes are dealt to the same task, which then has the whole of their longer
+    contexts; there are at most 256 ** (order + 1 - SHORT) of them. The ``levels`` of shorter grams come from ``short_levels``.
+    """
+    short = min(SHORT, order)
+    shared = counts.sparkSession.sparkContext.broadcast(levels)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def priced(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            known = n > 0
+            longer = [(grams[known], n[known])]
+            for length in range(order, short, -1):
+                longer.insert(0, _shorter(longer[0][0], length))
+            wanted = grams[~known]
+            return pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int64)), pa.array(Trie([*shared.value, *longer]).bits(wanted))], ["gram", "bits"])
+
+        parts, held = [], 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()))
+            held += batch.num_rows
+            if held > HELD_GRAMS:
+                grams, n = (np.concatenate(x) for x in zip(*parts))
+                # The last context may go on in the next batch.
+                ends = (grams >> np.uint64(8)) & np.uint64((1 << 8 * short) - 1)
+                whole = int(np.flatnonzero(ends != ends[-1])[-1]) + 1 if (ends != ends[-1]).any() else 0
+                if whole:
+                    yield priced(grams[:whole], n[:whole])
+                parts, held = [(grams[whole:], n[whole:])], len(grams) - whole
+        if held:
+            yield priced(*(np.concatenate(x) for x in zip(*parts)))
+
+    rows = counts.select("gram", "n").unionByName(asked.select("gram", F.lit(0).cast("bigint").alias("n")))
+    rows = rows.withColumn("ends", F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << 8 * short) - 1)))
+    dealt = rows.repartition("ends").sortWithinPartitions("ends").select("gram", "n")
+    return dealt.mapInArrow(work, "gram bigint, bits double")
+
+
 def levels_of(table: pa.Table, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Counts by gram length from rows (length, gram, n)."""
     length, gram, n = (table[c].to_numpy() for c in ("length", "gram", "n"))

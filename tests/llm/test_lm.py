@@ -68,3 +68,16 @@ def test_model_learns(spark):
     # A word of three out of twelve parts takes 10.75 bits at least.
     bits = [-r.score / math.log10(2) / 50 for r in found]
     assert found and 10.7 < sum(bits) / len(bits) < 14
+
+
+@pytest.mark.parametrize("gram_share", [0.0, 2.0**-9, 2.0])
+def test_rare_grams_count_at_any_share(spark, monkeypatch, gram_share):
+    # Which grams are sent to the tasks decides nothing: the others are joined.
+    monkeypatch.setattr(lm, "GRAM_HEAD_SHARE", gram_share)
+    monkeypatch.setattr(lm.ppm, "HELD_GRAMS", 50)
+    draw = random.Random(4)
+    rows = [(i, " ".join(draw.choice(["the", "cat", "sat", "é"]) for _ in range(40)), *"abc") for i in range(30)]
+    rows += [(30, "zyxwvut qponmlk", *"abc"), (31, "qponmlk jihgfed", *"abc")]
+    training = rows[:31]
+    found = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(training, SCHEMA)).collect()}
+    assert found == pytest.approx({doc_id: score for doc_id, *_, score in expected(rows, training, lm.ORDER)})
