@@ -1,10 +1,13 @@
-"""Passages that repeat across documents, by content-defined chunks.
+"""Passages that repeat across documents, to the word.
 
-A gear hash rolls over the bytes of a text; where it falls below a threshold at the start of a word, and enough
-words have passed, a chunk ends. What is in a chunk and where it ends depend on the text nearby alone, so the same
-passage falls into the same chunks wherever it stands, but for those at its ends. Chunks are deduplicated by digest:
-the first document that has a chunk keeps it. In the others, neighbouring repeated chunks that stand in the same
-order in the same first document make up a repeated passage if they have enough words together.
+A passage repeats if an earlier document has its WORDS words in a row. Of the hashes of half as many neighbouring
+words, the least among those that lie in a window of WORDS words is the window's anchor (winnowing): equal windows have
+equal anchors, so a window can only repeat if its anchor is in two documents. Of windows with such anchors the hashes
+of all words are compared: the first document that has a window keeps it. Windows that follow each other both here and
+there make up one passage, which so has its exact ends.
+
+``chunks`` cuts texts by content: a gear hash rolls over the bytes of a text; where it falls below a threshold at the
+start of a word, and enough words have passed, a chunk ends.
 """
 
 from __future__ import annotations
@@ -19,9 +22,10 @@ from pyspark.sql.window import Window
 
 from postbag.llm.common import steps, utf8
 from postbag.llm.near_dups import SPACE, mix, powers, word_hashes_apart
+from postbag.session import pin
 
-#: A passage of so many words is to be found. Up to EDGE of its words may be in chunks that reach beyond its ends.
-WORDS, EDGE = 50, 24
+#: A passage of so many words is to be found.
+WORDS = 50
 #: Words a chunk has at least; the share of word starts where one may end.
 LEAST_WORDS, SHARE = 4, 0.25
 #: Bytes that the gear hash looks back on: two bits of its 32 leave with each byte.
@@ -30,7 +34,8 @@ GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, np.uint64).astype(np.
 
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNKS = "doc_id bigint, text_hash bigint, seq int, start int, end int, words int, digest bigint"
+ANCHORS = "doc_id bigint, text_hash bigint, at int, digest bigint"
+WINDOWS = "doc_id bigint, text_hash bigint, at int, start int, end int, digest bigint"
 
 
 def gear_hashes(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -81,19 +86,83 @@ def chunks(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, seq, starts[low] - borders[row], ends[high - 1] - borders[row], high - low, digest
 
 
-def chunk_rows(documents: DataFrame) -> DataFrame:
-    """CHUNKS of every row. Texts without words have none."""
+def word_spans(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    word = ~SPACE[data]
+    fresh, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    full = np.diff(borders) > 0
+    fresh[borders[:-1][full]] = True
+    last[borders[1:][full] - 1] = True
+    starts = np.flatnonzero(word & (fresh | ~np.append(False, word[:-1])))
+    ends = np.flatnonzero(word & (last | ~np.append(word[1:], False))) + 1
+    return starts, ends
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def windows(data: np.ndarray, borders: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of ``words`` words in a row: row, first word, its anchor's word, the anchor's digest, the digest."""
+    hashes, of_row = word_hashes_apart(data, borders)
+    n, part = len(hashes), max(1, words // 2)
+    if n < words:
+        return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),) * 2
+    sums = np.append(np.uint64(0), np.cumsum(hashes * powers(_BASE, n)))
+    inverse = powers(_INVERSE, n)
+    digests = lambda k: mix((sums[k:] - sums[:-k]) * inverse[: n - k + 1] + np.uint64(k))
+    own = digests(part)
+    # The least of words - part + 1 digests, and the first place that has it; twice as many at each step.
+    least, at, wide, most = own, np.arange(len(own)), 1, words - part + 1
+    while wide < most:
+        step = min(wide, most - wide)
+        better = least[step:] < least[:-step]
+        at = np.where(better, at[step:], at[:-step])
+        least = np.where(better, least[step:], least[:-step])
+        wide += step
+    first = np.arange(n - words + 1)
+    row = np.searchsorted(of_row, first, "right") - 1
+    inside = np.flatnonzero(first + words <= of_row[row + 1])
+    row, first = row[inside], first[inside]
+    begins = np.asarray(of_row)[row]
+    return row, first - begins, at[first] - begins, least[first], digests(words)[first]
+
+
+def _anchor_rows(documents: DataFrame, words: int) -> DataFrame:
+    """ANCHORS of every row. Texts of fewer words have none."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, borders = utf8(batch.column(2))
+            for low, high in steps(borders):
+                row, _, at, digest, _ = windows(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low], words)
+                # A window's anchor is mostly that of the one before.
+                fresh = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1]))) if len(row) else row
+                of = pa.array(row[fresh] + low)
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(at[fresh].astype(np.int32)), pa.array(digest[fresh].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ANCHORS.split(", ")])
+
+    return documents.select(F.col("doc_id").cast("bigint"), text_hash().alias("text_hash"), "text").mapInArrow(find, ANCHORS)
+
+
+def _window_rows(documents: DataFrame, words: int) -> DataFrame:
+    """WINDOWS whose anchor is in ``anchors``, from doc_id, text_hash, text, anchors."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, borders = utf8(batch.column(2))
             for low, high in steps(borders):
-                row, seq, start, end, words, digest = chunks(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
+                own, ends_of = data[borders[low] : borders[high]], borders[low : high + 1] - borders[low]
+                row, first, at, _, digest = windows(own, ends_of, words)
+                lists = batch.column(3)[low:high]
+                owner = np.repeat(np.arange(high - low), lists.value_lengths().to_numpy())
+                shared = (owner << 32) | lists.flatten().to_numpy().astype(np.int64)
+                kept = np.flatnonzero(np.isin((row << 32) | at, shared))
+                row, first, digest = row[kept], first[kept], digest[kept]
+                starts, ends = word_spans(own, ends_of)
+                word = np.searchsorted(starts, ends_of[row]) + first
                 of = pa.array(row + low)
-                columns = [batch.column(0).take(of), batch.column(1).take(of), *[pa.array(x.astype(np.int32)) for x in (seq, start, end, words)], pa.array(digest.astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CHUNKS.split(", ")])
+                spans = (first, starts[word] - ends_of[row], ends[word + words - 1] - ends_of[row])
+                columns = [batch.column(0).take(of), batch.column(1).take(of), *[pa.array(x.astype(np.int32)) for x in spans], pa.array(digest.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WINDOWS.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("bigint"), text_hash().alias("text_hash"), "text").mapInArrow(cut, CHUNKS)
+    return documents.mapInArrow(find, WINDOWS)
 
 
 def text_hash() -> Column:
@@ -104,22 +173,31 @@ def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, text_hash, start, end (UTF-8 bytes), words, first_doc_id of the passages that an earlier document has.
 
     Documents come in the order of their ids, those without one first, equal ids by a hash of the text; rows equal
-    in both are one document. Repeats within a document don't count. A passage of ``words`` words is found but for
-    the words in chunks across its ends; passages shorter than that less EDGE are not.
+    in both are one document. Repeats within a document don't count. Every passage of ``words`` words or more is found,
+    from its first word to its last; one that stands in parts in several earlier documents is several passages, each
+    with the first document that has it.
     """
-    rows = chunk_rows(documents)
     document = F.struct("doc_id", "text_hash")
+    anchors = _anchor_rows(documents, words)
     # Digests are merged before they move: a passage that every document has is one row per task.
-    shared = rows.groupBy("digest").agg(F.min(F.struct(document.alias("doc"), "seq")).alias("first"), F.max(document).alias("last_doc"))
-    shared = shared.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc"))).select("digest", "first")
-    found = rows.join(shared, "digest").filter(~document.eqNullSafe(F.col("first.doc")))
-    found = found.select("doc_id", "text_hash", "seq", "start", "end", "words", F.col("first.doc").alias("first_doc"), (F.col("seq") - F.col("first.seq")).alias("shift"))
-    found = found.dropDuplicates(["doc_id", "text_hash", "seq"])
-    # Chunks one after the other have the same difference of number and rank.
-    rank = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("seq"))
-    runs = found.withColumn("run", F.col("seq") - rank).groupBy("doc_id", "text_hash", "run", "first_doc", "shift")
-    passages = runs.agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("words"))
-    return passages.filter(F.col("words") >= max(1, words - EDGE)).select("doc_id", "text_hash", "start", "end", "words", F.col("first_doc.doc_id").alias("first_doc_id"))
+    shared = anchors.groupBy("digest").agg(F.min(document).alias("first_doc"), F.max(document).alias("last_doc"))
+    shared = shared.filter(~F.col("first_doc").eqNullSafe(F.col("last_doc"))).select("digest")
+    places = anchors.join(shared, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("anchors"))
+    id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")
+    places = places.select(id_key, F.col("text_hash").alias("hash_key"), "anchors")
+    whole = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    whole = whole.withColumn("id_key", id_key).withColumn("hash_key", F.col("text_hash"))
+    whole = whole.join(places.hint("shuffle_hash"), ["id_key", "hash_key"]).select("doc_id", "text_hash", "text", "anchors")
+    rows = pin(_window_rows(whole, words), "windows")
+    kept = rows.groupBy("digest").agg(F.min(F.struct(document.alias("doc"), "at")).alias("first"), F.max(document).alias("last_doc"))
+    kept = kept.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc"))).select("digest", "first")
+    found = rows.join(kept, "digest").filter(~document.eqNullSafe(F.col("first.doc")))
+    found = found.select("doc_id", "text_hash", "at", "start", "end", F.col("first.doc").alias("first_doc"), (F.col("at") - F.col("first.at")).alias("shift"))
+    # Windows one after the other have the same difference of place and rank; rows equal in all are one.
+    rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_hash").orderBy("at"))
+    runs = found.withColumn("run", F.col("at") - rank).groupBy("doc_id", "text_hash", "run", "first_doc", "shift")
+    passages = runs.agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("at") - F.min("at") + words).cast("long").alias("words"))
+    return passages.select("doc_id", "text_hash", "start", "end", "words", F.col("first_doc.doc_id").alias("first_doc_id"))
 
 
 def without_repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:

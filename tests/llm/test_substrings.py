@@ -104,3 +104,17 @@ def test_spans_are_cut():
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert sub.repeats(none).collect() == [] and sub.without_repeats(none).collect() == []
+
+
+def spans(spark, texts):
+    rows = [(i, t, *CLASH) for i, t in enumerate(texts)]
+    return {(r.doc_id, texts[r.doc_id].encode()[r.start : r.end].decode(), r.words) for r in sub.repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_parts_in_other_documents_hide_no_passage(spark):
+    draw = random.Random(6)
+    whole, rest = words(draw, 60), lambda: words(draw, 70)
+    pieces = [" ".join(rest() + whole[i : i + 20] + rest()) for i in range(0, 60, 20)]
+    halves = [" ".join(rest() + whole[i : i + 30] + rest()) for i in (0, 30)]
+    texts = [*pieces, *halves, *[" ".join(rest() + whole + rest()) for _ in range(2)]]
+    assert spans(spark, texts) == {(6, " ".join(whole), 60)}
