@@ -118,3 +118,15 @@ def test_parts_in_other_documents_hide_no_passage(spark):
     halves = [" ".join(rest() + whole[i : i + 30] + rest()) for i in (0, 30)]
     texts = [*pieces, *halves, *[" ".join(rest() + whole + rest()) for _ in range(2)]]
     assert spans(spark, texts) == {(6, " ".join(whole), 60)}
+
+
+def test_exact_ends_and_no_shorter_passages(spark):
+    draw = random.Random(7)
+    texts, expected = [], set()
+    for n in [40, 49] * 10 + [50, 51, 77] * 10:
+        own = words(draw, n)
+        for _ in range(2):
+            texts.append(" ".join(words(draw, draw.randint(0, 60)) + own + words(draw, draw.randint(0, 60))))
+        if n >= 50:
+            expected.add((len(texts) - 1, " ".join(own), n))
+    assert spans(spark, texts) == expected
