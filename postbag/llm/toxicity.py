@@ -2,8 +2,8 @@
 
 A token's score is the logarithm of its odds to occur in toxic against other documents, under a Dirichlet prior, less
 a drift. A word counts by itself or, where too little is known of it, by its longest beginning of which enough is.
-Words whose odds aren't significantly higher, and words that a document has repeated, cost the drift alone. In a text that isn't toxic scores then sum
-to ever less, and a passage is a maximal segment of positive sum. One scan over the scores finds all of them
+Words whose odds aren't significantly higher cost the drift alone; every occurrence of the others scores, since a word
+that stood alone before may be part of a passage later. In a text that isn't toxic scores then sum to ever less, and a passage is a maximal segment of positive sum. One scan over the scores finds all of them
 (Ruzzo and Tompa). How high segments get by chance follows an extreme-value law: in n harmless tokens K n exp(-lambda s)
 segments of score s or more are expected, where lambda is the root of E exp(lambda score) = 1 over harmless tokens.
 The best segments together give the expected number of equally good ones, E, and a document's score is exp(-E).
@@ -210,41 +210,6 @@ def _fitted_log_k(found: pa.Table, rate: float) -> float:
     return good[len(good) // 2]
 
 
-def _score_counts(lexicon: Lexicon) -> Batches:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [scores for scores, _, _ in _scored(batch.column(1), lexicon)]
-            values, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(n)], ["score", "n"])
-
-    return count
-
-
-def _best(lexicon: Lexicon) -> Batches:
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, out = [], []
-            for scores, _, _ in _scored(batch.column(1), lexicon):
-                n.append(len(scores))
-                out.append(sorted((s for _, _, s in segments(scores)), reverse=True)[:TOGETHER])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(out, pa.list_(pa.float64()))], ["toxic", "n", "best"])
-
-    return best
-
-
-def _fitted_log_k(found: pa.Table, rate: float) -> float:
-    """The constant K under which the labels of the training documents are likeliest."""
-    toxic, n, best = found["toxic"].to_numpy(), found["n"].to_numpy(), found["best"].to_pylist()
-    if not len(toxic):
-        return 0.0
-    def likelihood(log_k: float) -> float:
-        p = np.array([math.exp(-expected(np.array(b), m, rate, log_k)) for b, m in zip(best, n)])
-        p = np.clip(np.where(toxic == 1, p, 1 - p), 1e-4, 1)
-        return float(np.log(p).sum())
-
-    return max(np.arange(-12.0, 40.1, 1.0).tolist(), key=likelihood)
-
-
 def _scored(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Token scores of each row; where its tokens begin, and where the row begins, in the same bytes."""
     data, borders = utf8(column)
@@ -256,9 +221,7 @@ def _scored(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np
             which = np.where(which == none, pc.index_in(feature, value_set=lexicon.tokens).fill_null(none).to_numpy(), which)
         scores = np.full(len(words), -DRIFT)
         hits = np.flatnonzero(which < none)
-        row = np.searchsorted(at, hits, "right") - 1
-        _, first = np.unique(row * none + which[hits], return_index=True)
-        scores[hits[first]] = lexicon.scores[which[hits[first]]]
+        scores[hits] = lexicon.scores[which[hits]]
         for row in range(high - low):
             yield scores[at[row] : at[row + 1]], starts[at[row] : at[row + 1]], int(borders[low + row] - borders[low]) + row + 1
 

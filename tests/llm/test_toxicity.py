@@ -89,3 +89,14 @@ def test_without_labels_or_rows(spark, rows):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in tox.toxicity_digests(documents, none).collect()} == {0.0}
     assert tox.toxicity_digests(documents.limit(0), none).collect() == []
+
+
+def test_a_second_passage_of_the_same_words(spark, rows):
+    rows, labels = rows
+    lexicon = tox.learn(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    passage, clean = "vile scum nasty trash", " ".join(CLEAN)
+    # The words stand singly first, then twice together.
+    text = " ".join(w + " " + clean for w in passage.split()) + f" {passage} {clean} {passage} {clean}"
+    row = tox.score(spark.createDataFrame([(2, text, *CLASH)], SCHEMA), lexicon).first()
+    found = [(text.encode()[p.start :].decode()[: len(passage)], p.tokens) for p in row.passages if p.tokens > 1]
+    assert row.score > 0.9 and found == [(passage, 4)] * 2
