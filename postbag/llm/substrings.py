@@ -182,6 +182,8 @@ def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     # Digests are merged before they move: a passage that every document has is one row per task.
     shared = anchors.groupBy("digest").agg(F.min(document).alias("first_doc"), F.max(document).alias("last_doc"))
     shared = shared.filter(~F.col("first_doc").eqNullSafe(F.col("last_doc"))).select("digest")
+    # Written, so that rows of a digest that many documents have can be split over tasks when joined.
+    shared = pin(shared, "anchors")
     places = anchors.join(shared, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("anchors"))
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")
     places = places.select(id_key, F.col("text_hash").alias("hash_key"), "anchors")
@@ -190,7 +192,7 @@ def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     whole = whole.join(places.hint("shuffle_hash"), ["id_key", "hash_key"]).select("doc_id", "text_hash", "text", "anchors")
     rows = pin(_window_rows(whole, words), "windows")
     kept = rows.groupBy("digest").agg(F.min(F.struct(document.alias("doc"), "at")).alias("first"), F.max(document).alias("last_doc"))
-    kept = kept.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc"))).select("digest", "first")
+    kept = pin(kept.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc"))).select("digest", "first"), "kept-windows")
     found = rows.join(kept, "digest").filter(~document.eqNullSafe(F.col("first.doc")))
     found = found.select("doc_id", "text_hash", "at", "start", "end", F.col("first.doc").alias("first_doc"), (F.col("at") - F.col("first.at")).alias("shift"))
     # Windows one after the other have the same difference of place and rank; rows equal in all are one.
