@@ -40,11 +40,24 @@ def public_encoder(path: str | None = None) -> Encode:
     """
     import public_tokenizers
     import tiktoken
+    import tokenizers
 
     with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: own.encode_to_numpy(text, disallowed_special=())
+    whole: list[tokenizers.Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return own.encode_to_numpy(text, disallowed_special=())
+        except ValueError:
+            # Its pattern backtracks, to a limit, over very long runs of white space.
+            if not whole:
+                whole.append(tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+                whole[0].encode_special_tokens = True
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def piece_lengths(tokens: int, most: int = LENGTH) -> list[int]:

@@ -95,3 +95,8 @@ def test_pieces_round_trip(spark, reference_ids):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_very_long_blank_runs(reference_ids):
+    text = "ab" + " " * 1_500_000 + "x"
+    assert packing.public_encoder()(text).tolist() == reference_ids(text)
