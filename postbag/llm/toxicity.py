@@ -12,6 +12,7 @@ The best segments together give the expected number of equally good ones, E, and
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -119,7 +120,11 @@ def root_rate(scores: np.ndarray, shares: np.ndarray) -> float:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """text and toxic of about ``train_rows`` documents of each class. Of several labels the highest counts."""
+    """text and toxic of about ``train_rows`` documents of each class. Of several labels the highest counts.
+
+    Labels of documents that aren't there, without an id or other than 0 and 1 teach nothing; a document that comes
+    several times is learned as often.
+    """
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
     share = F.when(F.col("toxic") == 1, min(1.0, train_rows / counts.get(1, 1))).otherwise(min(1.0, train_rows / counts.get(0, 1)))
@@ -128,26 +133,39 @@ def training_rows(documents: DataFrame, labels: DataFrame, train_rows: int = TRA
     return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def features(words: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Features of words, the most telling first, and which words have them: whole words, then their beginnings.
+
+    A beginning is shorter than its word, so no occurrence of a word counts twice as the same feature.
+    """
+    yield _marked(words), np.arange(len(words))
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    for k in BEGINNINGS:
+        longer = np.flatnonzero(lengths > k)
+        yield pc.binary_slice(words.take(pa.array(longer)), 0, k), longer
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of a class a feature is, not how often: one that repeats a line says no more than another."""
+    for batch in batches:
+        for toxic in (0, 1):
+            own = batch.filter(pc.equal(batch.column(1), toxic))
+            data, borders = utf8(own.column(0))
+            for low, high in steps(borders):
+                words, at, _ = tokens_of(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
+                row = np.repeat(np.arange(high - low), np.diff(at))
+                for feature, which in features(words):
+                    coded = feature.dictionary_encode()
+                    once = np.unique(coded.indices.to_numpy().astype(np.int64) * (high - low) + row[which]) // (high - low)
+                    kinds, n = np.unique(once, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(kinds), pa.int32()), coded.dictionary.take(pa.array(kinds)), pa.array(n)], ["toxic", "token", "n"])
+
+
 def learn(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Lexicon:
     """Token scores and the constants of the extreme-value law, from labelled documents."""
     rows = training_rows(documents, labels, train_rows)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for toxic in (0, 1):
-                own = batch.filter(pc.equal(batch.column(1), toxic))
-                data, borders = utf8(own.column(0))
-                for low, high in steps(borders):
-                    words, at, _ = tokens_of(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
-                    row = np.repeat(np.arange(high - low), np.diff(at))
-                    for feature in [_marked(words), *(pc.binary_slice(words, 0, k) for k in BEGINNINGS)]:
-                        coded = feature.dictionary_encode()
-                        # In how many documents, not how often: one that repeats a line says no more than another.
-                        once = np.unique(coded.indices.to_numpy().astype(np.int64) * (high - low) + row) // (high - low)
-                        kinds, n = np.unique(once, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(kinds), pa.int32()), coded.dictionary.take(pa.array(kinds)), pa.array(n)], ["toxic", "token", "n"])
-
-    counted = rows.mapInArrow(count, "toxic int, token binary, n bigint").groupBy("token").agg(
+    counted = rows.mapInArrow(_document_counts, "toxic int, token binary, n bigint").groupBy("token").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good")
     )
     of_class = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}  # two rows
@@ -206,6 +224,8 @@ def _fitted_log_k(found: pa.Table, rate: float) -> float:
 
     # Of equally good values the middle one.
     merits = [merit(log_k) for log_k in LOG_K]
+    if max(merits) <= 2 and 0 < toxic.sum() < len(toxic):
+        warnings.warn("no constant tells toxic training documents from others; no document will be called toxic", stacklevel=2)
     good = [log_k for log_k, m in zip(LOG_K, merits) if m >= max(merits) - 1e-12]
     return good[len(good) // 2]
 
@@ -217,8 +237,9 @@ def _scored(column: pa.Array, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np
     for low, high in steps(borders):
         words, at, starts = tokens_of(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
         which = np.full(len(words), none)
-        for feature in [_marked(words), *(pc.binary_slice(words, 0, k) for k in BEGINNINGS)]:
-            which = np.where(which == none, pc.index_in(feature, value_set=lexicon.tokens).fill_null(none).to_numpy(), which)
+        for feature, own in features(words):
+            code = pc.index_in(feature, value_set=lexicon.tokens).fill_null(none).to_numpy()
+            which[own] = np.where(which[own] == none, code, which[own])
         scores = np.full(len(words), -DRIFT)
         hits = np.flatnonzero(which < none)
         scores[hits] = lexicon.scores[which[hits]]
@@ -235,7 +256,8 @@ def score(documents: DataFrame, lexicon: Lexicon, significant: float = 0.05) ->
     """doc_id, score, passages (start byte, token count, score) of every row.
 
     Passages are the segments that fewer than ``significant`` equally good ones are expected of in harmless text of
-    that length. NULL, empty and wordless texts score 0 and have none. Texts are scanned whole.
+    that length. NULL, empty and wordless texts score 0 and have none. Texts are scanned whole. Repeated rows come as
+    often as they are given, each with the same score; NULL ids are kept.
     """
     shared = documents.sparkSession.sparkContext.broadcast(lexicon)
     passage = pa.struct([("start", pa.int64()), ("tokens", pa.int32()), ("score", pa.float64())])

@@ -10,6 +10,7 @@ import pytest
 from postbag.llm import toxicity as tox
 from postbag.llm.common import utf8
 
+pytestmark = pytest.mark.filterwarnings("error::RuntimeWarning")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic string, score string, token string"
 CLASH = ("l", "s", 1, "x", "y", "z")
 CLEAN = [f"w{i}" for i in range(300)]
@@ -100,3 +101,34 @@ def test_a_second_passage_of_the_same_words(spark, rows):
     row = tox.score(spark.createDataFrame([(2, text, *CLASH)], SCHEMA), lexicon).first()
     found = [(text.encode()[p.start :].decode()[: len(passage)], p.tokens) for p in row.passages if p.tokens > 1]
     assert row.score > 0.9 and found == [(passage, 4)] * 2
+
+
+def test_counts_are_of_documents():
+    draw = random.Random(7)
+    words = ["scum", "vile", "scummy", "ab", "vileness", "überlegen", "trashcan9", "scumbag"]
+    rows = [(" ".join(draw.choice(words) for _ in range(draw.randint(0, 12))), i % 2) for i in range(60)] + [(None, 1), ("", 0)]
+    expected = {}
+    for text, toxic in rows:
+        own = {w.encode() for w in (text or "").split()}
+        for feature in {b"=" + w for w in own} | {w[:k] for w in own for k in tox.BEGINNINGS if len(w) > k}:
+            expected[toxic, feature] = expected.get((toxic, feature), 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32())], ["text", "toxic"])
+    found = {}
+    for part in tox._document_counts(iter([batch])):
+        for toxic, token, n in zip(*(c.to_pylist() for c in part.columns)):
+            found[toxic, token] = found.get((toxic, token), 0) + n
+    assert found == expected
+    assert all(n <= 31 for n in found.values())
+
+
+def test_short_words_tell(spark):
+    draw = random.Random(9)
+    rows = []
+    for i in range(1500):
+        text = [draw.choice(CLEAN) for _ in range(draw.randint(40, 120))]
+        for _ in range(4 if i % 10 == 0 else 0):
+            text.insert(draw.randint(0, len(text)), draw.choice(["scum", "vile", "crap"]))
+        rows.append((i, " ".join(text), *CLASH))
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1500)], "doc_id bigint, quality int, toxic int")
+    held = [r for r in tox.toxicity_digests(spark.createDataFrame(rows, SCHEMA), labels).collect() if r.held_out]
+    assert all(r.predicted == (r.doc_id % 10 == 0) for r in held) and sum(r.predicted for r in held) > 20
