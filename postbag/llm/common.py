@@ -16,6 +16,7 @@ from postbag.session import shared_path
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
 

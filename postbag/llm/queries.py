@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postbag.llm.common import table
+from postbag.llm.decontamination import contamination_digests
 from postbag.llm.fingerprints import fingerprint_digests
 from postbag.llm.langid import language_digests
 from postbag.llm.lm import lm_digests
@@ -59,6 +60,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in globals().items() if name.startswith("op")
 }
