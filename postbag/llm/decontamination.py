@@ -14,7 +14,7 @@ what is found (place and hash) is written, and rarity, prefixes and candidates c
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from postbag.session import pin
 WINDOW, SHINGLE, CONTAINMENT = 10, 4, 1.0
 #: Everything but words, of lower-cased text: runs of ASCII other than digits and letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A side of a join with at most so many rows of at most so many bytes in all is broadcast; else both are shuffled.
+#: A side of a join with at most so many rows of at most so many bytes, as measured, is broadcast; else both are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,46 +43,56 @@ def words_of(norm: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(F.split(norm, " "))
 
 
-def shingle_hashes(words: Column, size: Column | int) -> Column:
-    """A hash of each ``size`` consecutive words; none if there are fewer."""
-    size = F.lit(size) if isinstance(size, int) else size
+def shingle_hashes(words: Column, size: int) -> Column:
+    """A hash of each ``size`` consecutive words; none if there are fewer.
 
-    def each(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(w) - size + 1)
-        return F.when(F.size(w) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    Hashes of two overlapping or adjoining shorter shingles are hashed together, so that a few walks do for any size.
+    """
+    hashes, have = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while have < size:
+        step = min(have, size - have)
+        hashes, have = let(hashes, _doubled(step)), have + step
+    return hashes
+
+
+def _doubled(step: int) -> Callable[[Column], Column]:
+    def joined(shorter: Column) -> Column:
+        left = F.greatest(F.size(shorter) - step, F.lit(0))
+        return F.zip_with(F.slice(shorter, F.lit(1), left), F.slice(shorter, F.lit(step + 1), left), lambda a, b: F.xxhash64(a, b))
 
-    return let(words, each)
+    return joined
+
+
+def hashes_of_size(words: Column, size: Column, sizes: list[int]) -> Column:
+    return F.coalesce(*[F.when(size == k, shingle_hashes(words, k)) for k in sizes])
 
 
 def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
-    """(item, words, size) of every distinct window of every item; ``size`` is the words of its shingles."""
+    """(item, words, size, window) of every distinct window of every item; ``size`` is the words of its shingles,
+    ``window`` a digest that equal windows have in common."""
     words = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(normalised(F.col("text"))).alias("all"))
     words = words.filter(F.size("all") > 0)
     cut = F.expr(f"transform(sequence(1, greatest(1, size(all) - {window - 1})), i -> slice(all, i, {window}))")
     cut = words.select("item", F.explode(F.array_distinct(cut)).alias("words"))
-    return cut.withColumn("size", F.least(F.size("words"), F.lit(shingle)))
+    key = F.sha2(F.array_join("words", " ").cast("binary"), 256)
+    return cut.select("item", "words", F.least(F.size("words"), F.lit(shingle)).alias("size"), key.alias("window"))
 
 
-def _small(df: DataFrame, row_bytes: Column | int) -> DataFrame:
-    """``df``, a written table, marked for broadcast if its measured size allows, else for a join by shuffling."""
-    seen = df.agg(F.count("*").alias("n"), F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("bytes")).first()
-    small = seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
+def _joinable(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df.hint("merge")
 
 
-def found_windows(
-    rows: DataFrame, windows: DataFrame, sizes: list[int], containment: float = CONTAINMENT
-) -> DataFrame:
-    """(row, window, start, len): the stretches of documents that hold a window, each once.
+def _small(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether a written table may be broadcast, by its measured size."""
+    seen = df.agg(F.count("*").alias("n"), F.sum(row_bytes).alias("bytes")).first()
+    return seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
 
-    ``rows`` is a written table (row, n_words, norm), ``windows`` one of (window, words, size), in which a window is
-    there once; ``sizes`` are the sizes of shingles that occur.
-    """
-    spark = rows.sparkSession
+
+def candidates(rows: DataFrame, windows: DataFrame, sizes: list[int], small: bool, containment: float) -> DataFrame:
+    """(row, window, starts): where documents may hold a window, by the rarest shingles of each window."""
     shingles = windows.select(
-        "window", "size", F.size("words").alias("len"), F.posexplode(shingle_hashes(F.col("words"), F.col("size"))).alias("at", "hash")
+        "window", "size", F.size("words").alias("len"), F.posexplode(hashes_of_size(F.col("words"), F.col("size"), sizes)).alias("at", "hash")
     )
-    kinds = pin(shingles.select("size", "hash").distinct(), "item-shingles")
     # Places of all items' shingles in all documents. The words stay behind: a row is a number and a hash.
     own = [
         rows.select("row", "n_words", F.posexplode(shingle_hashes(words_of(F.col("norm")), k)).alias("pos", "hash")).withColumn("size", F.lit(k))
@@ -91,43 +101,52 @@ def found_windows(
     places = own[0]
     for more in own[1:]:
         places = places.unionByName(more)
-    places = pin(places.join(_small(kinds, 16), ["size", "hash"]), "shingle-places")
+    places = pin(places.join(_joinable(shingles.select("size", "hash").distinct(), small), ["size", "hash"]), "shingle-places")
     # Rarity: how often a shingle occurs in the documents. A window with one that never does can be held in part only.
-    counts = pin(places.groupBy("size", "hash").agg(F.count("*").alias("seen")), "shingle-counts")
-    rare = shingles.join(_small(counts, 24), ["size", "hash"], "left").select("window", "size", "len", "at", "hash", F.coalesce("seen", F.lit(0)).alias("seen"))
+    counts = places.groupBy("size", "hash").agg(F.count("*").alias("seen"))
+    rare = shingles.join(_joinable(counts, small), ["size", "hash"], "left").select("window", "size", "len", "at", "hash", F.coalesce("seen", F.lit(0)).alias("seen"))
     in_order = F.array_sort(F.collect_list(F.struct("seen", "hash", "at")))
-    kept = F.expr("array_distinct(transform(found, s -> s.hash))")
-    ordered = rare.groupBy("window", "size", "len").agg(in_order.alias("found")).withColumn("kinds", kept)
+    ordered = rare.groupBy("window", "size", "len").agg(in_order.alias("found"))
+    ordered = ordered.withColumn("kinds", F.expr("array_distinct(transform(found, s -> s.hash))"))
     need = F.ceil(F.size("kinds") * F.lit(containment))
     prefix = F.slice("kinds", F.lit(1), (F.size("kinds") - need + 1).cast("int"))
     lead = F.explode(F.filter("found", lambda s: F.array_contains(F.col("prefix"), s["hash"])))
     prefixes = ordered.withColumn("prefix", prefix).select("window", "size", "len", lead.alias("s")).filter("s.seen > 0")
-    prefixes = pin(prefixes.select("window", "size", "len", F.col("s.at").alias("at"), F.col("s.hash").alias("hash")), "prefixes")
+    prefixes = prefixes.select("window", "size", "len", F.col("s.at").alias("at"), F.col("s.hash").alias("hash"))
 
-    joined = places.join(_small(prefixes, 40), ["size", "hash"])
+    joined = places.join(_joinable(prefixes, small), ["size", "hash"])
     if containment >= 1:
-        # All words stand where the window has them, so one place tells where the stretch begins; each is met once
-        # unless the shingle is in the window several times.
+        # All words stand where the window has them, so one place tells where the stretch begins.
         starts = joined.withColumn("start", F.col("pos") - F.col("at"))
     else:
         lowest = F.greatest(F.lit(0), F.col("pos") + F.col("size") - F.col("len"))
         highest = F.least(F.col("pos"), F.col("n_words") - F.col("len"))
         joined = joined.withColumns({"lowest": lowest, "highest": highest}).filter("lowest <= highest")
         starts = joined.withColumn("start", F.explode(F.sequence("lowest", "highest")))
-    starts = starts.filter("start >= 0 AND start + len <= n_words").select("row", "start", "window")
-    # One row per document and window; a document's places are at most as many as its words for each window.
-    candidates = starts.groupBy("row", "window").agg(F.collect_set("start").alias("starts"))
-    with_words = candidates.join(_small(windows, F.length(F.array_join("words", " ")) + 40), "window")
-    candidates = pin(with_words.groupBy("row").agg(F.collect_list(F.struct("window", "words", "size", "starts")).alias("asked")), "candidates")
+    starts = starts.filter("start >= 0 AND start + len <= n_words")
+    # A document's places are at most as many as its words for each window.
+    return starts.groupBy("row", "window").agg(F.collect_set("start").alias("starts"))
+
+
+def found_windows(
+    rows: DataFrame, windows: DataFrame, sizes: list[int], small: bool, containment: float = CONTAINMENT
+) -> DataFrame:
+    """(row, window, start, len): the stretches of documents that hold a window, each once.
+
+    ``rows`` is a written table (row, n_words, norm), ``windows`` one of (window, words, size), in which a window is
+    there once; ``sizes`` are the sizes of shingles that occur, ``small`` says that windows may be broadcast.
+    """
+    asked = candidates(rows, windows, sizes, small, containment).join(_joinable(windows, small), "window")
+    asked = pin(asked.groupBy("row").agg(F.collect_list(F.struct("window", "words", "size", "starts")).alias("asked")), "candidates")
 
     def held(words: Column) -> Column:
         def at(w: Column, start: Column) -> Column:
             stretch = F.slice(words, start + 1, F.size(w["words"]))
             if containment >= 1:
                 return stretch == w["words"]
-            wanted = F.array_distinct(shingle_hashes(w["words"], w["size"]))
-            got = let(wanted, lambda m: F.size(F.array_intersect(m, shingle_hashes(stretch, w["size"]))) >= F.ceil(F.size(m) * F.lit(containment)))
-            return got
+            wanted = F.array_distinct(hashes_of_size(w["words"], w["size"], sizes))
+            enough = lambda m: F.size(F.array_intersect(m, hashes_of_size(stretch, w["size"], sizes))) >= F.ceil(F.size(m) * F.lit(containment))
+            return let(wanted, enough)
 
         def of(w: Column) -> Column:
             found = F.filter(w["starts"], lambda s: at(w, s))
@@ -135,9 +154,9 @@ def found_windows(
 
         return F.flatten(F.transform(F.col("asked"), of))
 
-    asked_bytes = F.size("asked") * 160 + 40
-    checked = rows.select("row", "norm").join(_small(candidates, asked_bytes), "row").select("row", F.explode(let(words_of(F.col("norm")), held)).alias("s"))
-    return checked.select("row", "s.*")
+    few = _small(asked, F.aggregate("asked", F.lit(40), lambda n, w: n + 200 + 4 * F.size(w["starts"])))
+    checked = rows.select("row", "norm").join(_joinable(asked, few), "row")
+    return checked.select("row", F.explode(let(words_of(F.col("norm")), held)).alias("s")).select("row", "s.*")
 
 
 def covered(spans: Column) -> Column:
@@ -163,29 +182,26 @@ def contamination(
     words; such items have no window. Repeated documents come as often as they are given. Several items may have one
     id, which then counts once; a NULL id is the empty string. Further columns of either table play no part.
     """
-    spark = documents.sparkSession
     norm = documents.select("doc_id", normalised(F.col("text")).alias("norm"))
     n_words = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
     rows = pin(norm.select(F.monotonically_increasing_id().alias("row"), "doc_id", n_words.alias("n_words"), "norm"), "words")
     of_items = pin(item_windows(items, window, shingle), "item-windows")
-    sizes = [r["size"] for r in of_items.select("size").distinct().collect()]  # at most ``shingle`` rows
+    seen = of_items.agg(F.collect_set("size").alias("sizes"), F.count("*").alias("n"), F.sum(F.length(F.array_join("words", " ")) + F.length("item") + 120).alias("bytes")).first()
+    # A window has fewer shingles than words, and what is joined of them is smaller than the windows themselves.
+    small = seen["n"] * window <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
     shown = ["doc_id", F.col("n_words").cast("bigint").alias("n_words")]
     spans = "array<struct<start: int, end: int>>"
-    if not sizes:
+    if not seen["n"]:
         none = {"n_hit": F.lit(0).cast("bigint"), "spans": F.array().cast(spans), "items": F.array().cast("array<string>")}
         return rows.select(*shown, *[c.alias(name) for name, c in none.items()])
     # A window that several items have is looked for once.
-    key = F.sha2(F.array_join("words", " ").cast("binary"), 256)
-    of_items = pin(of_items.withColumn("window", key), "keyed-windows")
-    windows = pin(of_items.groupBy("window").agg(F.first("words").alias("words"), F.first("size").alias("size")), "windows")
-    found = pin(found_windows(rows, windows, sorted(sizes), containment), "found-windows")
-    names = _small(pin(of_items.select("window", "item").distinct(), "window-items"), F.length("item") + 80)
-    named = found.select("row", "window").distinct().join(names, "window")
+    windows = of_items.groupBy("window").agg(F.first("words").alias("words"), F.first("size").alias("size"))
+    found = pin(found_windows(rows, windows, sorted(seen["sizes"]), small, containment), "found-windows")
+    named = found.select("row", "window").distinct().join(_joinable(of_items.select("window", "item"), small), "window")
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     hit = found.select("row", F.struct("start", (F.col("start") + F.col("len")).alias("end")).alias("span"))
     hit = hit.groupBy("row").agg(F.array_sort(F.collect_set("span")).alias("spans"))
-    both = pin(hit.join(named, "row"), "hits")
-    out = rows.select("row", *shown).join(_small(both, F.size("spans") * 16 + F.size("items") * 24 + 40), "row", "left")
+    out = rows.select("row", *shown).join(hit, "row", "left").join(named, "row", "left")
     return out.select(
         "doc_id",
         "n_words",
