@@ -26,7 +26,8 @@ from postbag.session import pin
 WINDOW, SHINGLE, CONTAINMENT = 10, 4, 1.0
 #: Everything but words, of lower-cased text: runs of ASCII other than digits and letters.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: A side of a join with at most so many rows of at most so many bytes, as measured, is broadcast; else both are shuffled.
+#: What is joined of the items is broadcast if it has at most so many rows and bytes, as measured; else both sides are
+#: shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -82,12 +83,6 @@ def _joinable(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df.hint("merge")
 
 
-def _small(df: DataFrame, row_bytes: Column) -> bool:
-    """Whether a written table may be broadcast, by its measured size."""
-    seen = df.agg(F.count("*").alias("n"), F.sum(row_bytes).alias("bytes")).first()
-    return seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES
-
-
 def candidates(rows: DataFrame, windows: DataFrame, sizes: list[int], small: bool, containment: float) -> DataFrame:
     """(row, window, starts): where documents may hold a window, by the rarest shingles of each window."""
     shingles = windows.select(
@@ -137,7 +132,7 @@ def found_windows(
     there once; ``sizes`` are the sizes of shingles that occur, ``small`` says that windows may be broadcast.
     """
     asked = candidates(rows, windows, sizes, small, containment).join(_joinable(windows, small), "window")
-    asked = pin(asked.groupBy("row").agg(F.collect_list(F.struct("window", "words", "size", "starts")).alias("asked")), "candidates")
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("window", "words", "size", "starts")).alias("asked"))
 
     def held(words: Column) -> Column:
         def at(w: Column, start: Column) -> Column:
@@ -154,8 +149,8 @@ def found_windows(
 
         return F.flatten(F.transform(F.col("asked"), of))
 
-    few = _small(asked, F.aggregate("asked", F.lit(40), lambda n, w: n + 200 + 4 * F.size(w["starts"])))
-    checked = rows.select("row", "norm").join(_joinable(asked, few), "row")
+    # Both grow with the documents: they meet by shuffling at every size.
+    checked = rows.select("row", "norm").join(asked.hint("shuffle_hash"), "row")
     return checked.select("row", F.explode(let(words_of(F.col("norm")), held)).alias("s")).select("row", "s.*")
 
 
