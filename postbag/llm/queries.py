@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from postbag.llm.common import table
 from postbag.llm.decontamination import contamination_digests
+from postbag.llm.divergence import divergence_digests
 from postbag.llm.fingerprints import fingerprint_digests
 from postbag.llm.langid import language_digests
 from postbag.llm.lm import lm_digests
@@ -18,6 +19,7 @@ from postbag.llm.packing import packed
 from postbag.llm.sharding import shard_digests
 from postbag.llm.substrings import repeat_digests
 from postbag.llm.toxicity import toxicity_digests
+from postbag.llm.whitening import whitening_digests
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,14 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in globals().items() if name.startswith("op")
 }
