@@ -7,13 +7,20 @@ and the sums of the earlier ranges are added. The add-on is a table with at most
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postbag.session import pin
 
-# Rows that are not worth another range.
-SMALL_RANGE = 1000
+# A range holds about so many bytes of what is moved by it and so many rows; the driver holds a key of each.
+RANGE_BYTES, RANGE_ROWS, MOST_RANGES = 128 << 20, 100_000, 20_000
+# Rows that are not worth another range, and what a row weighs if nothing is known.
+SMALL_RANGE, ROW_BYTES = 1000, 8 << 10
+# Up to so many keys are the first of all found by keeping the first of every input split.
+TOP_KEYS = 100_000
+DAY_US = 86_400_000_000
 
 # Makes the order total: uid is unique within mailbox and folder.
 ORDER = ("mailbox_ord", "mailbox", "folder_ord", "date_us", "uid", "folder")
@@ -48,28 +55,30 @@ def date_us(date_local: Column) -> Column:
     return F.coalesce(micros, F.lit(-(2**63) + 1))
 
 
-def _range_count(keys: DataFrame) -> int:
-    """As many ranges as the session has shuffle partitions, which a job sets by the size of its data; fewer
-    for a small table. The ranges will also carry the texts, so their number must not follow from how small
-    the keys are."""
-    spark = keys.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(most, max(spark.sparkContext.defaultParallelism, keys.count() // SMALL_RANGE))
+def range_count(rows: int, size: int) -> int:
+    """Ranges for so many rows that take so many bytes, texts included. One range is one task: there are no more of
+    them than it takes to bound a task, since every further one costs the driver a key."""
+    wanted = max(math.ceil(size / RANGE_BYTES), math.ceil(rows / RANGE_ROWS))
+    return max(1, min(MOST_RANGES, wanted, max(1, rows // SMALL_RANGE)))
+
+
+def fits_one_range(size: int | None) -> bool:
+    return size is not None and size <= RANGE_BYTES
 
 
 def running_sums(
-    rows: DataFrame, order: tuple[str, ...], cost: str, within: tuple[str, ...] = ()
+    rows: DataFrame, order: tuple[str, ...], cost: str, within: tuple[str, ...] = (), ranges: int | None = None
 ) -> DataFrame:
     """Add ``before``, the sum of ``cost`` over the rows that come earlier, and ``slot``, the range.
 
     With ``within`` each group sums for itself; the order must begin with those columns. Give it only the
     columns it needs: the rows are written before they are sampled for ranges, so that whatever computes them
-    runs once, and again after, to fix which range each is in.
+    runs once, and again after, to fix which range each is in. With ``ranges`` they are taken to be a written table.
     """
     if order[: len(within)] != within:
         raise ValueError("the order has to begin with the group columns")
-    keys = pin(rows, "keys")
-    count = _range_count(keys)
+    keys = rows if ranges else pin(rows, "keys")
+    count = ranges or range_count(keys.count(), 0)
     ranged = pin(
         keys.repartitionByRange(count, *order).withColumn("slot", F.spark_partition_id()), "ranges"
     )
@@ -95,20 +104,50 @@ def running_sums(
     )
 
 
+def first_keys(keys: DataFrame, n: int, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """The first ``n`` keys; every input split passes on no more than these."""
+    return keys.orderBy(*order).limit(n)
+
+
+def _last_taken(keys: DataFrame, n: int, order: tuple[str, ...] = ORDER) -> dict | None:
+    """The key at which the weights of the first ones reach ``n``, and what lies before it; None without keys."""
+    if n > TOP_KEYS:
+        taken = running_sums(keys, order, "_weight").filter(F.col("before") < n)
+    else:
+        # A weight is 1 or more, so the first n keys are enough.
+        first = first_keys(keys, n, order)
+        earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        taken = first.withColumn("before", F.coalesce(F.sum("_weight").over(earlier), F.lit(0))).filter(F.col("before") < n)
+    last = taken.agg(F.max(F.struct(*order, "before")).alias("last")).first()["last"]
+    return last.asDict() if last else None
+
+
 def limit(messages: DataFrame, n: int | None, copies: str | None = None) -> DataFrame:
     """The first ``n`` messages in fetch order; no limit for 0 or None.
 
     With ``copies`` a row stands for that many messages, and the last row taken may keep only some of them.
 
     The cut-off key is looked up among the keys; the messages are then filtered by a constant where they are
-    read. A sort with limit would send up to ``n`` whole messages of every input split to one task.
+    read. For up to ``TOP_KEYS`` messages every input split passes on its own first ``n`` keys. For more the keys are
+    first counted by mailbox, folder and day; only those of the day with the cut are looked at one by one.
     """
     if not n:
         return messages
     weight = F.col(copies) if copies else F.lit(1)
     keys = messages.select(*ORDER, weight.cast("long").alias("_weight"))
-    taken = running_sums(keys, ORDER, "_weight").filter(F.col("before") < n)
-    last = taken.agg(F.max(F.struct(*ORDER, "before")).alias("last")).first()["last"]
+    taken = 0
+    if n > TOP_KEYS:
+        stretch = ("mailbox_ord", "mailbox", "folder_ord", "_day")
+        dated = keys.withColumn("_day", F.expr(f"date_us div {DAY_US}"))
+        found = _last_taken(dated.groupBy(*stretch).agg(F.sum("_weight").alias("_weight")), n, stretch)
+        if found is None:
+            return messages
+        taken = found["before"]
+        same = F.lit(True)
+        for name in stretch:
+            same = same & F.col(name).eqNullSafe(F.lit(found[name]))
+        keys = dated.filter(same).drop("_day")
+    last = _last_taken(keys, n - taken)
     if last is None:
         return messages
     types = {field.name: field.dataType for field in messages.schema.fields}
@@ -117,5 +156,5 @@ def limit(messages: DataFrame, n: int | None, copies: str | None = None) -> Data
     kept = messages.filter(key <= cut)
     if copies is None:
         return kept
-    rest = F.least(F.col(copies), F.lit(n - last["before"]))
+    rest = F.least(F.col(copies), F.lit(n - taken - last["before"]))
     return kept.withColumn(copies, F.when(key == cut, rest).otherwise(F.col(copies)))

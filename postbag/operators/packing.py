@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from postbag.functions.chunks import chunk_size, chunks, fixed_chunks
 from postbag.functions.text import SEPARATOR, iso_date, let
-from postbag.operators.ordering import ORDER, running_sums
+from postbag.operators.ordering import ORDER, ROW_BYTES, fits_one_range, range_count, running_sums
+from postbag.session import input_bytes, pin
 
 DEFAULT_BATCH = 10
 
@@ -53,14 +54,40 @@ def with_packs(
     cost: Column,
     budget: int,
     within: tuple[str, ...] = (),
+    sized: bool = False,
+    start: int = 0,
 ) -> DataFrame:
     """Add ``pack`` (number of the pack, counted from 0 in its group), ``place`` (running cost before the row)
     and ``slot``. Rows of a pack lie in one partition, partitioned by ``slot``: grouping by ``slot``, the
     group columns and ``pack`` needs no further shuffle.
+
+    ``sized`` says that the cost is about the size of the row. Then the rows are written once with their cost, which
+    may take cleaning whole bodies, and order and texts both come from there. Other costs are cheap: only keys are
+    written, and the rows are computed when they are moved. Ranges are made for the size of the rows; what fits one
+    task is one range, and with groups even that is dealt out by group. ``start`` is where counting begins.
     """
-    spark = rows.sparkSession
+    if order[: len(within)] != within:
+        raise ValueError("the order has to begin with the group columns")
     costed = rows.withColumn("_cost", cost.cast("long"))
-    sums = running_sums(costed.select(*order, "_cost"), order, "_cost", within)
+    keys = costed.select(*order, "_cost")
+    if sized:
+        costed = pin(costed, "costed")
+        seen = costed.agg(F.count("*").alias("n"), F.sum("_cost").alias("size")).first()
+        keys, count = costed.select(*order, "_cost"), range_count(seen["n"], seen["size"] or 0)
+    else:
+        size = input_bytes(rows)
+        count = 1
+        if not fits_one_range(size):
+            keys = pin(keys, "keys")
+            n = keys.count()
+            count = range_count(n, n * ROW_BYTES if size is None else size)
+    if count == 1:
+        one = costed.withColumn("slot", F.lit(0))
+        earlier = Window.partitionBy(*(within or ("slot",))).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        place = F.coalesce(F.sum("_cost").over(earlier), F.lit(0)) + start
+        return one.withColumn("place", place).withColumn("pack", F.expr(f"place div {budget}")).drop("_cost")
+
+    sums = running_sums(keys, order, "_cost", within, count).withColumn("before", F.col("before") + start)
     packs = sums.groupBy(*within, F.expr(f"before div {budget}").alias("pack")).agg(
         F.min(F.struct(*order, "slot", "before")).alias("first")
     )
@@ -75,9 +102,6 @@ def with_packs(
         .collect()  # one row per range
     )
     bounds.sort(key=lambda bound: bound["slot"])
-    if not bounds:
-        return rows.withColumns({"slot": F.lit(0), "place": F.lit(0).cast("long"), "pack": F.lit(0).cast("long")})
-
     key_type = T.StructType([costed.schema[name] for name in order])
     starts = F.from_json(F.lit(json.dumps([bound["before"] for bound in bounds])), "array<bigint>")
 
@@ -87,14 +111,14 @@ def with_packs(
     )
     here = F.coalesce(F.sum("_cost").over(local), F.lit(0))
     # A group that began in an earlier range goes on counting where it stood there.
-    start = F.get(starts, F.col("slot"))
+    first_place = F.get(starts, F.col("slot"))
     if within:
         first = F.get(_keys(bounds, key_type), F.col("slot"))
         same = F.struct(*within) == F.struct(*[first[name].alias(name) for name in within])
-        start = F.when(same, start).otherwise(F.lit(0))
+        first_place = F.when(same, first_place).otherwise(F.lit(start))
     return (
         placed.repartitionById(len(bounds), "slot")
-        .withColumn("place", here + start)
+        .withColumn("place", here + first_place)
         .withColumn("pack", F.expr(f"place div {budget}"))
         .drop("_cost")
     )
@@ -123,18 +147,29 @@ def counted(messages: DataFrame) -> DataFrame:
 EMAIL_COLUMNS = ("uid", "subject", "sender", "recipients", "date_local", "date_offset_min")
 
 
-def _batched(messages: DataFrame, cost: Column, budget: int, fit: bool = False) -> DataFrame:
-    columns = list(dict.fromkeys([*ORDER, *EMAIL_COLUMNS, "mailbox", "copies", "content"]))
-    packed = with_packs(counted(messages).select(*columns), ORDER, cost, budget)
+MEMBER_COLUMNS = tuple(dict.fromkeys([*ORDER, *EMAIL_COLUMNS, "mailbox", "copies", "content"]))
+
+
+def members(messages: DataFrame) -> DataFrame:
+    """What batches need of messages."""
+    return counted(messages).select(*MEMBER_COLUMNS)
+
+
+def batch_cost(fit: bool) -> Column:
+    """What a message takes of a batch: as many places as it has copies or, to fill a context, its characters."""
+    return F.length("content") + len(SEPARATOR) if fit else F.coalesce("copies", F.lit(1))
+
+
+def gathered(packed: DataFrame, budget: int, fit: bool = False, order: tuple[str, ...] = ORDER) -> DataFrame:
+    """One row per batch of members that ``with_packs`` has placed."""
     if fit:
         # What reaches over the end of its stretch is a batch of its own.
-        over = F.coalesce(F.col("place") + cost > (F.col("pack") + 1) * budget, F.lit(False))
+        over = F.coalesce(F.col("place") + batch_cost(fit) > (F.col("pack") + 1) * budget, F.lit(False))
         packed = packed.withColumn("pack", 2 * F.col("pack") + over.cast("long"))
-    member = F.struct(F.struct(*ORDER).alias("key"), email_struct().alias("email"), "mailbox", "content")
-    members = F.array_sort(F.collect_list(member))
+    member = F.struct(F.struct(*order).alias("key"), email_struct().alias("email"), "mailbox", "content")
     return (
         packed.groupBy("slot", "pack")
-        .agg(members.alias("members"))
+        .agg(F.array_sort(F.collect_list(member)).alias("members"))
         .select(
             F.col("pack").alias("batch_id"),
             F.col("members.mailbox")[0].alias("mailbox"),
@@ -144,13 +179,17 @@ def _batched(messages: DataFrame, cost: Column, budget: int, fit: bool = False)
     )
 
 
+def _batched(messages: DataFrame, budget: int, fit: bool = False) -> DataFrame:
+    return gathered(with_packs(members(messages), ORDER, batch_cost(fit), budget, sized=fit), budget, fit)
+
+
 def batches(messages: DataFrame, size: int | None = None) -> DataFrame:
     """``size`` consecutive messages per batch, over folder and mailbox borders; the last may be smaller.
 
     Takes messages with order columns and ``content``; the mailbox of a batch is that of its first message. A
     message that was found several times is there once, and takes as many places as it was found times.
     """
-    return _batched(messages, F.coalesce("copies", F.lit(1)), size or DEFAULT_BATCH)
+    return _batched(messages, size or DEFAULT_BATCH)
 
 
 def fitted_batches(messages: DataFrame, size: int) -> DataFrame:
@@ -160,7 +199,7 @@ def fitted_batches(messages: DataFrame, size: int) -> DataFrame:
     lie within one stretch (even ``batch_id``), a message across the end of a stretch is alone (odd). So only a
     single message can be longer than ``size``, and the result does not depend on how rows are partitioned.
     """
-    return _batched(messages, F.length("content") + len(SEPARATOR), size, fit=True)
+    return _batched(messages, size, fit=True)
 
 
 def single_items(messages: DataFrame) -> DataFrame:

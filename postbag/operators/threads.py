@@ -97,6 +97,7 @@ def transcripts(blocks: DataFrame, part_size: int = TRANSCRIPT_PART) -> DataFram
         F.length("content") + len(SEPARATOR),
         part_size,
         within=tuple(KEYS),
+        sized=True,
     )
     member = F.struct("date_us", "uid", "folder", "content")
     return (

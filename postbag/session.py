@@ -67,6 +67,27 @@ def pin(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Sizes from here on are Spark's way to say that it doesn't know.
+UNKNOWN_BYTES = 1 << 60
+#: Scanned bytes are compressed.
+EXPANSION = 4
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """About how many bytes the inputs of ``df`` hold, by the sizes of their files; None if that isn't known.
+
+    No job is run. Filters and joins aren't looked at: it is a bound, not a guess at what is left.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes) * EXPANSION
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows out when the input has fewer splits than the cluster has cores.
 

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from postbag.operators import ordering
 from postbag.operators.cleaning import with_content
 from postbag.operators.filters import Criteria, search
 from postbag.operators.ordering import with_order
@@ -118,14 +119,19 @@ def test_transcripts(spark):
     assert transcripts(blocks(spark, [])).count() == 0
 
 
-def test_a_long_thread_comes_in_parts_that_make_up_the_whole(spark):
+def test_a_long_thread_comes_in_parts_that_make_up_the_whole(spark, monkeypatch):
     rows = [
         message(f"{i:04}", thread_id="hot" if i % 3 else f"t{i % 6}", date_local=after(i), text=f"text {i} " * 5)
         for i in range(900)
     ]
     whole = {r["thread_key"]: r["transcript"] for r in transcripts(blocks(spark, rows)).collect()}
     assert len(whole) == 3
+    parts_of_one_range = sorted(map(tuple, transcripts(blocks(spark, rows), 1500).collect()))
+    # As if the thread didn't fit one task.
+    monkeypatch.setattr(ordering, "RANGE_BYTES", 5000)
+    monkeypatch.setattr(ordering, "SMALL_RANGE", 200)
     cut = transcripts(blocks(spark, rows), 1500)
+    assert sorted(map(tuple, cut.collect())) == parts_of_one_range
     by_thread = {}
     for row in sorted(cut.collect(), key=lambda r: (r["thread_key"], r["part"])):
         by_thread.setdefault(row["thread_key"], []).append(row["transcript"])
