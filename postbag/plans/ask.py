@@ -23,8 +23,10 @@ from postbag.operators.filters import (
     split_csv,
 )
 from postbag.operators.inference import ATTEMPTS, Completer, infer
-from postbag.operators.ordering import limit, with_order
+from postbag.operators.ledger import ask_once
+from postbag.operators.ordering import fits_one_range, limit, with_order
 from postbag.operators.packing import (
+    DEFAULT_BATCH,
     batch_items,
     batches,
     chunked,
@@ -33,7 +35,7 @@ from postbag.operators.packing import (
 )
 from postbag.operators.reports import error_report, mailbox_counts, run_stats
 from postbag.operators.threads import expand_threads
-from postbag.session import pin, spread
+from postbag.session import input_bytes, pin, spread
 from postbag.sources.records import default_output_dir, records, write_records
 
 MAX_CONTEXT = 8192
@@ -65,6 +67,7 @@ class AskOptions:
     attempts: int = ATTEMPTS
     concurrency: int | None = None
     profile: ResourceProfile | None = None
+    ledger: str | None = None  # a folder that keeps answers beyond the run: no answered call is made again
 
     def __post_init__(self) -> None:
         for name in ("sender", "recipient", "boxes", "folders"):
@@ -114,9 +117,18 @@ def items(fetched: DataFrame, options: AskOptions) -> DataFrame:
     cleaned = with_content(spread(fetched), options.languages, headers=options.thread)
     if not options.batch:
         return single_items(cleaned)
+    budget, fit = batch_budget(options)
+    made = batch_items(fitted_batches(cleaned, budget) if fit else batches(cleaned, budget))
+    # Few batches are made in one task; the calls shouldn't be.
+    small = fits_one_range(input_bytes(fetched))
+    return made.repartition(fetched.sparkSession.sparkContext.defaultParallelism) if small else made
+
+
+def batch_budget(options: AskOptions) -> tuple[int, bool]:
+    """What a batch holds: so many characters, to fill a context, or so many messages."""
     if options.batch_size == FIT:
-        return batch_items(fitted_batches(cleaned, chunk_size(options.max_context)))
-    return batch_items(batches(cleaned, options.batch_size))
+        return chunk_size(options.max_context), True
+    return options.batch_size or DEFAULT_BATCH, False
 
 
 def ask(
@@ -127,17 +139,18 @@ def ask(
 ) -> DataFrame:
     """Responses of a run, one row per chunk. The calls are made when it is read: write it before using it twice.
 
-    A limit, threads and batches need an order or counts over everything and run jobs while the plan is built.
+    A limit, threads and batches need an order or counts over everything and run jobs while the plan is built. With
+    a ledger so do the calls.
     """
-    work = chunked(items(fetch(messages, options, known), options), options.max_context)
-    return infer(
-        work,
-        options.prompt,
-        make_completer,
-        attempts=options.attempts,
-        concurrency=options.concurrency,
-        profile=options.profile,
-    )
+    return asked(chunked(items(fetch(messages, options, known), options), options.max_context), options, make_completer)
+
+
+def asked(work: DataFrame, options: AskOptions, make_completer: Callable[[], Completer]) -> DataFrame:
+    """Responses to chunks, from the ledger if there is one."""
+    how = {"attempts": options.attempts, "concurrency": options.concurrency, "profile": options.profile}
+    if options.ledger:
+        return ask_once(work, options.prompt, make_completer, options.ledger, **how)
+    return infer(work, options.prompt, make_completer, **how)
 
 
 def run_ask(
