@@ -266,6 +266,11 @@ FROM good JOIN members USING (item_id) WHERE NOT is_empty""",
 )
 
 
+JSON_ERRORS = """SELECT 'work' AS mailbox, CAST(doc_id AS VARCHAR) AS doc,
+       CASE lang WHEN 'de' THEN 'no JSON' WHEN 'fr' THEN 'no message id' ELSE 'unreadable body' END AS error
+FROM documents WHERE lang IN ('de', 'fr', 'es')"""
+
+
 SQL: dict[str, str] = {
     "filter_criteria": over_messages(f"""SELECT {KEY}, subject FROM messages
 WHERE mailbox IN ('conv', 'docs') AND lower(folder) IN ('inbox', 'sent')
@@ -381,6 +386,9 @@ FROM (SELECT mailbox, len(regexp_extract_all(content, '[A-Za-z0-9_]+|[^A-Za-z0-9
     ),
     "token_counts": "SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS tokens FROM documents",
     "infer_stub": asked(RESPONSES),
+    "infer_resumed": asked(
+        RESPONSES.replace("'stub' AS model", "CASE WHEN substring(md5(chunk), 1, 1) < '8' THEN 'first run' ELSE 'stub' END AS model")
+    ),
     "infer_errors": asked(
         "SELECT item_id, chunk_ix, CAST(3 AS BIGINT) AS attempts, 'ConnectionError: no answer' AS error FROM bad"
     ),
@@ -450,6 +458,9 @@ FROM good"""
     ),
     "stream_ask": asked(FLAT_RECORD),
     "stream_batches": BATCH_RECORD,
+    "stream_batches_carried": BATCH_RECORD,
+    "json_errors": JSON_ERRORS,
+    "stream_errors": JSON_ERRORS,
     "stream_threads": asked(
         FLAT_RECORD,
         f"items AS (SELECT *, {ITEM} AS item_id FROM blocks SEMI JOIN hits USING (mailbox, thread_key))",

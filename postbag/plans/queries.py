@@ -27,18 +27,21 @@ from postbag.operators import packing, reports, threads
 from postbag.operators.cleaning import body, clean, with_content
 from postbag.operators.filters import Criteria, search
 from postbag.operators.inference import infer
+from postbag.operators.ledger import ask_once
 from postbag.operators.ordering import limit, with_order
 from postbag.plans.ask import AskOptions, ask, fetch
 from postbag.plans.corpus import FOLDERS, MAILBOXES, conv_messages, messages, table
 from postbag.schema import MESSAGE
 from postbag.session import pin, shared_path, spread
-from postbag.sources.provider_json import read_provider_json
+from postbag.sources.provider_json import provider_json_errors, read_provider_json
 from postbag.sources.records import read_records, records, with_verdict
 from postbag.sources.registry import read_mailboxes
 from postbag.sources.rfc822 import read_rfc822
 from postbag.streaming.jobs import (
     ask_stream,
+    finish_batches,
     message_stream,
+    provider_json_stream,
     write_asked_stream,
     write_records_stream,
     write_stream,
@@ -474,6 +477,27 @@ def infer_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def make_broken_stub() -> Callable[[str, str], dict]:
+    """The stub, until half of the texts: what it answers says so, the rest fails for good."""
+    answer = make_stub()
+
+    def complete(prompt: str, content: str) -> dict:
+        if hashlib.md5(content.encode()).hexdigest()[0] >= "8":
+            raise TimeoutError("gone")
+        return {**answer(prompt, content), "model": "first run"}
+
+    return complete
+
+
+def infer_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that got answers to half of its questions, and the run that goes on with the rest."""
+    work = pin(packing.chunked(packing.single_items(cleaned(spark, sf_dir)), size=FULL), "work")
+    path = shared_path(spark, "ledger")
+    for make in (make_broken_stub, make_stub):
+        found = ask_once(work, PROMPT, make, path, attempts=1, sleep=no_wait, calls_per_task=1000)
+    return _flat_responses(found.filter("response IS NOT NULL"))
+
+
 def error_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.error_report(pin(responses(spark, sf_dir), "responses"))
 
@@ -637,6 +661,63 @@ def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_batch_records(read_records(spark, f"{base}/out", batch=True))
 
 
+def stream_batches_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in pieces, each in a run of its own that goes on from the checkpoint: batches go on over all of them."""
+    base = shared_path(spark, "stream")
+    options = AskOptions(PROMPT, boxes=MAILBOXES, folders=FOLDERS, batch=True, attempts=1)
+    rows = pin(corpus(spark, sf_dir), "arriving")
+    for mailbox in MAILBOXES:
+        for folder in FOLDERS:
+            piece = rows.filter((F.col("mailbox") == mailbox) & (F.col("folder") == folder))
+            if not piece.take(1):
+                continue
+            piece.write.mode("append").parquet(f"{base}/in")
+            query = write_asked_stream(
+                message_stream(spark, f"{base}/in", max_files=None),
+                options, make_stub, f"{base}/out", f"{base}/checkpoint", carry=True,
+            )
+            query.awaitTermination()
+    finish_batches(spark, options, make_stub, f"{base}/out")
+    return _flat_batch_records(read_records(spark, f"{base}/out", batch=True))
+
+
+def _odd_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Documents as provider JSON: by language broken off, without id, with a body that is no base64, or as it should be."""
+    path = shared_path(spark, "odd-json")
+    name = F.concat(F.lit("doc-"), F.col("doc_id"))
+
+    def line(given, data):
+        body = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(data.alias("data")).alias("body"))
+        return F.to_json(F.struct(given.alias("id"), name.alias("threadId"), body.alias("payload")))
+
+    whole = line(name, _base64("text"))
+    odd = (
+        F.when(F.col("lang") == "de", F.left(whole, F.lit(40)))
+        .when(F.col("lang") == "fr", line(F.lit(None).cast("string"), _base64("text")))
+        .when(F.col("lang") == "es", line(name, F.concat(F.lit("!"), "source")))
+        .otherwise(whole)
+    )
+    spread(table(spark, sf_dir, "documents")).select(odd.alias("value")).write.text(path)
+    return path
+
+
+def _flat_errors(found: DataFrame) -> DataFrame:
+    return found.select("mailbox", F.regexp_extract("source", "doc-([0-9]+)", 1).alias("doc"), "error")
+
+
+def json_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that cannot be read, or not in full."""
+    return _flat_errors(provider_json_errors(spark, _odd_lines(spark, sf_dir), "work"))
+
+
+def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as they arrive."""
+    base = shared_path(spark, "stream")
+    _, bad = provider_json_stream(spark, _odd_lines(spark, sf_dir), "work")
+    write_stream(bad, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return _flat_errors(spark.read.schema("mailbox string, source string, error string").parquet(f"{base}/out"))
+
+
 def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' turns arrive; their threads come from the message table."""
     base = shared_path(spark, "stream")
@@ -663,9 +744,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_content, character_savings,
         batch_fixed, batch_text, batch_fit, chunk_fixed, chunk_semantic, chunk_semantic_full,
         token_estimates, token_counts,
-        infer_stub, infer_errors, error_report, ask_messages, ask_batches,
+        infer_stub, infer_errors, infer_resumed, error_report, ask_messages, ask_batches,
         response_gate, skipped_answers, sender_address, truncated, header_lines, batch_headers,
         output_keys, slugs, iso_dates, result_record, result_readback, batch_record,
-        mailbox_counts_total, run_stats, stream_clean, stream_ask, stream_batches, stream_threads,
+        mailbox_counts_total, run_stats, stream_clean, stream_ask, stream_batches, stream_batches_carried,
+        stream_threads, json_errors, stream_errors,
     )
 }

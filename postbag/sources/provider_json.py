@@ -133,17 +133,37 @@ def from_json_rows(raw: DataFrame, mailbox: str) -> DataFrame:
 
 
 def read_provider_json(spark: SparkSession, path: str, mailbox: str = "gmail") -> DataFrame:
-    """Messages of JSON lines. Lines that are no JSON are in ``provider_json_errors``."""
+    """Messages of JSON lines. What cannot be read of them is in ``provider_json_errors``."""
     return from_json_rows(spark.read.schema(PROVIDER_JSON).json(path), mailbox)
 
 
-def provider_json_errors(spark: SparkSession, path: str, mailbox: str = "gmail") -> DataFrame:
-    """(mailbox, source, error) of the lines that are no JSON or have no message id. ``source`` is the line."""
+def line_error(line: Column) -> Column:
+    """What is wrong with a parsed line, NULL if nothing is: no JSON, no message id, or a body that is no base64.
+
+    A message with an unreadable body is still a message; the other body, if it has one, counts.
+    """
+    text, html = body_data(line["payload"])
+    unreadable = [part.isNotNull() & decode_data(part).isNull() for part in (text, html)]
+    return (
+        F.when(line[CORRUPT].isNotNull(), "no JSON")
+        .when(line["id"].isNull(), "no message id")
+        .when(unreadable[0] | unreadable[1], "unreadable body")
+    )
+
+
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """(value, m): lines and what they say; empty ones are left out."""
     schema = T.StructType([*PROVIDER_JSON.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    lines = spark.read.text(path).filter(trim(F.col("value")) != "").select("value", parsed.alias("m"))
-    return lines.filter(F.col(f"m.{CORRUPT}").isNotNull() | F.col("m.id").isNull()).select(
-        F.lit(mailbox).alias("mailbox"),
-        F.col("value").alias("source"),
-        F.when(F.col(f"m.{CORRUPT}").isNotNull(), "no JSON").otherwise("no message id").alias("error"),
-    )
+    return lines.filter(trim(F.col("value")) != "").select("value", parsed.alias("m"))
+
+
+def errors_of(parsed: DataFrame, mailbox: str) -> DataFrame:
+    """(mailbox, source, error) of parsed lines; ``source`` is the line."""
+    found = parsed.select(F.lit(mailbox).alias("mailbox"), F.col("value").alias("source"), line_error(F.col("m")).alias("error"))
+    return found.filter("error IS NOT NULL")
+
+
+def provider_json_errors(spark: SparkSession, path: str, mailbox: str = "gmail") -> DataFrame:
+    """(mailbox, source, error) of the lines that are no JSON, have no message id or a body that cannot be read."""
+    return errors_of(parsed_lines(spark.read.text(path)), mailbox)

@@ -8,12 +8,16 @@ from postbag.operators.filters import Criteria, search
 from postbag.operators.reports import Progress, run_stats
 from postbag.plans.ask import ask
 from postbag.sources.records import read_records, records
+from postbag.streaming import jobs
 from postbag.streaming.jobs import (
+    ask_arrived,
     ask_stream,
     buffer_size,
+    finish_batches,
     message_stream,
     provider_json_stream,
     responses_path,
+    run_each,
     write_asked_stream,
     write_records_stream,
     write_stream,
@@ -95,13 +99,17 @@ def test_batches_of_a_stream(spark, tmp_path):
 
 def test_bad_lines_do_not_stop_a_mailbox(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    lines = [json.dumps(MAIL[0]), "{not json", json.dumps(MAIL[1])]
+    body = {"mimeType": "text/plain", "headers": [], "body": {"data": "no base64!"}}
+    unreadable, nameless = json.dumps({"id": "odd", "payload": body}), json.dumps({"threadId": "t"})
+    lines = [json.dumps(MAIL[0]), "{not json", json.dumps(MAIL[1]), nameless, unreadable, ""]
     (tmp_path / "in" / "a.json").write_text("\n".join(lines))
     good, bad = provider_json_stream(spark, str(tmp_path / "in"), "work")
     write_stream(good.select("uid"), str(tmp_path / "good"), str(tmp_path / "c1")).awaitTermination()
     write_stream(bad, str(tmp_path / "bad"), str(tmp_path / "c2")).awaitTermination()
-    assert sorted(r["uid"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["html", "parts"]
-    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [("work", "{not json")]
+    assert sorted(r["uid"] for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["html", "odd", "parts"]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "bad")).collect()) == sorted(
+        [("work", "{not json", "no JSON"), ("work", nameless, "no message id"), ("work", unreadable, "unreadable body")]
+    )
 
 
 def test_threads_of_a_stream_come_from_a_table(spark, tmp_path):
@@ -150,3 +158,109 @@ def test_what_a_stream_cannot_do_is_an_error(spark, tmp_path, option):
     if "batch" not in option:
         with pytest.raises(ValueError, match=next(iter(option))):
             write_asked_stream(stream, options, make_echo, str(tmp_path / "o"), str(tmp_path / "c"))
+
+
+def batches_of(spark, path):
+    found = spark.read.option("recursiveFileLookup", "true").parquet(responses_path(path)).collect()
+    return {r["item_id"]: [e["uid"] for e in r["emails"]] for r in found if r["chunk_ix"] == 0}
+
+
+def expected_batches(spark, source, options):
+    found = ask(spark.read.parquet(source), options, make_echo, ["first"]).filter("chunk_ix = 0").collect()
+    return {r["item_id"]: [e["uid"] for e in r["emails"]] for r in found}
+
+
+def land_in_order(spark, source, sizes, start=0):
+    for n in sizes:
+        rows = [message(f"{start + j:03}", text=f"text {start + j} " + "x" * ((start + j) * 7 % 40), date_local=after(start + j)) for j in range(n)]
+        land(spark, source, rows)
+        start += n
+    return start
+
+
+@pytest.mark.parametrize("size", [4, "fit"])
+def test_batches_go_on_from_micro_batch_to_micro_batch(spark, tmp_path, size):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    options = AskOptions("P", batch=True, batch_size=size, max_context=1150)
+    start = land_in_order(spark, source, [3, 1, 6])
+    stream = lambda: message_stream(spark, source, max_files=1)
+    write_asked_stream(stream(), options, make_echo, out, checkpoint, carry=True).awaitTermination()
+    so_far = batches_of(spark, out)
+    # The open batch waits, and goes on after a restart.
+    assert so_far == {k: v for k, v in expected_batches(spark, source, options).items() if k in so_far}
+    assert sum(map(len, so_far.values())) < 10
+    land_in_order(spark, source, [2, 7], start)
+    ask_arrived(stream(), options, make_echo, out, checkpoint)
+    assert batches_of(spark, out) == expected_batches(spark, source, options)
+    finish_batches(spark, options, make_echo, out)  # nothing is left
+    assert batches_of(spark, out) == expected_batches(spark, source, options)
+    # What comes later begins a new batch.
+    land(spark, source, [message("900", text="late", date_local=after(900))])
+    ask_arrived(stream(), options, make_echo, out, checkpoint)
+    found = batches_of(spark, out)
+    assert sorted(u for b in found.values() for u in b) == [f"{i:03}" for i in range(19)] + ["900"] and ["900"] in found.values()
+
+
+def test_a_repeated_micro_batch_starts_from_the_same_state(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    options = AskOptions("P", batch=True, batch_size=4)
+    land_in_order(spark, source, [3, 3, 5])
+    written, fail = jobs._write_micro_batch, {1: True}
+
+    def breaks(responses, path, number, batch):
+        if fail.pop(number, False):
+            raise RuntimeError("lost between state and answers")
+        written(responses, path, number, batch)
+
+    monkeypatch.setattr(jobs, "_write_micro_batch", breaks)
+    with pytest.raises(Exception, match="lost between"):
+        write_asked_stream(message_stream(spark, source, max_files=1), options, make_echo, out, checkpoint, carry=True).awaitTermination()
+    ask_arrived(message_stream(spark, source, max_files=1), options, make_echo, out, checkpoint)
+    assert batches_of(spark, out) == expected_batches(spark, source, options)
+
+
+def test_a_broken_tail_is_asked_about_in_its_place(spark, tmp_path, monkeypatch):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    options = AskOptions("P", batch=True, batch_size=4)
+    start = land_in_order(spark, source, [3])
+    stream = lambda: message_stream(spark, source, max_files=1)
+    leave = jobs._leave
+    monkeypatch.setattr(jobs, "_leave", lambda rows, path, name, *rest: leave(rows, path, name, *rest) if "tail" not in name else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ask_arrived(stream(), options, make_echo, out, checkpoint)
+    monkeypatch.setattr(jobs, "_leave", leave)
+    land_in_order(spark, source, [2], start)
+    ask_arrived(stream(), options, make_echo, out, checkpoint)
+    assert sorted(batches_of(spark, out).values()) == [["000", "001", "002"], ["003", "004"]]
+
+
+def test_an_open_batch_waits_so_long(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    options = AskOptions("P", batch=True, batch_size=4)
+    start = land_in_order(spark, source, [3])
+    run = lambda: write_asked_stream(message_stream(spark, source), options, make_echo, out, checkpoint, carry=True, longest_wait=0).awaitTermination()
+    run()
+    assert batches_of(spark, out) == {} if spark.read.option("recursiveFileLookup", "true").parquet(responses_path(out)).count() else True
+    land_in_order(spark, source, [2], start)
+    run()
+    assert list(batches_of(spark, out).values()) == [["000", "001", "002"]]
+
+
+def test_only_batches_are_carried_on(spark, tmp_path):
+    with pytest.raises(ValueError, match="batches"):
+        write_asked_stream(message_stream(spark, str(tmp_path)), AskOptions("P"), make_echo, str(tmp_path / "o"), str(tmp_path / "c"), carry=True)
+    finish_batches(spark, AskOptions("P", batch=True), make_echo, str(tmp_path / "o"))  # no run, nothing to do
+
+
+def test_a_broken_mailbox_ends_no_other(spark, tmp_path):
+    land(spark, str(tmp_path / "one"), [message("1")])
+    land(spark, str(tmp_path / "three"), [message("3", mailbox="three")])
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.parquet").write_text("no table")
+    clean = lambda name: write_stream(with_content(message_stream(spark, str(tmp_path / name))).select("mailbox", "uid", "content"), str(tmp_path / f"{name}-out"), str(tmp_path / f"{name}-c"))
+    starts = {name: (lambda name=name: clean(name)) for name in ("one", "two", "three")}
+    starts["four"] = lambda: message_stream(spark, str(tmp_path / "nowhere" / "x")).writeStream.start()
+    errors = {r["mailbox"]: r["error"] for r in run_each(spark, starts).collect()}
+    assert set(errors) == {"two", "four"} and all(errors.values())
+    assert [u for u, _ in contents(spark, str(tmp_path / "one-out"))] == ["1"]
+    assert [u for u, _ in contents(spark, str(tmp_path / "three-out"))] == ["3"]
