@@ -63,6 +63,7 @@ class AskOptions:
     languages: tuple[str, ...] = ("en",)
     output_dir: str | None = None
     per_key_files: bool = False
+    run_id: str | None = None  # names the run in its output folder: repeated, it replaces itself
     dry_run: bool = False
     attempts: int = ATTEMPTS
     concurrency: int | None = None
@@ -169,7 +170,7 @@ def run_ask(
     responses = pin(ask(messages, options, make_completer, known), "responses")
     found = records(responses, options.batch)
     path = write_records(
-        found, options.output_dir or default_output_dir(), options.per_key_files, options.dry_run
+        found, options.output_dir or default_output_dir(), options.per_key_files, options.dry_run, options.run_id
     )
     names = resolve_mailboxes(options.boxes, known) if known else options.boxes
     # Of an item's chunks the first stands for it; messages count for their own mailbox, also in a batch.

@@ -435,6 +435,7 @@ GROUP BY batch_id"""
     "iso_dates": over_messages(f"SELECT {KEY}, {ISO} AS date FROM messages"),
     "result_record": asked(FLAT_RECORD),
     "result_readback": asked(FLAT_RECORD),
+    "run_records": asked(FLAT_RECORD),
     "batch_record": BATCH_RECORD,
     "mailbox_counts_total": over_messages("""SELECT coalesce(name, 'Total') AS mailbox, count(uid) AS processed
 FROM (VALUES ('conv'), ('docs'), ('web')) AS requested (name)

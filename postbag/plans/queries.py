@@ -34,7 +34,7 @@ from postbag.plans.corpus import FOLDERS, MAILBOXES, conv_messages, messages, ta
 from postbag.schema import MESSAGE
 from postbag.session import pin, shared_path, spread
 from postbag.sources.provider_json import provider_json_errors, read_provider_json
-from postbag.sources.records import read_records, records, with_verdict
+from postbag.sources.records import read_records, records, with_verdict, write_records
 from postbag.sources.registry import read_mailboxes
 from postbag.sources.rfc822 import read_rfc822
 from postbag.streaming.jobs import (
@@ -591,6 +591,18 @@ def result_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_records(read_records(spark, path))
 
 
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that broke before it was done, repeated by a restarted driver, beside another run: each record once."""
+    path = shared_path(spark, "runs")
+    found = records(responses(spark, sf_dir))
+    mail = found.filter(F.col("email.uid").startswith("c-"))
+    found.write.option("ignoreNullFields", "false").json(f"{path}/run_id=monday")  # written, never marked as done
+    write_records(found.filter(~F.col("email.uid").startswith("c-")), path, run_id="monday")
+    for _ in range(2):
+        write_records(mail, path, run_id="tuesday")
+    return _flat_records(read_records(spark, path))
+
+
 def batch_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch records written as JSON lines and read back, one row per message shown."""
     path = shared_path(spark, "records")
@@ -746,7 +758,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         token_estimates, token_counts,
         infer_stub, infer_errors, infer_resumed, error_report, ask_messages, ask_batches,
         response_gate, skipped_answers, sender_address, truncated, header_lines, batch_headers,
-        output_keys, slugs, iso_dates, result_record, result_readback, batch_record,
+        output_keys, slugs, iso_dates, result_record, result_readback, run_records, batch_record,
         mailbox_counts_total, run_stats, stream_clean, stream_ask, stream_batches, stream_batches_carried,
         stream_threads, json_errors, stream_errors,
     )

@@ -83,9 +83,35 @@ def input_bytes(df: DataFrame) -> int | None:
     return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes) * EXPANSION
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, place = _file_system(spark, path)
+    return system.exists(place)
+
+
+def create_file(spark: SparkSession, path: str) -> None:
+    """An empty file, as a mark; it appears at once or not at all."""
+    system, place = _file_system(spark, path)
+    system.mkdirs(place.getParent())
+    system.createNewFile(place)
+
+
+def remove_file(spark: SparkSession, path: str) -> None:
+    system, place = _file_system(spark, path)
+    system.delete(place, False)
+
+
+def file_names(spark: SparkSession, path: str, prefix: str = "") -> list[str]:
+    """Names in a folder that begin with ``prefix``; none if there is no folder."""
+    system, place = _file_system(spark, path)
+    if not system.exists(place):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(place)]
+    return [name for name in names if name.startswith(prefix)]
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from postbag.sources.records import (
     default_output_dir,
     read_records,
     records,
+    run_ids,
     with_verdict,
     write_records,
 )
@@ -215,6 +216,42 @@ def test_max_emails(spark, tmp_path):
     assert run(spark, rows, tmp_path, max_emails=3).stats.first()["emails_fetched"] == 3
 
 
+def test_a_run_is_written_once(spark, tmp_path, monkeypatch):
+    found = records(pin(infer(work(spark, "hello there", "good morning"), "P", make_echo, sleep=no_wait), "responses"))
+    path = str(tmp_path / "out")
+    contents = lambda: sorted(r["content"] for r in read_records(spark, path).select("response.content").collect())
+    write_records(found.limit(1), path, run_id="one")
+    # A run breaks between writing and its mark, and is repeated.
+    with monkeypatch.context() as broken:
+        broken.setattr("postbag.sources.records.create_file", lambda *given: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_records(found, path, run_id="two")
+    assert len(contents()) == 1 and run_ids(spark, path) == ["one"]
+    for _ in range(2):
+        write_records(found, path, run_id="two")
+        assert len(contents()) == 3 and run_ids(spark, path) == ["one", "two"]
+    # While a run is repeated it isn't there.
+    with monkeypatch.context() as broken:
+        broken.setattr("postbag.sources.records.create_file", lambda *given: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            write_records(found.limit(0), path, run_id="one")
+    assert len(contents()) == 2
+    with pytest.raises(ValueError):
+        write_records(found, path, run_id="../elsewhere")
+    only_broken = str(tmp_path / "broken")
+    found.write.json(f"{only_broken}/run_id=x")
+    assert read_records(spark, only_broken).collect() == []
+
+
+def test_a_named_run_replaces_itself(spark, tmp_path):
+    rows = [message("1", text="hello there"), message("2", text="good morning", date_local=after(1))]
+    for _ in range(2):
+        run(spark, rows, tmp_path, run_id="monday")
+    assert len(json_lines(tmp_path / "out")) == 2
+    run(spark, rows[:1], tmp_path, run_id="tuesday")
+    assert read_records(spark, str(tmp_path / "out")).count() == 3
+
+
 def test_records_are_appended_and_read_back(spark, tmp_path):
     found = pin(infer(work(spark, "hello there", "nothing"), "P", make_echo, sleep=no_wait), "responses")
     path = str(tmp_path / "out")
@@ -223,7 +260,7 @@ def test_records_are_appended_and_read_back(spark, tmp_path):
     read = read_records(spark, path)
     assert [r["content"] for r in read.select("response.content").collect()] == ["P: hello there"] * 2
     write_records(records(found), str(tmp_path / "keyed"), per_key_files=True)
-    assert [p.name for p in (tmp_path / "keyed").glob("output_key=*")] == [
+    assert [p.name for p in (tmp_path / "keyed").glob("run_id=*/output_key=*")] == [
         "output_key=240115-103000-john-doe-test-subject.jsonl"
     ]
     assert read_records(spark, str(tmp_path / "keyed")).first()["output_key"].endswith("test-subject.jsonl")
