@@ -31,7 +31,7 @@ def _keys(bounds: list, key_type: T.StructType) -> Column:
     return F.from_json(F.lit(text), T.ArrayType(key_type))
 
 
-def _range_of(key: Column, bounds: list, key_type: T.StructType) -> Column:
+def range_of(key: Column, bounds: list, key_type: T.StructType) -> Column:
     """Number of the last range whose first key is not above ``key``.
 
     Looks at every √n-th first key, then at the keys between two of these.
@@ -105,7 +105,7 @@ def with_packs(
     key_type = T.StructType([costed.schema[name] for name in order])
     starts = F.from_json(F.lit(json.dumps([bound["before"] for bound in bounds])), "array<bigint>")
 
-    placed = costed.withColumn("slot", _range_of(F.struct(*order), bounds, key_type))
+    placed = costed.withColumn("slot", range_of(F.struct(*order), bounds, key_type))
     local = (
         Window.partitionBy("slot", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
