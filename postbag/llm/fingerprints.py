@@ -12,8 +12,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from postbag.operators.packing import range_of
 from postbag.session import pin
 
 #: Least and most document frequency of a lexicon term, as shares of all documents; and the least in documents.
@@ -25,8 +27,9 @@ WHOLE = -1
 TERM = r"[\p{L}\p{N}]+"
 #: Lexicon terms that are broadcast, some 100 bytes each; a larger lexicon is joined by shuffling.
 BROADCAST_TERMS = 500_000
-#: Documents of a block in the order of ids; most blocks.
-BLOCK_ROWS, MOST_BLOCKS, COARSE = 4096, 10_000, 100
+#: Documents of a block in the order of ids; most blocks, beyond which they get larger: a key of each is sent to all
+#: tasks, and what a task does with a block may spill.
+BLOCK_ROWS, MOST_BLOCKS = 1024, 10_000
 
 
 def terms(text: Column) -> Column:
@@ -63,27 +66,34 @@ def likeness(one: Column, two: Column) -> Column:
     return F.when(one == two, 1.0).otherwise(same.cast("double") / some)
 
 
-def _fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
-    """``rows`` with a fingerprint column for each text column; keys name the columns that stay and tell rows apart."""
+def _fingerprints(rows: DataFrame, keys: list[str], carried: list[str], texts: dict[str, str], words: DataFrame) -> DataFrame:
+    """A fingerprint for each text column of ``rows``, beside ``keys``, which tell rows apart, and ``carried`` columns.
+
+    Terms are looked up and grouped by key and part. If the rows are partitioned by a key, nothing is shuffled for that.
+    """
 
     def of(which: int, column: str) -> Column:
         return F.transform(terms(F.col(column)), lambda term: F.struct(F.lit(which).alias("which"), term.alias("term")))
 
     each = [of(which, column) for which, column in enumerate(texts)]
-    # One pair more for each row, so that rows without terms stay.
+    # One pair more for each row: rows without terms stay, and what is carried is there once.
     pairs = F.concat(F.array(F.struct(F.lit(-1).alias("which"), F.lit("").alias("term"))), *each)
     md5s = [F.substring(F.md5(F.col(column).cast("binary")), 1, 12).alias(f"{name}_key") for column, name in texts.items()]
-    exploded = rows.select(*keys, *md5s, F.explode(pairs).alias("pair")).select(*keys, *[f"{name}_key" for name in texts.values()], "pair.*")
+    carried = [*carried, *[f"{name}_key" for name in texts.values()]]
+    exploded = rows.select("*", *md5s).select(*keys, *carried, F.explode(pairs).alias("pair"))
+    exploded = exploded.select(*keys, *[F.when(F.col("pair.which") < 0, F.col(c)).alias(c) for c in carried], "pair.*")
     hit = exploded.join(words, "term", "left").filter("which < 0 OR parts IS NOT NULL")
     # A row per term and part: a document's terms are grouped by part, not looked through for each part.
-    row = [*keys, *[f"{name}_key" for name in texts.values()]]
-    by_part = hit.select(*row, "which", "term", F.explode_outer("parts").alias("part")).groupBy(*row, "which", "part")
+    by_part = hit.select(*keys, *carried, "which", "term", F.explode_outer("parts").alias("part")).groupBy(*keys, "which", "part")
+    once = [F.first(c, ignorenulls=True).alias(c) for c in carried]
     joined = F.array_join(F.sort_array(F.collect_list("term")), " ")
-    hashed = by_part.agg(F.substring(F.md5(joined.cast("binary")), 1, 8).alias("hash"))
-    found = hashed.groupBy(*row).agg(
-        *[F.map_from_entries(F.collect_list(F.when(F.col("which") == which, F.struct("part", "hash")))).alias(f"{name}_hashes") for which, name in enumerate(texts.values())]
+    hashed = by_part.agg(F.substring(F.md5(joined.cast("binary")), 1, 8).alias("hash"), *once)
+    found = hashed.groupBy(*keys).agg(
+        *[F.map_from_entries(F.collect_list(F.when(F.col("which") == which, F.struct("part", "hash")))).alias(f"{name}_hashes") for which, name in enumerate(texts.values())],
+        *once,
     )
-    return found.select(*keys, *[fingerprint(F.col(f"{name}_hashes"), F.col(f"{name}_key")).alias(name) for name in texts.values()])
+    shown = [c for c in carried if not c.endswith("_key")]
+    return found.select(*keys, *shown, *[fingerprint(F.col(f"{name}_hashes"), F.col(f"{name}_key")).alias(name) for name in texts.values()])
 
 
 def document_fingerprints(documents: DataFrame) -> DataFrame:
@@ -91,7 +101,7 @@ def document_fingerprints(documents: DataFrame) -> DataFrame:
     n = documents.count()
     # Equal rows are told apart by a number.
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return _fingerprints(rows, ["doc_id", "text", "row"], {"text": "fingerprint"}, _for_join(lexicon(documents, n))).drop("row")
+    return _fingerprints(rows, ["row"], ["doc_id", "text"], {"text": "fingerprint"}, _for_join(lexicon(documents, n))).drop("row")
 
 
 def _for_join(words: DataFrame) -> DataFrame:
@@ -99,53 +109,64 @@ def _for_join(words: DataFrame) -> DataFrame:
     return F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
 
 
-def _block(bounds: list[int]) -> Column:
-    """How many of the descending bounds are above the id; NULL ids come last."""
-    if not bounds:
-        return F.lit(0)
-    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[::COARSE]))
-    over = lambda array: F.size(F.filter(array, lambda b: b > F.col("doc_id")))
-    before = F.greatest(over(coarse) - 1, F.lit(0)) * COARSE
-    return F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(before + over(F.slice(every, before + 1, COARSE)))
+#: Documents follow each other by falling id, NULL ids last, equal ones by the MD5 of the text.
+PLACE = {"without": "doc_id IS NULL", "falling": "~doc_id", "text_md5": "md5(CAST(text AS BINARY))"}
+KEY = "struct<without: boolean, falling: bigint, text_md5: string>"
+
+
+def _place() -> list[Column]:
+    return [F.expr(rule).alias(name) for name, rule in PLACE.items()]
+
+
+def _blocks(rows: DataFrame) -> tuple[int, list[dict]]:
+    """How many rows there are, and the first key of each block in their order. Keys alone are written and sorted."""
+    keys = pin(rows.select(*_place()), "fingerprint-keys")
+    n = keys.count()
+    blocks = max(1, min(MOST_BLOCKS, math.ceil(n / BLOCK_ROWS)))
+    ranged = keys.repartitionByRange(blocks, *PLACE) if blocks > 1 else keys.coalesce(1)
+    firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(F.struct(*PLACE)).alias("first"))
+    # One row for each block, of which there are MOST_BLOCKS at most.
+    return n, [{"key": r["key"]} for r in firsts.orderBy("first").select(F.to_json("first", {"ignoreNullFields": "false"}).alias("key")).collect()]
 
 
 def fingerprint_digests(documents: DataFrame) -> DataFrame:
     """Query 9: fingerprints of every text and of its edited text, and how like they and the next document's are.
 
     Documents follow each other by descending id, equal ids by the MD5 of the text, NULL ids last; after the last
-    comes the first. They are dealt to blocks in that order; the first of each block is joined to the block before.
+    comes the first. They are cut into blocks in that order, however many have one id or none (only equal rows can't be
+    parted). A text moves once, to its block: there its successor is, its terms are looked up in the lexicon, and its
+    hashes are made.
     """
-    n = documents.count()
-    words = _for_join(lexicon(documents, n))
-    blocks = min(MOST_BLOCKS, max(1, math.ceil(n / BLOCK_ROWS)))
-    shares = [1 - k / blocks for k in range(1, blocks)]
-    bounds = documents.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] if shares else None
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _block(sorted(set(bounds or []), reverse=True)).alias("block"))
-    place = F.struct(F.col("doc_id").isNull().alias("without"), (-F.col("doc_id")).alias("negative"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    # One row for each block, of which there are MOST_BLOCKS at most.
-    firsts = rows.groupBy("block").agg(F.min(place).alias("place")).orderBy("block").collect()
-    if not firsts:
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, bounds = _blocks(rows)
+    if not n:
         return documents.sparkSession.createDataFrame([], DIGESTS)
-    before = [(firsts[k - 1]["block"], *r["place"]) for k, r in enumerate(firsts)]
-    keys = documents.sparkSession.createDataFrame(before, "before int, without boolean, negative bigint, text_md5 string")
-    placed = rows.select("doc_id", "text", *[place[c].alias(c) for c in ("without", "negative", "text_md5")])
-    same = [placed[c].eqNullSafe(keys[c]) for c in ("without", "negative", "text_md5")]
-    first_rows = placed.join(F.broadcast(keys), same).dropDuplicates(["before"]).select(F.col("before").alias("block"), F.col("text").alias("first_text"))
-    first_prints = _fingerprints(first_rows, ["block", "first_text"], {"first_text": "first_fingerprint"}, words)
-
-    dealt = rows.repartition("block")
-    by_place = Window.partitionBy("block").orderBy(F.col("doc_id").desc_nulls_last(), F.md5(F.col("text").cast("binary")))
-    ordered = dealt.select("*", F.row_number().over(by_place).alias("pos"), F.lead("text").over(by_place).alias("lead_text"))
-    joined = ordered.join(first_rows, "block").select("block", "pos", "doc_id", "text", F.coalesce("lead_text", "first_text").alias("next_text"))
+    words = _for_join(lexicon(documents, n))
+    key_type = T._parse_datatype_string(KEY)
+    before = [{"before": (k - 1) % len(bounds), "key": bound["key"]} for k, bound in enumerate(bounds)]
+    keys = documents.sparkSession.createDataFrame([(b["before"], b["key"]) for b in before], "before int, key string")
+    keys = keys.select("before", F.from_json("key", key_type).alias("key")).select("before", "key.*")
+    placed = rows.select("*", *_place())
+    same = [placed[name].eqNullSafe(keys[name]) for name in PLACE]
+    firsts = placed.join(F.broadcast(keys), same).dropDuplicates(["before"])
+    # A block has the first document of the next one as a guest, behind its own.
+    guests = firsts.select("doc_id", "text", F.col("before").alias("block"), F.lit(True).alias("guest"))
+    block = range_of(F.struct(*_place()), bounds, key_type)
+    own = rows.select("doc_id", "text", block.cast("int").alias("block"), F.lit(False).alias("guest"))
+    dealt = own.unionByName(guests).repartitionById(len(bounds), "block")
+    by_place = Window.partitionBy("block").orderBy("guest", *_place())
+    following = F.coalesce(F.lead("text").over(by_place), F.lit(""))
+    joined = dealt.select("block", "guest", "doc_id", "text", F.row_number().over(by_place).alias("pos"), following.alias("next_text"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    pairs = joined.select("block", "pos", "doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
+    pairs = joined.select("block", "pos", "guest", "doc_id", "text", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"))
     pairs = pairs.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    printed = _fingerprints(pairs, ["block", "pos", "doc_id", "n_chars", "edited_sha256"], {"text": "fingerprint", "edited": "edited_fingerprint"}, words)
-    following = F.lead("fingerprint").over(Window.partitionBy("block").orderBy("pos"))
-    printed = printed.select("*", following.alias("lead_fingerprint")).join(first_prints.select("block", "first_fingerprint"), "block")
-    near_next = likeness(F.col("fingerprint"), F.coalesce("lead_fingerprint", "first_fingerprint"))
-    return printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), near_next.alias("near_next"))
+    carried = ["guest", "doc_id", "n_chars", "edited_sha256"]
+    printed = _fingerprints(pairs, ["block", "pos"], carried, {"text": "fingerprint", "edited": "edited_fingerprint"}, words)
+    after = F.lead("fingerprint").over(Window.partitionBy("block").orderBy("pos"))
+    printed = printed.select("*", after.alias("next_fingerprint")).filter("NOT guest")
+    near = [likeness(F.col("fingerprint"), F.col(other)).alias(name) for other, name in (("edited_fingerprint", "near_edited"), ("next_fingerprint", "near_next"))]
+    return printed.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
 
 
 DIGESTS = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -70,9 +70,20 @@ def test_empty_and_single(spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
 
 
-def test_blocks_follow_the_order(spark):
-    ids = spark.createDataFrame([(i,) for i in [*range(0, 1000, 3), None]], "doc_id bigint")
-    bounds = list(range(900, 0, -4))
-    for r in ids.select("doc_id", fp._block(bounds).alias("block")).collect():
-        assert r.block == (len(bounds) if r.doc_id is None else sum(b > r.doc_id for b in bounds))
-    assert ids.select(fp._block([]).alias("b")).distinct().collect()[0].b == 0
+def test_blocks_are_even_whatever_the_ids(spark, monkeypatch):
+    """Two thirds have one id or none."""
+    monkeypatch.setattr(fp, "BLOCK_ROWS", 20)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}", *CLASH) for i in range(600)]
+    found, bounds = fp._blocks(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text"))
+    assert found == 600 and len(bounds) >= 25
+    block = fp.range_of(fp.F.struct(*fp._place()), bounds, fp.T._parse_datatype_string(fp.KEY))
+    sizes = spark.createDataFrame(rows, SCHEMA).groupBy(block.alias("block")).count().collect()
+    assert len(sizes) == len(bounds) and max(r["count"] for r in sizes) <= 60
+
+
+def test_a_text_is_shuffled_once(spark, rows, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK_ROWS", 20)
+    plan = fp.fingerprint_digests(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+    # The other one finds the first document of each block.
+    assert len(moved) == 2 and sum("shufflepartitionidpassthrough" in line for line in moved) == 1
