@@ -29,7 +29,6 @@ def reference_ids():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -37,8 +36,10 @@ def test_ids_of_odd_texts(reference_ids):
     encode, draw = packing.public_encoder(), random.Random(0)
     alphabet = "aZé ß 日'd'll\n\r\t\x0b\x1c\x85\xa0\u2028\u3000\u200b1２½-_🙂\U000e0001\x00"
     odd = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 60))) for _ in range(500)]
+    odd += [f"{a}<|endoftext|>{b}" for a, b in zip(odd[:60], odd[60:])] + ["ab <|endoftext|> cd", "<|endoftext|>" * 5, "<|endoftext", " " * 1_500_000 + "a"]
     for text in TEXTS + odd:
         assert encode(text).tolist() == reference_ids(text)
+    assert encode("ab <|endoftext|> cd").tolist() == [397, 220, 50256, 22927]
 
 
 def one_by_one(counts, most):
