@@ -17,11 +17,13 @@ from pyspark.sql import types as T
 
 from postbag.llm import ppm
 from postbag.llm.common import fold, steps, utf8
+from postbag.session import pin
 
 ORDER = 4
-LEAST_SHARE = 2.0**-20
-#: Of each language about so many documents train, chosen by hash; so many languages at most, the most frequent.
-TRAIN_ROWS, MOST_LANGUAGES = 2000, 200
+#: Of each language about so many documents train, chosen by hash.
+TRAIN_ROWS = 2000
+#: So many languages' counts are broadcast; those of more are joined by shuffling.
+BROADCAST_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: A text that takes more bits for a byte than this in every language, more than its plain bytes, is in none of them.
 MOST_BITS = 8.0
@@ -32,19 +34,23 @@ class Languages:
         self.names, self.model = names, model
 
 
-def training_rows(labelled: DataFrame, train_rows: int = TRAIN_ROWS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
-    """text and lang of about ``train_rows`` documents of each language, chosen by a hash of the text."""
-    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang")
-    found = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    share = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], min(1.0, train_rows / r["count"]))]) if found else None
-    if share is None:
-        return labelled
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * float(1 << 30)
-    return labelled.filter(chosen)
+def training_rows(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """text and lang of about ``train_rows`` documents of each language, of rarer ones all; one at least.
+
+    Chosen by a hash of id and text, so copies of a text are chosen apart.
+    """
+    key = [c for c in ("doc_id",) if c in labelled.columns]
+    place = F.pmod(F.xxhash64(*key, "text"), F.lit(1 << 30)).alias("place")
+    labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL AND text <> ''").select("text", "lang", place)
+    counts = pin(labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")), "languages")
+    # One row a language.
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
+    share = F.least(F.lit(1.0), F.lit(float(train_rows)) / F.col("n")) * float(1 << 30)
+    return labelled.join(counts, "lang").filter((F.col("place") < share) | (F.col("place") == F.col("least"))).select("text", "lang")
 
 
-def learn(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS, most_languages: int = MOST_LANGUAGES) -> Languages:
-    """Tries of the languages of ``labelled`` (text, lang), from a sample bounded by its parameters."""
+def learn(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS) -> Languages:
+    """Tries of all languages of ``labelled`` (text, lang, maybe doc_id), from a bounded sample of each."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -57,9 +63,9 @@ def learn(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS,
 
         yield from ppm.counted(parts(), ["lang", "gram", "n"])
 
-    counts = training_rows(labelled, train_rows, most_languages).mapInArrow(grams, "lang string, gram bigint, n bigint")
-    # Bounded: at most 1 / LEAST_SHARE grams for each language and gram length, from a bounded sample.
-    table = ppm.trie_counts(counts, order, LEAST_SHARE, ["lang"]).toArrow()
+    counts = training_rows(labelled, train_rows).mapInArrow(grams, "lang string, gram bigint, n bigint")
+    # All grams of the sample, which is bounded for each language.
+    table = ppm.trie_counts(counts, order, 0.0, ["lang"]).toArrow()
     names = sorted(table["lang"].unique().to_pylist())
     levels = [ppm.levels_of(table.filter(pa.compute.equal(table["lang"], name)), order) for name in names]
     return Languages(names, ppm.Model(levels, order))

@@ -114,3 +114,23 @@ def test_without_training(spark, rows):
 def test_training_sample_is_bounded(spark, rows):
     labelled = spark.createDataFrame(rows, SCHEMA)
     assert 20 < langid.training_rows(labelled, train_rows=30).count() < 100
+
+
+def test_every_language_is_learned(spark):
+    draw = random.Random(8)
+    names = [f"l{i:03}" for i in range(250)]
+    words = {name: ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(4)] for name in names}
+    say = lambda name: " ".join(draw.choice(words[name]) for _ in range(12))
+    rows = [(i * 300 + k, say(name), name) for i, name in enumerate(names) for k in range(4)]
+    # One of them has a single text, many times over.
+    rows += [(10**6 + i, "mono mono mono", "mono") for i in range(3000)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = langid.language_digests(documents).collect()
+    assert {r.lang_pred for r in found} >= set(names) | {"mono"}
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) > 0.97 * len(found)
+
+
+def test_a_language_keeps_one_text_at_least(spark):
+    rows = [(i, f"{i} x", "en") for i in range(400)]
+    assert langid.training_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_rows=0).count() == 1
