@@ -30,8 +30,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 COORDINATES = BANDS * BAND_ROWS
 GROWTH = 64
-#: Bands that two texts are to share for a comparison after the first round; of 24, at 0.8, fewer in one of 2000 cases.
-SHARED_BANDS = 3
+#: Bands that two texts are to share for a comparison after the first round; of 24, at 0.8, fewer in 6 of 100,000 cases.
+SHARED_BANDS = 2
+#: Rows of ids and labels, some 60 bytes each, that are broadcast; more are joined by shuffling.
+BROADCAST_IDS = 400_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -171,7 +173,7 @@ def word_hashes_apart(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray
     return hashes, np.searchsorted(starts, borders + np.arange(len(borders)))
 
 
-def signatures(documents: DataFrame, counted: bool = False) -> DataFrame:
+def signatures(documents: DataFrame, counted: bool = True) -> DataFrame:
     """(doc_id, text_id, n, bands) of every row: MD5 of the text, size of its shingle set, band keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,7 @@ def with_text_id(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint"), F.unhex(F.md5(text.cast("binary"))).alias("text_id"), text.alias("text"))
 
 
-def shingle_sets(texts: DataFrame, counted: bool = False) -> DataFrame:
+def shingle_sets(texts: DataFrame, counted: bool = True) -> DataFrame:
     """(text_id, shingles); the i-th occurrence of a shingle is an element of its own if ``counted``."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,31 +222,50 @@ def shingle_sets(texts: DataFrame, counted: bool = False) -> DataFrame:
     return texts.select("text_id", "text").mapInArrow(sets, "text_id binary, shingles array<bigint>")
 
 
+def joinable(table: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has few enough rows, as counted."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
 def least_labels(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(text_id, class) for all ends of ``links`` (a, b): the least id of the connected component.
 
     Each pass takes the least label among the neighbours' and then that label's own label, so long chains shrink
-    geometrically. Everything stays in written tables.
+    geometrically. Everything stays in written tables; a pass over few enough labels shuffles the links alone.
     """
     both = scratch.pin(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = scratch.pin(both.groupBy(F.col("a").alias("text_id")).agg(F.least(F.min("b"), F.col("text_id")).alias("class")))
     while True:
-        near = both.join(labels.withColumnRenamed("text_id", "b"), "b").groupBy(F.col("a").alias("text_id")).agg(F.min("class").alias("near"))
-        step = labels.join(near, "text_id").select("text_id", F.col("class").alias("old"), F.least("class", "near").alias("class"))
-        jump = labels.select(F.col("text_id").alias("class"), F.col("class").alias("further"))
+        known = joinable(labels)
+        near = both.join(known.withColumnRenamed("text_id", "b"), "b").groupBy(F.col("a").alias("text_id")).agg(F.min("class").alias("near"))
+        step = near.join(known, "text_id").select("text_id", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        jump = known.select(F.col("text_id").alias("class"), F.col("class").alias("further"))
         found = scratch.pin(step.join(jump, "class", "left").select("text_id", "old", F.least("class", "further").alias("class")))
         labels = found.select("text_id", "class")
         if found.filter("old <> class").isEmpty():
             return labels
 
 
+def joined_classes(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` after the classes at the ends of further links have become one; only those classes are looked at."""
+    known = joinable(labels)
+    of = lambda end: known.select(F.col("text_id").alias(end), F.col("class").alias(f"class_{end}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b")).filter("a <> b").distinct()
+    # What has no label yet is a class of its own.
+    alone = links.select(F.explode(F.array("a", "b")).alias("text_id")).distinct().join(known, "text_id", "left_anti")
+    every = labels.union(alone.select("text_id", F.col("text_id").alias("class")))
+    merged = joinable(least_labels(scratch.pin(ends), scratch)).select(F.col("text_id").alias("class"), F.col("class").alias("joined"))
+    return scratch.pin(every.join(merged, "class", "left").select("text_id", F.coalesce("joined", "class").alias("class")))
+
+
 def alike(similarity: float) -> Column:
     """Whether ``shingles`` and ``shingles_a`` have the Jaccard similarity."""
     common = F.size(F.array_intersect("shingles", "shingles_a"))
     return common >= (F.size("shingles") + F.size("shingles_a") - common) * (similarity - 1e-9)
 
 
-def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:
     """(text_id, class) of the texts that have a near-duplicate; ``signed`` holds one row per different text."""
     members = signed.select("text_id", "n", "least_id", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1")
@@ -255,15 +276,16 @@ def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, simila
     wanted = members.select("text_id", id_key("least_id").alias("id_key")).distinct()
     texts = with_text_id(documents).withColumn("id_key", id_key("doc_id")).join(wanted.hint("shuffle_hash"), ["text_id", "id_key"], "left_semi")
     sets = scratch.pin(shingle_sets(texts.groupBy("text_id", "id_key").agg(F.first("text").alias("text")), counted))
-    links = labels = None
+    labels = None
     leaders = 1
     while True:
         if labels is None:
             here = members.withColumn("class", F.col("text_id"))
         else:
-            here = members.join(labels, "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
+            here = members.join(joinable(labels), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
+            here = here.filter(F.col("m") > 2 * (leaders // GROWTH))
             several = here.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-            here = scratch.pin(here.filter(F.col("m") > 2 * (leaders // GROWTH)).join(several, "bucket", "left_semi"))
+            here = scratch.pin(here.join(joinable(scratch.pin(several)), "bucket", "left_semi"))
             if here.isEmpty():
                 break
             here = here.join(signed.select("text_id", "bands"), "text_id").join(sets, "text_id")
@@ -288,18 +310,18 @@ def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, simila
             fits &= (F.size(common) >= SHARED_BANDS) & (F.get(common, F.lit(0)) == F.col("bucket"))
             found = here.join(first, "bucket").filter(fits & alike(similarity)).select(*ends).distinct()
         found = scratch.pin(found)
-        if links is None:
-            links, labels = found, least_labels(found, scratch)
+        if labels is None:
+            labels = least_labels(found, scratch)
         elif not found.isEmpty():
-            links = links.union(found)
-            labels = least_labels(links, scratch)
+            labels = joined_classes(labels, found, scratch)
         leaders *= GROWTH
     return labels
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, counted: bool = False) -> DataFrame:
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:
     """One row per document: doc_id, text_id, class_id, class_size, kept.
 
+    The similarity is the weighted one of Jaccard: a shingle weighs as often as it occurs; with ``counted`` off, 1.
     A class holds all documents that are linked by similarities of ``similarity`` or more, directly or through others;
     equal texts are always in one class, NULL and empty texts too. class_id is its least doc_id (NULL, if none has
     one). ``kept`` marks the documents with the least text_id among those with that doc_id.

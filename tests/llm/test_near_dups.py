@@ -73,7 +73,13 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def weighted(text, counted):
+    words = (text or "").split()
+    counts = Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+    return counts if counted else Counter(counts.keys())
+
+
+def brute(rows, counted=True):
     """Classes by comparing every pair of texts."""
     parent = {r[1] or "": r[1] or "" for r in rows}
 
@@ -82,10 +88,10 @@ def brute(rows):
             x = parent[x]
         return x
 
-    sets = {t: shingles(t) for t in parent}
+    sets = {t: weighted(t, counted) for t in parent}
     for a in parent:
         for b in parent:
-            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+            if a < b and sets[a] and sets[b] and (sets[a] & sets[b]).total() >= 0.8 * (sets[a] | sets[b]).total() - 1e-9:
                 parent[root(a)] = root(b)
     ids = defaultdict(list)
     for r in rows:
@@ -102,6 +108,9 @@ def rows():
         for _ in range(draw.randint(1, 12)):
             rate = draw.choice([0, 0.01, 0.03, 0.06])
             texts.append(" ".join(w if draw.random() > rate else f"x{draw.randint(0, 9)}" for w in base))
+    # Lines over and over: alike as sets, but not by how often.
+    line = [f"r{i}" for i in range(30)]
+    texts += [" ".join(line * k) for k in (2, 3, 4, 6, 7, 20)]
     # One word further each time: linked in a chain whose ends have little in common.
     chain = [f"c{i}" for i in range(120)]
     texts += [" ".join(chain[i : i + 60]) for i in range(0, 60, 4)]
@@ -110,9 +119,12 @@ def rows():
     return rows + [(900, None, *CLASH), (901, "", *CLASH), (None, texts[0], *CLASH), (None, "only without id", *CLASH), (3, texts[3], *CLASH), (902, "q " * 20_000, *CLASH)]
 
 
-def test_classes(spark, rows):
-    found = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    classes, sizes = brute(rows)
+@pytest.mark.parametrize("counted, broadcast", [(True, True), (False, True), (True, False)])
+def test_classes(spark, rows, counted, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(nd, "BROADCAST_IDS", -1)
+    found = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), counted=counted).collect()
+    classes, sizes = brute(rows, counted)
     text_of = defaultdict(set)
     for r in rows:
         text_of[r[0]].add(r[1] or "")
@@ -133,3 +145,19 @@ def test_one_of_each_stays(spark, rows):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert nd.near_duplicates(none).collect() == [] and nd.keep_one_of_each(none).collect() == []
+
+
+def test_a_hot_bucket_of_many_classes(spark, monkeypatch):
+    """Texts that share most of their words, in many classes: rounds of ever more leaders find all links."""
+    monkeypatch.setattr(nd, "GROWTH", 4)
+    draw = random.Random(6)
+    common, rows = [f"c{i}" for i in range(60)], []
+    for family in range(30):
+        own = [f"f{family}_{i}" for i in range(draw.randint(14, 24))]
+        for _ in range(draw.randint(1, 5)):
+            words = common + own
+            words[draw.randint(60, len(words) - 1)] = f"x{draw.randint(0, 99)}"
+            rows.append((len(rows), " ".join(words), *CLASH))
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    classes, _ = brute(rows)
+    assert found == {r[0]: classes[r[1]] for r in rows} and len(set(found.values())) > 1
