@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,20 +20,52 @@ ELLIPSIS = "…"
 SEPARATOR = "\n---\n"
 
 
-def accent_table() -> tuple[str, str]:
-    """Lower-case Latin letters that decompose into an ASCII letter plus marks, and those letters."""
-    accented, plain = [], []
-    for code in range(0xC0, 0x250):
+# Letters, in lower case, that a slug writes with other letters.
+SPELLED = {
+    # Latin
+    "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng",
+    "ŧ": "t", "ə": "e", "ɛ": "e", "ɔ": "o", "ƒ": "f",
+    # Greek
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l",
+    "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph",
+    "χ": "kh", "ψ": "ps", "ω": "o",
+    # Cyrillic
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l",
+    "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts",
+    "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "ё": "io",
+    "є": "ie", "і": "i", "ї": "yi", "ґ": "g", "ђ": "dj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "ch", "џ": "dzh",
+}
+
+
+@cache
+def letter_table() -> dict[str, str]:
+    """How characters beyond ASCII are written in a slug: their compatibility decomposition without marks, letters
+    spelled as ``SPELLED`` says. Characters that this doesn't bring to ASCII letters and digits aren't in it."""
+    table = {}
+    for code in (*range(0x80, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFFF0)):
         char = chr(code)
-        base, *marks = unicodedata.normalize("NFD", char)
-        if char.islower() and base.isascii() and marks and all(map(unicodedata.combining, marks)):
-            accented.append(char)
-            plain.append(base)
-    return "".join(accented), "".join(plain)
+        if char in SPELLED or char != char.lower():
+            continue
+        parts = [c for c in unicodedata.normalize("NFKD", char).lower() if not unicodedata.combining(c)]
+        spelled = "".join(SPELLED.get(c, c if c.isascii() else "-") for c in parts)
+        if any(c.isalnum() for c in spelled):
+            table[char] = spelled
+    return table | SPELLED
 
 
-# Lower-case letters that are written with other letters in a slug.
-LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i"}
+def _spelled(c: Column) -> Column:
+    """Characters beyond ASCII in ASCII letters, where the table has them."""
+    table = letter_table()
+    single = {char: to for char, to in table.items() if len(to) == 1}
+    folded = F.translate(c, "".join(single), "".join(single.values()))
+    longer = F.from_json(F.lit(json.dumps({char: to for char, to in table.items() if len(to) != 1})), "map<string,string>")
+
+    def one(char: Column) -> Column:
+        return F.when(char < "\x80", char).otherwise(F.coalesce(F.try_element_at(longer, char), char))
+
+    # What a single letter stands for is done; few texts have more.
+    each = lambda text: F.array_join(F.transform(F.split(text, ""), one), "")
+    return let(folded, lambda text: F.when(text.rlike("[^\\x00-\\x7F]"), each(text)).otherwise(text))
 
 
 def let(c: Column, then: Callable[[Column], Column]) -> Column:
@@ -71,10 +105,13 @@ def truncate(c: Column, length: int = 30) -> Column:
 
 
 def slug(c: Column, length: int | None = None) -> Column:
-    """Lower-case ASCII words joined by dashes, for use in file names."""
-    folded = F.translate(F.lower(c), *accent_table())
-    for letter, spelled in LIGATURES.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(spelled))
+    """Lower-case ASCII words joined by dashes, for use in file names.
+
+    Latin, Greek and Cyrillic letters, digits and letters in other forms (wide, raised, circled, joined) are spelled
+    out. Other scripts have no spelling here and count as no letters: Armenian, Georgian, Hebrew, Arabic, those of
+    India and South-East Asia, Ethiopic, Chinese, Japanese and Korean among them.
+    """
+    folded = _spelled(F.lower(c))
     # "1,000" is one word; twice, because the matches of "1,2,3" overlap.
     for _ in range(2):
         folded = F.regexp_replace(folded, "([0-9]),([0-9])", "$1$2")

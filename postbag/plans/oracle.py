@@ -13,7 +13,7 @@ from postbag.functions.replies import (
     sent_from_pattern,
     wrote_pattern,
 )
-from postbag.functions.text import LIGATURES, WHITESPACE, accent_table
+from postbag.functions.text import WHITESPACE
 from postbag.functions.verdicts import EMPTY_ANSWERS
 from postbag.plans.corpus import MESSAGES_SQL
 from postbag.plans.queries import CHUNK, FULL, PROMPT
@@ -107,10 +107,13 @@ def truncated(c: str, n: int) -> str:
     return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE left({c}, {n - 1}) || '…' END"
 
 
+# Letters of the tables that have no accent to strip, spelled out independently of the engine.
+SPELLINGS = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("ø", "o"), ("№", "no"))
+
+
 def slug(c: str, n: int | None = None) -> str:
-    accented, plain = accent_table()
-    c = f"translate(lower({c}), '{accented}', '{plain}')"
-    for letter, spelled in LIGATURES.items():
+    c = f"strip_accents(lower({c}))"
+    for letter, spelled in SPELLINGS:
         c = f"replace({c}, '{letter}', '{spelled}')"
     for _ in range(2):
         c = replace_all(c, "([0-9]),([0-9])", "$1$2")

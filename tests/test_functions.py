@@ -56,6 +56,14 @@ def test_truncate(value):
         ("???", ""),
         ("A" * 100, "a" * 30),
         ("a" * 29 + " b", "a" * 29),
+        ("\ufb01ne Łódź ø", "fine-lodz-o"),
+        ("ＷＩＤＥ ｔｅｘｔ １２", "wide-text-12"),
+        ("x² №5 ½ ⑫ Ⅷ", "x2-no5-1-2-12-viii"),
+        ("Привет, Щука!", "privet-shchuka"),
+        ("Объём ёж Київ", "obiom-iozh-kiyiv"),
+        ("Ελλάδα ψυχή θεός", "ellada-psukhe-theos"),
+        ("Ærø Þór ǆ", "aero-thor-dz"),
+        ("日本語 mail", "mail"),
     ],
 )
 def test_slug(value, subject, slug):
