@@ -3,8 +3,8 @@
 The text keeps what helps a reader of a mail (link targets, headings, list marks, emphasis, paragraphs) and
 drops what does not (head, scripts, styles, comments, images). Nothing is wrapped.
 
-Invisible parts and links are found by regular expressions. All other tags are handled in one pass: the text
-is split at ``<``, and each piece gives its tag for a mark.
+Invisible parts are found by regular expressions, links by a walk over their tags with a stack. All other tags are
+handled in one pass: the text is split at ``<``, and each piece gives its tag for a mark.
 """
 
 from __future__ import annotations
@@ -27,7 +27,11 @@ INVISIBLE = (
     r"|<style\b.*?(?:</style\s*>|\z)"
     r"|<!--.*?(?:-->|\z)"
 )
-LINK = r"""(?is)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a\s*>"""
+# Where a link begins or ends. A tag holds no other tag, so a text full of half tags is read once.
+LINK_TAG = r"(?i)(?=<a\s[^<>]*>)|(?=</a\s*>)"
+LINK_START, LINK_END = r"(?i)^<a\s[^<>]*>", r"(?i)^</a\s*>"
+# Stand for < and > of a bare address until tags are replaced.
+OPEN, CLOSE = "\x03", "\x04"
 # Runs of blanks that are not a single space; single ones are left alone, there are so many.
 BLANKS = r" *[\t\n\f\r][ \t\n\f\r]*|  +"
 # What may follow an ampersand.
@@ -125,6 +129,67 @@ def _replace_tags(c: Column) -> Column:
     return let(F.split(c, "<"), all_of)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute, quoted or not; NULL if the tag hasn't got it."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']*))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    return F.when(tag.rlike(pattern), value)
+
+
+def _escaped(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\\[\]()])", r"\\$1")
+
+
+def _follow_links(c: Column) -> Column:
+    """Links as ``[text](target "title")``.
+
+    The text is cut at link tags, and a stack says what each end tag closes: links may lie in each other. Links into
+    the page itself and anchors show their text alone, an address that is its own text comes in angle brackets, and a
+    link that is never closed ends with the text.
+    """
+    state = "struct<open: array<string>, out: array<string>>"
+
+    def step(so_far: Column, piece: Column) -> Column:
+        tag = F.substring_index(piece, ">", 1)
+        rest = F.substr(piece, F.length(tag) + 2)
+
+        def begun(target: Column) -> Column:
+            title = F.coalesce(_attribute(tag, "title"), F.lit(""))
+            shown = F.when(F.trim(title) != "", F.concat(F.lit(' "'), _escaped(title), F.lit('"'))).otherwise("")
+            end = F.concat(F.lit("]("), _escaped(target), shown, F.lit(")"))
+            shows = target.isNotNull() & ~target.startswith("#")
+            bare = shows & (rest == target) & target.rlike("^[a-zA-Z+]+://")
+            return F.struct(
+                F.concat(so_far["open"], F.array(F.when(shows & ~bare, end).otherwise(""))).alias("open"),
+                F.concat(
+                    so_far["out"],
+                    F.array(
+                        F.when(bare, F.concat(F.lit(OPEN), rest, F.lit(CLOSE)))
+                        .when(shows, F.concat(F.lit("["), rest))
+                        .otherwise(rest)
+                    ),
+                ).alias("out"),
+            ).cast(state)
+
+        last = F.coalesce(F.try_element_at(so_far["open"], F.lit(-1)), F.lit(""))
+        ended = F.struct(
+            F.slice(so_far["open"], F.lit(1), F.greatest(F.size(so_far["open"]) - 1, F.lit(0))).alias("open"),
+            F.concat(so_far["out"], F.array(F.concat(last, rest))).alias("out"),
+        ).cast(state)
+        other = F.struct(so_far["open"].alias("open"), F.concat(so_far["out"], F.array(piece)).alias("out")).cast(state)
+        return (
+            F.when(piece.rlike(LINK_START), let(_attribute(tag, "href"), begun))
+            .when(piece.rlike(LINK_END), ended)
+            .otherwise(other)
+        )
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("open"), none.alias("out")).cast(state)
+    whole = lambda s: F.concat(F.array_join(s["out"], ""), F.array_join(F.reverse(s["open"]), ""))
+    linked = lambda text: F.aggregate(F.split(text, LINK_TAG), start, step, whole)
+    return let(c, lambda text: F.when(text.rlike(r"(?i)<a\s"), linked(text)).otherwise(text))
+
+
 def _where_needed(c: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
     """Replace in texts that hold one of the signs."""
 
@@ -139,10 +204,11 @@ def respaced(c: Column) -> Column:
     """Tidy up blanks and line breaks of a text with marks."""
     for signs, pattern, to in SPACING:
         c = _where_needed(c, signs, pattern, to)
-    return F.replace(trim(c), F.lit(BULLET), F.lit("  * "))
+    bare = F.translate(trim(c), OPEN + CLOSE, "<>")
+    return F.replace(bare, F.lit(BULLET), F.lit("  * "))
 
 
 def html_to_text(c: Column) -> Column:
-    visible = F.regexp_replace(F.regexp_replace(c, INVISIBLE, ""), LINK, "[$2]($1)")
+    visible = _follow_links(F.regexp_replace(c, INVISIBLE, ""))
     marked = _replace_tags(F.regexp_replace(visible, BLANKS, " "))
     return respaced(decode_entities(marked))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from postbag.functions.chunks import chunk_pattern
-from postbag.functions.html import BLANKS, INVISIBLE, LINK, MARKS, SPACING
+from postbag.functions.html import BLANKS, INVISIBLE, MARKS, SPACING
 from postbag.functions.replies import (
     LANGUAGES,
     SIGNATURE,
@@ -44,7 +44,9 @@ def trim(c: str) -> str:
 
 
 def html_text(c: str) -> str:
-    out = replace_all(replace_all(c, INVISIBLE, ""), LINK, "[$2]($1)")
+    # The pages' links: one quoted target, no other attribute, no link in another; some lead into the page.
+    out = replace_all(replace_all(c, INVISIBLE, ""), '<a href="#[^"]*">(.*?)</a>', "$1")
+    out = replace_all(out, '<a href="([^"]*)">(.*?)</a>', "[$2]($1)")
     out = replace_all(out, BLANKS, " ")
     for mark, names in MARKS.items():
         out = replace_all(out, f"(?i)<(?:{'|'.join(names)})\\b[^>]*>", mark)

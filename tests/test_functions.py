@@ -150,6 +150,16 @@ def test_trim_is_the_unicode_strip(spark, texts):
         ('<a class="x" href="http://x/?a=1">the <b>link</b></a>', "[the **link**](http://x/?a=1)"),
         ("<a href='/q'>q</a><a href=/r>r</a>", "[q](/q)[r](/r)"),
         ('<p>see <img src="x.png" alt="y"> it</p>', "see it"),
+        ('<a href="#top">up</a> <a name=top>here</a>', "up here"),
+        ('<a href="/x" title="The x">one</a>', '[one](/x "The x")'),
+        ("<a href=/1>one <A HREF='/2'>two</A> more</a > end</a>", "[one [two](/2) more](/1) end"),
+        ('<p>x <a href="/x">never closed', "x [never closed](/x)"),
+        ("<a href=/1>a<a href=/2>b", "[a[b](/2)](/1)"),
+        ('<a href="http://x/y">http://x/y</a>, <a href="/y">/y</a>', "<http://x/y>, [/y](/y)"),
+        ('<a href="http://x/y_(z)">z</a>', r"[z](http://x/y_\(z\))"),
+        ('<a href=""></a><a href="/z"></a>', "[]()[](/z)"),
+        ("</a>lone <a>no target</a> <abbr>x</abbr>", "lone no target x"),
+        ("a <a half tag", "a <a half tag"),
         ("<head><title>no</title></head><script>if (a < b) c()</script><style>p{}</style>yes<!-- no -->", "yes"),
         ("x<script>never closed", "x"),
         ("fish &amp; chips &lt;b&gt; &eacute;&#233;&#xe9; &copy;", "fish & chips <b> ééé ©"),
@@ -168,6 +178,13 @@ def test_html_to_text(value, page, expected):
     assert value(html.html_to_text, page) == expected
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a href=/x " * 100_000, "<a " + "x" * 1_000_000, "</a " * 250_000 + "<a href=/x>y</a>"])
+def test_half_links_are_read_once(value, page):
+    started = time.monotonic()
+    found = value(html.html_to_text, page)
+    assert found.startswith("<") and time.monotonic() - started < 20
+
+
 REPLY = "This is my reply."
 
 
@@ -265,7 +282,10 @@ def test_is_empty_answer_agrees_with_the_patterns(spark, answers):
 @pytest.mark.parametrize(
     "page, expected",
     [
-        ('<a href="/x" title="a > b">one</a>', "[one](/x)"),
+        ('<a href="/x" title="a > b">one</a>', '[one](/x "a > b")'),
+        ('<a href="#top">up</a> <a href=/1>one <a href=/2>two</a> more</a> end', "up [one [two](/2) more](/1) end"),
+        ('<a href="http://x/y">http://x/y</a>, <a href="http://x/y_(z)">z</a>', r"<http://x/y>, [z](http://x/y_\(z\))"),
+        ('<a href="/z"></a><p>text</p>', "[](/z)\n\ntext"),
         ('<p>x <a href="/x">never closed', "x [never closed](/x)"),
         ("<a name=top>no target</a>", "no target"),
         ("<head><title>no</title><body><b>bold</b>", "**bold**"),
