@@ -276,6 +276,10 @@ JSON_ERRORS = """SELECT 'work' AS mailbox, CAST(doc_id AS VARCHAR) AS doc,
 FROM documents WHERE lang IN ('de', 'fr', 'es')"""
 
 
+FULL_TEXT = over_messages(f"""SELECT {KEY} FROM messages
+WHERE contains(lower(concat_ws(chr(10), subject, sender, array_to_string(recipients, chr(10)), text, html)), 'license')""")
+
+
 SQL: dict[str, str] = {
     "filter_criteria": over_messages(f"""SELECT {KEY}, subject FROM messages
 WHERE mailbox IN ('conv', 'docs') AND lower(folder) IN ('inbox', 'sent')
@@ -287,8 +291,8 @@ WHERE mailbox IN ('conv', 'docs') AND lower(folder) IN ('inbox', 'sent')
     "filter_recipients_any": over_messages(f"""SELECT {KEY}, array_to_string(recipients, ',') AS recipients
 FROM messages WHERE len(list_filter(recipients,
   lambda r: contains(lower(r), 'team3@') OR contains(lower(r), 'fr@lists'))) > 0"""),
-    "filter_full_text": over_messages(f"""SELECT {KEY} FROM messages
-WHERE contains(lower(concat_ws(chr(10), subject, sender, array_to_string(recipients, chr(10)), text, html)), 'license')"""),
+    "filter_full_text": FULL_TEXT,
+    "filter_full_text_indexed": FULL_TEXT,
     "filter_dates": over_messages("""SELECT mailbox, count(*) AS n FROM messages
 WHERE CAST(date_local AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-01' GROUP BY mailbox"""),
     "filter_where": over_messages(

@@ -29,6 +29,7 @@ from postbag.operators.filters import Criteria, search
 from postbag.operators.inference import infer
 from postbag.operators.ledger import ask_once
 from postbag.operators.ordering import limit, with_order
+from postbag.operators.text_index import index_files, search_files
 from postbag.plans.ask import AskOptions, ask, fetch
 from postbag.plans.corpus import FOLDERS, MAILBOXES, conv_messages, messages, table
 from postbag.schema import MESSAGE
@@ -126,6 +127,14 @@ def filter_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(corpus(spark, sf_dir), Criteria(query="License")).select(*KEY)
 
 
+def filter_full_text_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a table of many files: those that cannot hold the word are not read."""
+    base = shared_path(spark, "indexed")
+    corpus(spark, sf_dir).repartitionByRange(16, "mailbox", "uid").write.parquet(f"{base}/messages")
+    index_files(spark, f"{base}/messages", f"{base}/index")
+    return search_files(spark, f"{base}/messages", f"{base}/index", Criteria(query="License")).select(*KEY)
+
+
 def filter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(messages(spark, sf_dir), Criteria(date_from="2024-01-01", date_to="2024-01-02"))
     return found.groupBy("mailbox").agg(F.count("*").alias("n"))
@@ -746,7 +755,7 @@ def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
-        filter_criteria, filter_recipients_any, filter_full_text, filter_dates, filter_where,
+        filter_criteria, filter_recipients_any, filter_full_text, filter_full_text_indexed, filter_dates, filter_where,
         filter_folder_labels, filter_none, csv_lists,
         mailboxes_table, gmail_json_scan, rfc822_scan,
         thread_expand_multi, thread_expand_dedup, thread_expand_shuffled, thread_fallback, thread_rows,
