@@ -32,7 +32,7 @@ def with_thread_key(messages: DataFrame) -> DataFrame:
 
 
 def hit_threads(hits: DataFrame) -> DataFrame:
-    """The threads of the hits and how many hits each has; counted before it is shuffled."""
+    """Written: the threads of the hits and how many hits each has; counted before it is shuffled."""
     counted = with_thread_key(hits).groupBy(*KEYS).agg(F.count("*").alias("copies"))
     return pin(counted, "threads")
 
@@ -51,6 +51,7 @@ def expand_threads(
     dedup: bool = True,
     fallback: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """All messages of the threads that have a hit, whatever folder they lie in and whether they match.
 
@@ -59,13 +60,13 @@ def expand_threads(
     does not square a thread that holds much of the corpus.
 
     Hits that belong to no thread are passed on as they are; nothing is looked up for them. With ``fallback`` so
-    are hits whose thread is not in ``messages``.
+    are hits whose thread is not in ``messages``. ``keys`` are the hits' threads, if they have been counted already.
 
     The messages are read in place if the thread keys fit a broadcast. Otherwise both sides are shuffled by
     thread, and the hot thread's partition is split by adaptive execution: the key side is a plain scan, so
     nothing but the exchange lies between the scan and the join.
     """
-    keys = hit_threads(hits.filter(IN_THREAD))
+    keys = hit_threads(hits.filter(IN_THREAD)) if keys is None else keys
     side = _sized(keys, broadcast_bytes)
     keyed = with_thread_key(messages.filter(IN_THREAD))
     if dedup:
@@ -74,7 +75,9 @@ def expand_threads(
         found = keyed.join(side, KEYS, "inner")
     alone = with_thread_key(hits.filter(ALONE))
     if fallback:
-        known = keyed.select(*KEYS).join(side.select(*KEYS), KEYS, "left_semi").distinct()
+        # Written once, so that the messages aren't read a second time to see which threads they know.
+        found = pin(found, "expanded")
+        known = found.select(*KEYS).distinct()
         lost = pin(keys.join(known, KEYS, "left_anti").select(*KEYS), "lost-threads")
         kept = with_thread_key(hits.filter(IN_THREAD)).join(_sized(lost, broadcast_bytes), KEYS, "left_semi")
         alone = alone.unionByName(kept)

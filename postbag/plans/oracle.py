@@ -276,6 +276,13 @@ JSON_ERRORS = """SELECT 'work' AS mailbox, CAST(doc_id AS VARCHAR) AS doc,
 FROM documents WHERE lang IN ('de', 'fr', 'es')"""
 
 
+STREAM_THREADS = asked(
+    FLAT_RECORD,
+    f"items AS (SELECT *, {ITEM} AS item_id FROM blocks SEMI JOIN hits USING (mailbox, thread_key))",
+    BLOCKS,
+    THREADED,
+    USER_HITS,
+)
 FULL_TEXT = over_messages(f"""SELECT {KEY} FROM messages
 WHERE contains(lower(concat_ws(chr(10), subject, sender, array_to_string(recipients, chr(10)), text, html)), 'license')""")
 
@@ -471,11 +478,6 @@ FROM good"""
     "stream_batches_carried": BATCH_RECORD,
     "json_errors": JSON_ERRORS,
     "stream_errors": JSON_ERRORS,
-    "stream_threads": asked(
-        FLAT_RECORD,
-        f"items AS (SELECT *, {ITEM} AS item_id FROM blocks SEMI JOIN hits USING (mailbox, thread_key))",
-        BLOCKS,
-        THREADED,
-        USER_HITS,
-    ),
+    "stream_threads": STREAM_THREADS,
+    "stream_threads_archived": STREAM_THREADS,
 }

@@ -34,6 +34,7 @@ from postbag.plans.ask import AskOptions, ask, fetch
 from postbag.plans.corpus import FOLDERS, MAILBOXES, conv_messages, messages, table
 from postbag.schema import MESSAGE
 from postbag.session import pin, shared_path, spread
+from postbag.sources.archive import ThreadArchive
 from postbag.sources.provider_json import provider_json_errors, read_provider_json
 from postbag.sources.records import read_records, records, with_verdict, write_records
 from postbag.sources.registry import read_mailboxes
@@ -741,12 +742,23 @@ def stream_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The users' turns arrive; their threads come from the message table."""
+    return _stream_threads(spark, sf_dir, messages(spark, sf_dir))
+
+
+def stream_threads_archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a table kept by thread, of which every micro-batch reads the folders it needs."""
+    archive = ThreadArchive(shared_path(spark, "archive"), buckets=64)
+    archive.add(messages(spark, sf_dir))
+    return _stream_threads(spark, sf_dir, archive)
+
+
+def _stream_threads(spark: SparkSession, sf_dir: str, archive: DataFrame | ThreadArchive) -> DataFrame:
     base = shared_path(spark, "stream")
     _user_hits(spark, sf_dir).write.parquet(f"{base}/in")
     options = AskOptions(PROMPT, boxes=MAILBOXES, folders=FOLDERS, thread=True, attempts=1)
     query = write_asked_stream(
         message_stream(spark, f"{base}/in"), options, make_stub, f"{base}/out", f"{base}/checkpoint",
-        archive=messages(spark, sf_dir),
+        archive=archive,
     )
     query.awaitTermination()
     return _flat_records(read_records(spark, f"{base}/out"))
@@ -769,6 +781,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         response_gate, skipped_answers, sender_address, truncated, header_lines, batch_headers,
         output_keys, slugs, iso_dates, result_record, result_readback, run_records, batch_record,
         mailbox_counts_total, run_stats, stream_clean, stream_ask, stream_batches, stream_batches_carried,
-        stream_threads, json_errors, stream_errors,
+        stream_threads, stream_threads_archived, json_errors, stream_errors,
     )
 }

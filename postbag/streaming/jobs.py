@@ -30,10 +30,11 @@ from postbag.operators.packing import (
     single_items,
     with_packs,
 )
-from postbag.operators.threads import expand_threads
+from postbag.operators.threads import IN_THREAD, expand_threads, hit_threads
 from postbag.plans.ask import MAX_CONTEXT, AskOptions, asked, batch_budget, items
 from postbag.schema import MESSAGE
 from postbag.session import path_exists, pin
+from postbag.sources.archive import ThreadArchive
 from postbag.sources.provider_json import CORRUPT, errors_of, from_json_rows, parsed_lines
 from postbag.sources.records import records
 
@@ -266,13 +267,21 @@ def _finish(
     _leave(left.rows.limit(0), path, f"{number}-tail", number, place, time.time())
 
 
+def _expanded(found: DataFrame, archive: DataFrame | ThreadArchive) -> DataFrame:
+    """Hits with their threads. Of an archive by thread only the folders of the hits' threads are read, once."""
+    if not isinstance(archive, ThreadArchive):
+        return expand_threads(found, archive, dedup=False, fallback=True)
+    keys = hit_threads(found.filter(IN_THREAD))
+    return expand_threads(found, archive.of(keys), dedup=False, fallback=True, keys=keys)
+
+
 def write_asked_stream(
     messages: DataFrame,
     options: AskOptions,
     make_completer: Callable[[], Completer],
     path: str,
     checkpoint: str,
-    archive: DataFrame | None = None,
+    archive: DataFrame | ThreadArchive | None = None,
     carry: bool = False,
     longest_wait: float | None = None,
 ) -> StreamingQuery:
@@ -281,7 +290,7 @@ def write_asked_stream(
     With ``carry`` a batch that a micro-batch doesn't fill waits for the next one, also over a restart; it goes as it
     is after ``longest_wait`` seconds, looked at when messages arrive, or by ``finish_batches``. Else every
     micro-batch ends with the batch it has. Threads are looked up in ``archive``, a
-    message table, by default in the micro-batch itself; hits whose thread it does not know stay alone. All
+    message table or, to read little of it, one kept by thread, by default in the micro-batch itself; hits whose thread it does not know stay alone. All
     responses go to ``responses_path(path)``. Without ``boxes`` all mailboxes of the stream count.
     """
     _reject(options)
@@ -294,7 +303,7 @@ def write_asked_stream(
     def each(micro: DataFrame, number: int) -> None:
         found = search(micro, options.criteria, boxes, folders)
         if options.thread:
-            found = expand_threads(found, micro if archive is None else archive, dedup=False, fallback=True)
+            found = _expanded(found, micro if archive is None else archive)
         in_order = with_order(found, boxes, folders)
         if carry:
             if path_exists(spark, f"{responses_path(path)}/micro_batch={number - 1}-tail"):
@@ -316,7 +325,7 @@ def write_asked_stream(
 
 def ask_arrived(
     messages: DataFrame, options: AskOptions, make_completer: Callable[[], Completer], path: str, checkpoint: str,
-    archive: DataFrame | None = None,
+    archive: DataFrame | ThreadArchive | None = None,
 ) -> None:
     """Ask about all that has arrived, in batches that go on from micro-batch to micro-batch, the last one too."""
     write_asked_stream(messages, options, make_completer, path, checkpoint, archive, carry=True).awaitTermination()

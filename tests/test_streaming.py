@@ -7,6 +7,7 @@ from postbag.operators.cleaning import with_content
 from postbag.operators.filters import Criteria, search
 from postbag.operators.reports import Progress, run_stats
 from postbag.plans.ask import ask
+from postbag.sources.archive import ThreadArchive
 from postbag.sources.records import read_records, records
 from postbag.streaming import jobs
 from postbag.streaming.jobs import (
@@ -264,3 +265,39 @@ def test_a_broken_mailbox_ends_no_other(spark, tmp_path):
     assert set(errors) == {"two", "four"} and all(errors.values())
     assert [u for u, _ in contents(spark, str(tmp_path / "one-out"))] == ["1"]
     assert [u for u, _ in contents(spark, str(tmp_path / "three-out"))] == ["3"]
+
+
+def test_threads_of_a_stream_read_the_folders_they_need(spark, tmp_path, monkeypatch):
+    archive = ThreadArchive(str(tmp_path / "archive"), buckets=16)
+    assert archive.of(spark.createDataFrame([("first", "t:t1")], "mailbox string, thread_key string")).count() == 0
+    rows = [message(str(i), thread_id=f"t{i % 20}", text=f"number {i}", date_local=after(i)) for i in range(60)]
+    for half in (rows[:30], rows[30:] + [message("alone")]):
+        archive.add(frame(spark, half))
+    every = archive.all(spark)
+    assert every.count() == 60
+    hits = [message("5", thread_id="t5"), message("7", thread_id="t7"), message("90"), message("91", thread_id="new")]
+    land(spark, str(tmp_path / "in"), hits)
+    read, of = [], ThreadArchive.of
+
+    def noted(self, threads):
+        read.append(of(self, threads))
+        return read[-1]
+
+    monkeypatch.setattr(ThreadArchive, "of", noted)
+    out = str(tmp_path / "out")
+    write_asked_stream(
+        message_stream(spark, str(tmp_path / "in")), AskOptions("P", thread=True), make_echo, out, str(tmp_path / "c"), archive
+    ).awaitTermination()
+    found = read_records(spark, out).collect()
+    assert sorted(r["email"]["uid"] for r in found) == sorted(["5", "25", "45", "7", "27", "47", "90", "91"])
+    assert len(read) == 1 and 0 < len(read[0].inputFiles()) <= len(every.inputFiles()) // 3
+
+
+def test_the_archive_is_read_once_for_a_micro_batch(spark, tmp_path):
+    frame(spark, [message(str(i), thread_id=f"t{i % 4}") for i in range(20)]).write.parquet(str(tmp_path / "t"))
+    archive = spark.read.parquet(str(tmp_path / "t"))
+    found = jobs._expanded(frame(spark, [message("1", thread_id="t1"), message("2", thread_id="gone")]), archive)
+    assert found.count() == 6
+    # What has been found was written; the plan has no scan of the archive left.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert str(tmp_path / "t") not in plan
