@@ -38,7 +38,7 @@ from postbag.sources.archive import ThreadArchive
 from postbag.sources.provider_json import provider_json_errors, read_provider_json
 from postbag.sources.records import read_records, records, with_verdict, write_records
 from postbag.sources.registry import read_mailboxes
-from postbag.sources.rfc822 import read_rfc822
+from postbag.sources.rfc822 import read_packed_rfc822
 from postbag.streaming.jobs import (
     ask_stream,
     finish_batches,
@@ -231,7 +231,7 @@ def gmail_json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rfc822_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chats as one RFC 822 file each, read back as messages."""
+    """The chats as RFC 822 mails, many to a file, read back as messages."""
     path = shared_path(spark, "rfc822")
     rows = conv_messages(table(spark, sf_dir, "conversations"))
     lines = F.concat_ws(
@@ -246,13 +246,11 @@ def rfc822_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(""),
         F.base64(F.encode("text", "UTF-8")),
     )
-    # The executors write the files: one partition folder per message, one text file in it.
-    rows.select(
-        lines.alias("value"), "folder", "uid"
-    ).repartition("folder", "uid").write.partitionBy("folder", "uid").text(path)
-    read = read_rfc822(spark, path, glob="*.txt")
+    name = F.concat_ws("/", F.lit("mail"), "folder", F.concat("uid", F.lit(".eml")))
+    rows.select(name.alias("path"), F.encode(lines, "UTF-8").alias("content")).write.parquet(path)
+    read = read_packed_rfc822(spark, path)
     return read.select(
-        F.regexp_extract("folder", "=(.*)$", 1).alias("uid"), "subject", "sender",
+        "uid", "subject", "sender",
         F.array_join("recipients", ",").alias("recipients"), "date_local", "date_offset_min",
         F.trim("text", F.lit("\r\n")).alias("text"),
     )
