@@ -6,10 +6,10 @@ their ranks; each dart has a coordinate, and the first dart caught at a coordina
 documents agree at a coordinate with the probability of their weighted Jaccard similarity. About k log k darts are
 looked at for k coordinates, however many shingles there are.
 
-Texts that agree in all coordinates of a band share a bucket. Within a bucket texts are compared with leaders, not
-with each other: first with one, then, in buckets that still hold several classes, with 64 times as many in each
-round, until all pairs of different classes have been compared. A comparison is exact, on the shingle sets. Links
-become classes by spreading the least id.
+Texts that agree in all coordinates of a band share a bucket. Within a bucket texts are first compared with one leader.
+Buckets that still hold several classes are then looked at in rounds: those of up to 128 texts in full, larger ones by
+comparing all with 64 times as many leaders in each round, until all pairs of different classes have been compared. A
+comparison is exact, on the shingle sets. Links become classes by spreading the least id.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postbag.functions.text import let
 from postbag.llm.common import Scratch, steps, utf8
 from postbag.session import pin
 
@@ -32,6 +34,8 @@ COORDINATES = BANDS * BAND_ROWS
 GROWTH = 64
 #: Bands that two texts are to share for a comparison after the first round; of 24, at 0.8, fewer in 6 of 100,000 cases.
 SHARED_BANDS = 2
+#: Bytes of leaders that are broadcast at a time.
+LOAD_BYTES = 16 << 20
 #: Rows of ids and labels, some 60 bytes each, that are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 400_000
 SPACE = np.zeros(256, bool)
@@ -259,10 +263,12 @@ def joined_classes(labels: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
     return scratch.pin(every.join(merged, "class", "left").select("text_id", F.coalesce("joined", "class").alias("class")))
 
 
-def alike(similarity: float) -> Column:
-    """Whether ``shingles`` and ``shingles_a`` have the Jaccard similarity."""
-    common = F.size(F.array_intersect("shingles", "shingles_a"))
-    return common >= (F.size("shingles") + F.size("shingles_a") - common) * (similarity - 1e-9)
+def alike(shingles: Column, others: Column, similarity: float) -> Column:
+    """Whether two sets of shingles have the Jaccard similarity."""
+    return let(
+        F.size(F.array_intersect(shingles, others)),
+        lambda common: common >= (F.size(shingles) + F.size(others) - common) * (similarity - 1e-9),
+    )
 
 
 def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:
@@ -276,46 +282,87 @@ def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, simila
     wanted = members.select("text_id", id_key("least_id").alias("id_key")).distinct()
     texts = with_text_id(documents).withColumn("id_key", id_key("doc_id")).join(wanted.hint("shuffle_hash"), ["text_id", "id_key"], "left_semi")
     sets = scratch.pin(shingle_sets(texts.groupBy("text_id", "id_key").agg(F.first("text").alias("text")), counted))
-    labels = None
-    leaders = 1
+    labels, leaders = None, 1
     while True:
         if labels is None:
-            here = members.withColumn("class", F.col("text_id"))
-        else:
-            here = members.join(joinable(labels), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
-            here = here.filter(F.col("m") > 2 * (leaders // GROWTH))
-            several = here.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-            here = scratch.pin(here.join(joinable(scratch.pin(several)), "bucket", "left_semi"))
-            if here.isEmpty():
-                break
-            here = here.join(signed.select("text_id", "bands"), "text_id").join(sets, "text_id")
-        if leaders == 1:
-            first = here.groupBy("bucket").agg(F.min(F.struct("order", "text_id", "n", "class")).alias("l")).select("bucket", "l.*")
-        else:
-            # By a hash of the text, about so many in each bucket; all, where there are no more members.
-            share = (F.col("order").cast("double") + 2.0**63) / 2.0**64
-            first = here.filter(share * F.col("m") < 2 * leaders).select("bucket", "text_id", "n", "class", "bands", "shingles")
-        first = first.select("bucket", *[F.col(c).alias(f"{c}_a") for c in first.columns if c not in ("bucket", "order")])
-        fits = (F.col("text_id_a") != F.col("text_id")) & (F.col("class_a") != F.col("class"))
-        fits &= F.least("n", "n_a") >= F.greatest("n", "n_a") * (similarity - 1e-9)
-        ends = [F.least("text_id_a", "text_id").alias("a"), F.greatest("text_id_a", "text_id").alias("b")]
-        if leaders == 1:
-            pairs = here.join(first, "bucket").filter(fits).select(*ends).distinct()
+            first = members.groupBy("bucket").agg(F.min(F.struct("order", "text_id", "n")).alias("l"))
+            first = first.select("bucket", F.col("l.text_id").alias("text_id_a"), F.col("l.n").alias("n_a"))
+            pairs = members.join(first, "bucket").filter((F.col("text_id_a") != F.col("text_id")) & near_in_size("n", "n_a", similarity))
+            pairs = pairs.select(F.least("text_id_a", "text_id").alias("a"), F.greatest("text_id_a", "text_id").alias("b")).distinct()
             one = sets.select(F.col("text_id").alias("a"), F.col("shingles").alias("shingles_a"))
             two = sets.select(F.col("text_id").alias("b"), "shingles")
-            found = pairs.join(one, "a").join(two, "b").filter(alike(similarity)).select("a", "b")
-        else:
-            # A pair meets in one of the buckets it shares, and is compared there: only links leave the join.
-            common = F.array_intersect("bands", "bands_a")
-            fits &= (F.size(common) >= SHARED_BANDS) & (F.get(common, F.lit(0)) == F.col("bucket"))
-            found = here.join(first, "bucket").filter(fits & alike(similarity)).select(*ends).distinct()
-        found = scratch.pin(found)
-        if labels is None:
+            found = scratch.pin(pairs.join(one, "a").join(two, "b").filter(alike(F.col("shingles"), F.col("shingles_a"), similarity)).select("a", "b"))
             labels = least_labels(found, scratch)
-        elif not found.isEmpty():
+            leaders *= GROWTH
+            continue
+        here = members.join(joinable(labels), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
+        # Smaller buckets have been looked at in full.
+        here = here.filter(F.col("m") > (2 if leaders == GROWTH else 2 * leaders // GROWTH))
+        several = here.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
+        here = scratch.pin(here.join(joinable(scratch.pin(several)), "bucket", "left_semi"))
+        if here.isEmpty():
+            return labels
+        details, parts = signed.select("text_id", "bands").join(sets, "text_id"), []
+        if leaders == GROWTH:
+            parts.append(links_in_small(here.filter(F.col("m") <= 2 * leaders).join(details, "text_id"), similarity))
+            here = here.filter(F.col("m") > 2 * leaders)
+        if not here.isEmpty():
+            parts.append(links_with_leaders(here.join(details, "text_id"), leaders, similarity, scratch))
+        found = reduce(DataFrame.union, parts)
+        found = scratch.pin(found.distinct())
+        if not found.isEmpty():
             labels = joined_classes(labels, found, scratch)
         leaders *= GROWTH
-    return labels
+
+
+def near_in_size(n: str, other: str, similarity: float) -> Column:
+    return F.least(n, other) >= F.greatest(n, other) * (similarity - 1e-9)
+
+
+def comparable(x: Column, y: Column, bucket: Column, similarity: float) -> Column:
+    """Whether two members of a bucket are to be compared in it: of different classes, near enough in size, and meeting
+    in one of the buckets they share only."""
+    common = F.array_intersect(x["bands"], y["bands"])
+    sizes = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * (similarity - 1e-9)
+    return (x["class"] != y["class"]) & sizes & (F.size(common) >= SHARED_BANDS) & (F.get(common, F.lit(0)) == bucket)
+
+
+MEMBER = ("text_id", "n", "class", "bands", "shingles")
+
+
+def links_in_small(whole: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of buckets of bounded size: the members are gathered, and each pair is compared once, where they are."""
+    gathered = whole.groupBy("bucket").agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+
+    def partners(x: Column, at: Column) -> Column:
+        later = F.slice(F.col("members"), at + 2, F.size("members"))
+        linked = F.filter(later, lambda y: comparable(x, y, F.col("bucket"), similarity) & alike(x["shingles"], y["shingles"], similarity))
+        return F.transform(linked, lambda y: F.struct(F.least(x["text_id"], y["text_id"]).alias("a"), F.greatest(x["text_id"], y["text_id"]).alias("b")))
+
+    return gathered.select(F.explode(F.flatten(F.transform("members", partners))).alias("link")).select("link.*")
+
+
+def links_with_leaders(whole: DataFrame, leaders: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) of large buckets: each member against the leaders, about 2 * ``leaders`` by a hash of the text.
+
+    The leaders go to where the members are, in loads that fit a broadcast: however many members a bucket has, they
+    are spread as the table is, and nothing is dealt out by bucket.
+    """
+    share = (F.col("order").cast("double") + 2.0**63) / 2.0**64
+    whole = scratch.pin(whole)
+    led = scratch.pin(whole.filter(share * F.col("m") < 2 * leaders).select("bucket", F.struct(*MEMBER).alias("leader"), "order"))
+    size = led.agg(F.sum(F.size("leader.bands") * 8 + F.size("leader.shingles") * 8 + 100)).first()[0] or 0
+    loads = max(1, math.ceil(size / LOAD_BYTES))
+    member, found = F.struct(*MEMBER), None
+    for load in range(loads):
+        part = led.filter(F.pmod(F.xxhash64("order"), F.lit(loads)) == load) if loads > 1 else led
+        met = whole.join(F.broadcast(part.select("bucket", "leader")), "bucket")
+        x, y = F.col("leader"), member
+        linked = met.filter(comparable(x, y, F.col("bucket"), similarity) & alike(x["shingles"], F.col("shingles"), similarity))
+        linked = linked.select(F.least(x["text_id"], F.col("text_id")).alias("a"), F.greatest(x["text_id"], F.col("text_id")).alias("b"))
+        linked = scratch.pin(linked.distinct()) if loads > 1 else linked
+        found = linked if found is None else found.union(linked)
+    return found
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:

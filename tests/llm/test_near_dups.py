@@ -147,9 +147,11 @@ def test_empty_table(spark):
     assert nd.near_duplicates(none).collect() == [] and nd.keep_one_of_each(none).collect() == []
 
 
-def test_a_hot_bucket_of_many_classes(spark, monkeypatch):
+@pytest.mark.parametrize("growth", [4, 64])
+def test_a_hot_bucket_of_many_classes(spark, monkeypatch, growth):
     """Texts that share most of their words, in many classes: rounds of ever more leaders find all links."""
-    monkeypatch.setattr(nd, "GROWTH", 4)
+    monkeypatch.setattr(nd, "GROWTH", growth)
+    monkeypatch.setattr(nd, "LOAD_BYTES", 20_000)
     draw = random.Random(6)
     common, rows = [f"c{i}" for i in range(60)], []
     for family in range(30):
