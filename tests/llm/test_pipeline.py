@@ -14,7 +14,7 @@ from tests.llm.test_near_dups import brute
 
 def test_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "minhash_near_dedup", "substring_dedup", "source_mixing", "best_fit_packing"]
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(contract.queries())
     assert set(SQL) <= set(QUERIES)
 
