@@ -77,3 +77,28 @@ def test_other_criteria_hold_too(spark, table):
         search(spark.read.schema(MESSAGE).parquet(path), criteria, ["first"], ["INBOX"])
     )
     assert search_files(spark, path, index, criteria, ["second"]).count() == 0
+
+
+def test_indexing_shuffles_bitmaps_not_groups(spark, table):
+    """What a task passes on is bounded by the files it reads, however long their texts are."""
+    messages = spark.read.schema(MESSAGE).parquet(table[0])
+    plan = text_index.index_rows(messages)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "bitmap_or_agg" in plan
+    rows = text_index.index_rows(messages).collect()
+    known = {(r["file"], r["stretch"]): r["bitmap"] for r in spark.read.parquet(table[1]).collect()}
+    assert {(r["file"], r["stretch"]): r["bitmap"] for r in rows} == known
+
+
+def test_groups_of_texts():
+    number = lambda g: (ord(g[0]) << 42) | (ord(g[1]) << 21) | ord(g[2])
+    assert text_index.groups(["abcd", "", "x", "日本😀é"]).tolist() == [number(g) for g in ("abc", "bcd", "日本😀", "本😀é")]
+    assert text_index.groups([]).tolist() == text_index.groups(["ab"]).tolist() == []
+
+
+def test_an_index_of_another_hash_is_not_read(spark, table, tmp_path):
+    index = str(tmp_path / "index")
+    names = spark.read.parquet(table[1]).select("file", F.lit(0).cast("long").alias("stretch"), F.lit(b"").alias("bitmap")).distinct()
+    names.write.parquet(index)
+    assert candidate_files(spark, table[0], index, "alpine") is None
+    index_files(spark, table[0], index)
+    assert len(candidate_files(spark, table[0], index, "alpine")) == 1
