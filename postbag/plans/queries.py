@@ -602,7 +602,7 @@ def result_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that broke before it was done, repeated by a restarted driver, beside another run: each record once."""
     path = shared_path(spark, "runs")
-    found = records(responses(spark, sf_dir))
+    found = records(pin(responses(spark, sf_dir), "responses"))  # asked once, written as often as it takes
     mail = found.filter(F.col("email.uid").startswith("c-"))
     found.write.option("ignoreNullFields", "false").json(f"{path}/run_id=monday")  # written, never marked as done
     write_records(found.filter(~F.col("email.uid").startswith("c-")), path, run_id="monday")

@@ -63,3 +63,15 @@ def test_entry(spark):
     found = contract.entry(spark)
     assert found.count() > 0
     assert found.columns[0] == "item_id"
+
+
+def test_runs_are_written_from_answers_that_were_kept(spark, monkeypatch):
+    """However often records are written, the messages are cleaned and asked about once."""
+    from postbag.plans import queries
+
+    reads, kept = [], queries.pin
+    monkeypatch.setattr(queries, "pin", lambda df, kind: reads.append(kind) or kept(df, kind))
+    written, write = [], queries.write_records
+    monkeypatch.setattr(queries, "write_records", lambda found, *a, **k: written.append(found.inputFiles()) or write(found, *a, **k))
+    queries.run_records(spark, SMALL)
+    assert reads == ["responses"] and all("responses-" in name for names in written for name in names) and len(written) == 3

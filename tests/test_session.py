@@ -35,3 +35,19 @@ def test_spread_leaves_enough_splits_alone(spark):
 def test_spread_runs_nothing(spark):
     grouped = spark.range(100).groupBy("id").count()
     assert spread(grouped) is grouped
+
+
+def test_spread_deals_out_files_with_empty_splits(spark, tmp_path):
+    """One row group is one task's, however many splits its file has."""
+    spark.range(0, 20_000, 1, 1).write.parquet(str(tmp_path / "t"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = spark.read.schema("id bigint").parquet(str(tmp_path / "t"))
+        assert rows.rdd.getNumPartitions() > 8 and max(rows.rdd.glom().map(len).collect()) == 20_000
+        dealt = spread(rows)
+        sizes = dealt.rdd.glom().map(len).collect()
+        assert len(sizes) == rows.rdd.getNumPartitions() and max(sizes) < 3 * 20_000 / len(sizes)
+        assert dealt.columns == ["id"] and dealt.distinct().count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
