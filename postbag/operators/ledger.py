@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from postbag.operators.inference import ATTEMPTS, Completer, infer
 from postbag.schema import RESPONSE
-from postbag.session import path_exists, pin
+from postbag.session import is_written, path_exists, pin
 
 #: Calls of one task, which are lost together if its executor is.
 CALLS_PER_TASK = 50
@@ -77,19 +77,30 @@ def ask_once(
 ) -> DataFrame:
     """What ``infer`` returns, with answers from the ledger where it has them. The calls are made here and now.
 
-    ``chunks`` is written once, so that keys stay what they are. Equal calls are made once. With ``concurrency`` the
-    calls are made in waves of so many tasks. If the run breaks, answers of all tasks that had ended are in the ledger.
+    ``chunks`` is written once, unless it is a written table, so that keys stay what they are. Equal calls are made
+    once. Texts move once, by their keys, to the tasks that ask; each has about ``calls_per_task`` calls. With
+    ``concurrency`` the calls are made in waves of so many tasks. If the run breaks, answers of all tasks that had ended
+    are in the ledger.
     """
     spark = chunks.sparkSession
-    keyed = pin(chunks.withColumn("call_key", F.when(F.col("chunk").isNotNull(), call_key(prompt))), "calls")
-    answered = read_ledger(spark, ledger, prompt).filter("response IS NOT NULL").select("call_key")
-    wanted = keyed.filter("call_key IS NOT NULL").select("call_key", "chunk").dropDuplicates(["call_key"])
-    todo = pin(wanted.join(answered, "call_key", "left_anti"), "open-calls")
-    tasks = math.ceil(todo.count() / calls_per_task)
+    kept = chunks if is_written(chunks) else pin(chunks, "calls")
+    keyed = kept.withColumn("call_key", F.when(F.col("chunk").isNotNull(), call_key(prompt)))
+    wanted = keyed.filter("call_key IS NOT NULL").select("call_key", "chunk")
+    # What has been answered by now: the folder of answers grows while the calls are made.
+    answered = pin(read_ledger(spark, ledger, prompt).filter("response IS NOT NULL").select("call_key"), "answered")
+    todo = wanted.select("call_key").distinct().join(answered, "call_key", "left_anti").count()
+    tasks = math.ceil(todo / calls_per_task)
     waves = math.ceil(tasks / concurrency) if concurrency else 1
+    calls = wanted.withColumn("done", F.lit(False)).unionByName(
+        answered.select("call_key", F.lit(None).cast("string").alias("chunk"), F.lit(True).alias("done"))
+    )
     for wave in range(waves if tasks else 0):
-        part = todo.filter(F.pmod(F.xxhash64("call_key"), F.lit(waves)) == wave) if waves > 1 else todo
-        asked = infer(part.repartition(concurrency or tasks), prompt, make_completer, attempts, None, profile, sleep)
+        part = calls.filter(F.pmod(F.xxhash64("call_key"), F.lit(waves)) == wave) if waves > 1 else calls
+        once = part.repartition(concurrency or tasks, "call_key").groupBy("call_key").agg(
+            F.first("chunk", ignorenulls=True).alias("chunk"), F.max("done").alias("done")
+        )
+        open_calls = once.filter("NOT done").select("call_key", "chunk")
+        asked = infer(open_calls, prompt, make_completer, attempts, None, profile, sleep)
         entries = asked.withColumn("asked_at", F.current_timestamp()).select(*LEDGER.names)
         entries.write.option(*EARLY_COMMIT).parquet(f"{_folder(ledger, prompt)}/run={uuid.uuid4().hex}")
     last = read_ledger(spark, ledger, prompt).drop("asked_at")

@@ -102,3 +102,22 @@ def test_a_run_with_a_ledger(spark, tmp_path):
     done = run_ask(frame(spark, rows), options("two"), logged(log), ["first"])
     assert done.stats.first()["emails_failed"] == 0 and done.records.count() == 6
     assert calls(log) == Counter({f"a longer text {i}": 1 if i < 3 else 2 for i in range(6)})
+
+
+def test_a_written_table_is_not_written_again_and_texts_move_once(spark, tmp_path, monkeypatch):
+    from postbag.operators import ledger
+    from postbag.session import is_written, pin
+
+    kinds, real = [], ledger.pin
+    monkeypatch.setattr(ledger, "pin", lambda df, kind: kinds.append((kind, df.columns)) or real(df, kind))
+    plans, infer = [], ledger.infer
+    monkeypatch.setattr(ledger, "infer", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or infer(df, *a))
+    chunks, log = work(spark, *TEXTS), tmp_path / "log"
+    written = pin(chunks, "chunks")
+    assert is_written(written) and not is_written(chunks) and not is_written(written.filter("chunk > 'a'"))
+    found = ask_once(written, "P", logged(log), str(tmp_path / "ledger"), sleep=no_wait, calls_per_task=5)
+    assert kinds == [("answered", ["call_key"])]
+    ask_once(chunks, "P", logged(log), str(tmp_path / "ledger"), sleep=no_wait)
+    assert kinds[1][0] == "calls" and calls(log) == Counter(TEXTS)
+    assert found.filter("response IS NOT NULL").count() == 24
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(call_key") == 1 and plans[0].count("Exchange") == 1
