@@ -72,23 +72,27 @@ def tokens_of(data: np.ndarray, borders: np.ndarray) -> tuple[pa.Array, np.ndarr
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), from left to right."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum at the end
+    """All maximal scoring segments (start, end, score), from left to right.
+
+    Each segment knows the last one before it that begins at a lower sum, so that looking for one skips those between.
+    """
+    # Start, end, sum before, sum at the end, place of the last one with a lower sum before.
+    found: list[tuple[int, int, float, float, int]] = []
     sums = np.append(0.0, np.cumsum(scores))
     for at in np.flatnonzero(scores > 0).tolist():
         start, before, end = at, sums[at], sums[at + 1]
         k = len(found) - 1
         while True:
             while k >= 0 and found[k][2] >= before:
-                k -= 1
+                k = found[k][4]
             if k < 0 or found[k][3] >= end:
                 break
             # The segment from there on is better than both apart.
-            start, _, before, _ = found[k]
+            start, _, before, _, below = found[k]
             del found[k:]
-            k -= 1
-        found.append((start, at + 1, before, end))
-    return [(a, b, float(y - x)) for a, b, x, y in found]
+            k = below
+        found.append((start, at + 1, before, end, k))
+    return [(a, b, float(y - x)) for a, b, x, y, _ in found]
 
 
 def expected(best: np.ndarray, n: int, rate: float, log_k: float) -> float:
