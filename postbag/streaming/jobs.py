@@ -42,6 +42,8 @@ from postbag.sources.records import records
 BUFFERED_CONTEXTS = 20
 TOKENS_PER_MESSAGE = 500
 SMALLEST_BUFFER = 10
+# Tasks that a micro-batch's messages are dealt to, so that one with long messages holds up less.
+TASKS_PER_CORE = 2
 
 
 def buffer_size(max_context: int, contexts: int = BUFFERED_CONTEXTS) -> int:
@@ -100,11 +102,17 @@ def ask_stream(messages: DataFrame, options: AskOptions, make_completer: Callabl
     found = search(
         messages, options.criteria, options.boxes, resolve_folders(options.folders, options.in_sent)
     )
-    cleaned = with_content(found, options.languages, headers=options.thread)
+    cleaned = with_content(_spread_stream(found), options.languages, headers=options.thread)
     work = chunked(single_items(cleaned), options.max_context)
     return asked(work, options, make_completer)
 
 
+def _spread_stream(found: DataFrame) -> DataFrame:
+    """Deal messages out: a micro-batch of a few files would be cleaned and asked about in as few tasks."""
+    cores = found.sparkSession.sparkContext.defaultParallelism
+    return found.repartition(TASKS_PER_CORE * cores, "mailbox", "folder", "uid")
+
+
 def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Write what has arrived and stop. The checkpoint remembers what is done, also after a failure; call
     ``stop()`` on the query to end it earlier."""

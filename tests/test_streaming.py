@@ -301,3 +301,12 @@ def test_the_archive_is_read_once_for_a_micro_batch(spark, tmp_path):
     # What has been found was written; the plan has no scan of the archive left.
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert str(tmp_path / "t") not in plan
+
+
+def test_a_stream_of_few_files_is_dealt_out(spark, tmp_path):
+    """One file with one row group is cleaned and asked about by more than one task."""
+    frame(spark, [message(str(i), text=f"text {i}") for i in range(200)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = jobs.ask_stream(jobs.message_stream(spark, str(tmp_path / "in")), AskOptions("P", attempts=1), make_echo)
+    jobs.write_records_stream(found, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    kept = spark.read.parquet(jobs.responses_path(str(tmp_path / "out")))
+    assert kept.count() == 200 and len(kept.inputFiles()) > 4
