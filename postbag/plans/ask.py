@@ -24,7 +24,7 @@ from postbag.operators.filters import (
 )
 from postbag.operators.inference import ATTEMPTS, Completer, infer
 from postbag.operators.ledger import ask_once
-from postbag.operators.ordering import fits_one_range, limit, with_order
+from postbag.operators.ordering import RANGE_BYTES, limit, with_order
 from postbag.operators.packing import (
     DEFAULT_BATCH,
     batch_items,
@@ -119,10 +119,14 @@ def items(fetched: DataFrame, options: AskOptions) -> DataFrame:
     if not options.batch:
         return single_items(cleaned)
     budget, fit = batch_budget(options)
-    made = batch_items(fitted_batches(cleaned, budget) if fit else batches(cleaned, budget))
-    # Few batches are made in one task; the calls shouldn't be.
-    small = fits_one_range(input_bytes(fetched))
-    return made.repartition(fetched.sparkSession.sparkContext.defaultParallelism) if small else made
+    return dealt(batch_items(fitted_batches(cleaned, budget) if fit else batches(cleaned, budget)), fetched)
+
+
+def dealt(made: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Batches over all cores: those made in fewer ranges than there are cores lie in as few tasks; the calls shouldn't."""
+    cores, size = made.sparkSession.sparkContext.defaultParallelism, input_bytes(fetched)
+    few = size is not None and size <= RANGE_BYTES * cores
+    return made.repartition(cores) if few else made
 
 
 def batch_budget(options: AskOptions) -> tuple[int, bool]:
