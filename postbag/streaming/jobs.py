@@ -31,9 +31,9 @@ from postbag.operators.packing import (
     with_packs,
 )
 from postbag.operators.threads import IN_THREAD, expand_threads, hit_threads
-from postbag.plans.ask import MAX_CONTEXT, AskOptions, asked, batch_budget, items
+from postbag.plans.ask import MAX_CONTEXT, AskOptions, asked, batch_budget, dealt, items
 from postbag.schema import MESSAGE
-from postbag.session import path_exists, pin
+from postbag.session import path_exists, pin, spread
 from postbag.sources.archive import ThreadArchive
 from postbag.sources.provider_json import CORRUPT, errors_of, from_json_rows, parsed_lines
 from postbag.sources.records import records
@@ -316,8 +316,8 @@ def write_asked_stream(
         if carry:
             if path_exists(spark, f"{responses_path(path)}/micro_batch={number - 1}-tail"):
                 _finish(spark, options, make_completer, path, number - 1)  # in case that a try broke
-            cleaned = with_content(in_order, options.languages, headers=options.thread)
-            made = batch_items(_with_left(cleaned, options, path, number, longest_wait))
+            cleaned = with_content(spread(in_order), options.languages, headers=options.thread)
+            made = dealt(batch_items(_with_left(cleaned, options, path, number, longest_wait)), in_order)
         else:
             made = items(in_order, options)
         work = chunked(made, options.max_context)

@@ -3,10 +3,13 @@ import json
 import pytest
 
 from postbag import AskOptions
+from postbag.operators import ordering
 from postbag.operators.cleaning import with_content
 from postbag.operators.filters import Criteria, search
 from postbag.operators.reports import Progress, run_stats
+from postbag.plans import ask as plans_ask
 from postbag.plans.ask import ask
+from postbag.session import input_bytes
 from postbag.sources.archive import ThreadArchive
 from postbag.sources.records import read_records, records
 from postbag.streaming import jobs
@@ -310,3 +313,17 @@ def test_a_stream_of_few_files_is_dealt_out(spark, tmp_path):
     jobs.write_records_stream(found, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     kept = spark.read.parquet(jobs.responses_path(str(tmp_path / "out")))
     assert kept.count() == 200 and len(kept.inputFiles()) > 4
+
+
+@pytest.mark.parametrize("carry", [False, True])
+def test_batches_of_few_ranges_are_dealt_out(spark, tmp_path, monkeypatch, carry):
+    """Batches made in more than one range but fewer than there are cores: the calls use all cores."""
+    frame(spark, [message(f"{i:03}", text=f"text {i}", date_local=after(i)) for i in range(200)]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    size = input_bytes(spark.read.parquet(str(tmp_path / "in")))
+    for module in (ordering, plans_ask):
+        monkeypatch.setattr(module, "RANGE_BYTES", size // 2)
+    monkeypatch.setattr(ordering, "SMALL_RANGE", 10)
+    options = AskOptions("P", batch=True, batch_size=5, attempts=1)
+    write_asked_stream(message_stream(spark, str(tmp_path / "in")), options, make_echo, str(tmp_path / "out"), str(tmp_path / "checkpoint"), carry=carry).awaitTermination()
+    kept = spark.read.parquet(f"{responses_path(str(tmp_path / 'out'))}/micro_batch=0")
+    assert kept.count() in (39, 40) and len(kept.inputFiles()) > 4
