@@ -8,8 +8,9 @@ looked at for k coordinates, however many shingles there are.
 
 Texts that agree in all coordinates of a band share a bucket. Within a bucket texts are first compared with one leader.
 Buckets that still hold several classes are then looked at in rounds: those of up to 128 texts in full, larger ones by
-comparing all with 64 times as many leaders in each round, until all pairs of different classes have been compared. A
-comparison is exact, on the shingle sets. Links become classes by spreading the least id.
+comparing all with leaders: with the texts outside the bucket's largest class, which ends the bucket, as no pair of
+different classes is without one; while those are too many, with 64 times as many as in the round before. A comparison
+is exact, on the shingle sets. Links become classes by spreading the least id.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postbag.functions.text import let
 from postbag.llm.common import Scratch, steps, utf8
 from postbag.session import pin
 
@@ -32,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 24, 4
 COORDINATES = BANDS * BAND_ROWS
 GROWTH = 64
+#: So many texts outside the largest class of a bucket are leaders all at once, from the first round on.
+OUTSIDE = 1024
 #: Bands that two texts are to share for a comparison after the first round; of 24, at 0.8, fewer in 6 of 100,000 cases.
 SHARED_BANDS = 2
 #: Bytes of leaders that are broadcast at a time.
@@ -264,11 +266,12 @@ def joined_classes(labels: DataFrame, links: DataFrame, scratch: Scratch) -> Dat
 
 
 def alike(shingles: Column, others: Column, similarity: float) -> Column:
-    """Whether two sets of shingles have the Jaccard similarity."""
-    return let(
-        F.size(F.array_intersect(shingles, others)),
-        lambda common: common >= (F.size(shingles) + F.size(others) - common) * (similarity - 1e-9),
-    )
+    """Whether two sets of shingles have the Jaccard similarity.
+
+    Common elements are named once: an expression with lambdas would be interpreted, with boxed elements.
+    """
+    least = similarity - 1e-9
+    return F.size(F.array_intersect(shingles, others)) * (1 + least) >= (F.size(shingles) + F.size(others)) * least
 
 
 def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, counted: bool = True) -> DataFrame:
@@ -296,10 +299,12 @@ def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, simila
             leaders *= GROWTH
             continue
         here = members.join(joinable(labels), "text_id", "left").withColumn("class", F.coalesce("class", "text_id"))
-        # Smaller buckets have been looked at in full.
-        here = here.filter(F.col("m") > (2 if leaders == GROWTH else 2 * leaders // GROWTH))
-        several = here.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low <> high").select("bucket")
-        here = scratch.pin(here.join(joinable(scratch.pin(several)), "bucket", "left_semi"))
+        # Buckets of two have been looked at in full.
+        each = here.filter("m > 2").groupBy("bucket", "class").agg(F.count("*").alias("c"))
+        several = each.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", "class")).alias("largest"))
+        outside = F.col("all") - F.col("largest.c")
+        several = scratch.pin(several.select("bucket", F.col("largest.class").alias("largest"), outside.alias("outside")).filter("outside > 0"))
+        here = scratch.pin(here.join(joinable(several), "bucket"))
         if here.isEmpty():
             return labels
         details, parts = signed.select("text_id", "bands").join(sets, "text_id"), []
@@ -312,6 +317,11 @@ def classes_of(signed: DataFrame, documents: DataFrame, scratch: Scratch, simila
         found = scratch.pin(found.distinct())
         if not found.isEmpty():
             labels = joined_classes(labels, found, scratch)
+        # In all other buckets every pair of different classes has been compared.
+        rest = several.filter(F.col("outside") > outside_at_once(leaders)).select("bucket")
+        if rest.isEmpty():
+            return labels
+        members = members.join(joinable(rest), "bucket", "left_semi")
         leaders *= GROWTH
 
 
@@ -342,23 +352,30 @@ def links_in_small(whole: DataFrame, similarity: float) -> DataFrame:
     return gathered.select(F.explode(F.flatten(F.transform("members", partners))).alias("link")).select("link.*")
 
 
+def outside_at_once(leaders: int) -> int:
+    return max(OUTSIDE, 2 * leaders)
+
+
 def links_with_leaders(whole: DataFrame, leaders: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b) of large buckets: each member against the leaders, about 2 * ``leaders`` by a hash of the text.
+    """(a, b) of large buckets: each member against the leaders, once if both are leaders.
 
-    The leaders go to where the members are, in loads that fit a broadcast: however many members a bucket has, they
-    are spread as the table is, and nothing is dealt out by bucket.
+    Leaders are the members outside the largest class; of a bucket with too many of these, about 2 * ``leaders``
+    members by a hash of the text. They go to where the members are, in loads that fit a broadcast: however many
+    members a bucket has, they are spread as the table is, and nothing is dealt out by bucket.
     """
     share = (F.col("order").cast("double") + 2.0**63) / 2.0**64
-    whole = scratch.pin(whole)
-    led = scratch.pin(whole.filter(share * F.col("m") < 2 * leaders).select("bucket", F.struct(*MEMBER).alias("leader"), "order"))
+    leads = F.when(F.col("outside") <= outside_at_once(leaders), F.col("class") != F.col("largest")).otherwise(share * F.col("m") < 2 * leaders)
+    whole = scratch.pin(whole.select("bucket", "order", *MEMBER, leads.alias("leads")))
+    led = scratch.pin(whole.filter("leads").select("bucket", F.struct(*MEMBER).alias("leader"), F.col("order").alias("leader_order")))
     size = led.agg(F.sum(F.size("leader.bands") * 8 + F.size("leader.shingles") * 8 + 100)).first()[0] or 0
     loads = max(1, math.ceil(size / LOAD_BYTES))
     member, found = F.struct(*MEMBER), None
     for load in range(loads):
-        part = led.filter(F.pmod(F.xxhash64("order"), F.lit(loads)) == load) if loads > 1 else led
-        met = whole.join(F.broadcast(part.select("bucket", "leader")), "bucket")
+        part = led.filter(F.pmod(F.xxhash64("leader_order"), F.lit(loads)) == load) if loads > 1 else led
+        met = whole.join(F.broadcast(part.select("bucket", "leader", "leader_order")), "bucket")
         x, y = F.col("leader"), member
-        linked = met.filter(comparable(x, y, F.col("bucket"), similarity) & alike(x["shingles"], F.col("shingles"), similarity))
+        once = ~F.col("leads") | (F.struct(F.col("leader_order").alias("order"), "leader.text_id") < F.struct("order", "text_id"))
+        linked = met.filter(once & comparable(x, y, F.col("bucket"), similarity) & alike(x["shingles"], F.col("shingles"), similarity))
         linked = linked.select(F.least(x["text_id"], F.col("text_id")).alias("a"), F.greatest(x["text_id"], F.col("text_id")).alias("b"))
         linked = scratch.pin(linked.distinct()) if loads > 1 else linked
         found = linked if found is None else found.union(linked)

@@ -163,3 +163,23 @@ def test_a_hot_bucket_of_many_classes(spark, monkeypatch, growth):
     found = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
     classes, _ = brute(rows)
     assert found == {r[0]: classes[r[1]] for r in rows} and len(set(found.values())) > 1
+
+
+@pytest.mark.parametrize("outside, most_rounds", [(0, 9), (1024, 1)])
+def test_a_bucket_ends_with_the_texts_outside_its_largest_class(spark, monkeypatch, outside, most_rounds):
+    """Few enough of them are the leaders of one round; without that, rounds of ever more leaders find the same."""
+    monkeypatch.setattr(nd, "GROWTH", 4)
+    monkeypatch.setattr(nd, "OUTSIDE", outside)
+    draw, common, rows, rounds = random.Random(8), [f"c{i}" for i in range(70)], [], []
+    for family in range(24):
+        own = [f"f{family}_{i}" for i in range(18)]
+        for copy in range(30 if family == 0 else 3):
+            words = common + own
+            words[draw.randint(70, 87)] = f"x{copy}"
+            rows.append((len(rows), " ".join(words), *CLASH))
+    compare = nd.links_with_leaders
+    monkeypatch.setattr(nd, "links_with_leaders", lambda *given: rounds.append(given[1]) or compare(*given))
+    found = {r.doc_id: r.class_id for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    classes, _ = brute(rows)
+    assert found == {r[0]: classes[r[1]] for r in rows} and len(set(found.values())) > 1
+    assert 1 <= len(rounds) <= most_rounds and (outside or len(rounds) > 1)
