@@ -35,7 +35,7 @@ GEAR = np.random.default_rng(31).integers(0, 1 << 32, 256, np.uint64).astype(np.
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
 ANCHORS = "doc_id bigint, text_hash bigint, at int, digest bigint"
-WINDOWS = "doc_id bigint, text_hash bigint, at int, start int, end int, digest bigint"
+WINDOWS = "doc bigint, at int, start int, end int, digest bigint"
 
 
 def gear_hashes(data: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -142,15 +142,15 @@ def _anchor_rows(documents: DataFrame, words: int) -> DataFrame:
 
 
 def _window_rows(documents: DataFrame, words: int) -> DataFrame:
-    """WINDOWS whose anchor is in ``anchors``, from doc_id, text_hash, text, anchors."""
+    """WINDOWS whose anchor is in ``anchors``, from doc, text, anchors."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, borders = utf8(batch.column(2))
+            data, borders = utf8(batch.column(1))
             for low, high in steps(borders):
                 own, ends_of = data[borders[low] : borders[high]], borders[low : high + 1] - borders[low]
                 row, first, at, _, digest = windows(own, ends_of, words)
-                lists = batch.column(3)[low:high]
+                lists = batch.column(2)[low:high]
                 owner = np.repeat(np.arange(high - low), lists.value_lengths().to_numpy())
                 shared = (owner << 32) | lists.flatten().to_numpy().astype(np.int64)
                 kept = np.flatnonzero(np.isin((row << 32) | at, shared))
@@ -159,7 +159,7 @@ def _window_rows(documents: DataFrame, words: int) -> DataFrame:
                 word = np.searchsorted(starts, ends_of[row]) + first
                 of = pa.array(row + low)
                 spans = (first, starts[word] - ends_of[row], ends[word + words - 1] - ends_of[row])
-                columns = [batch.column(0).take(of), batch.column(1).take(of), *[pa.array(x.astype(np.int32)) for x in spans], pa.array(digest.astype(np.int64))]
+                columns = [batch.column(0).take(of), *[pa.array(x.astype(np.int32)) for x in spans], pa.array(digest.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in WINDOWS.split(", ")])
 
     return documents.mapInArrow(find, WINDOWS)
@@ -185,21 +185,27 @@ def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     # Written, so that rows of a digest that many documents have can be split over tasks when joined.
     shared = pin(shared, "anchors")
     places = anchors.join(shared, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("anchors"))
+    # Windows bear a number that orders documents, in place of the id and a hash, which would not compress.
+    places = pin(places.orderBy("doc_id", "text_hash").withColumn("doc", F.monotonically_increasing_id()), "places")
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")
-    places = places.select(id_key, F.col("text_hash").alias("hash_key"), "anchors")
+    listed = places.select(id_key, F.col("text_hash").alias("hash_key"), "doc", "anchors")
     whole = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), "text")
     whole = whole.withColumn("id_key", id_key).withColumn("hash_key", F.col("text_hash"))
-    whole = whole.join(places.hint("shuffle_hash"), ["id_key", "hash_key"]).select("doc_id", "text_hash", "text", "anchors")
+    whole = whole.join(listed.hint("shuffle_hash"), ["id_key", "hash_key"]).select("doc", "text", "anchors")
     rows = pin(_window_rows(whole, words), "windows")
-    kept = rows.groupBy("digest").agg(F.min(F.struct(document.alias("doc"), "at")).alias("first"), F.max(document).alias("last_doc"))
-    kept = pin(kept.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc"))).select("digest", "first"), "kept-windows")
-    found = rows.join(kept, "digest").filter(~document.eqNullSafe(F.col("first.doc")))
-    found = found.select("doc_id", "text_hash", "at", "start", "end", F.col("first.doc").alias("first_doc"), (F.col("at") - F.col("first.at")).alias("shift"))
+    kept = rows.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last_doc"))
+    kept = pin(kept.filter("first.doc <> last_doc").select("digest", "first"), "kept-windows")
+    found = rows.join(kept, "digest").filter("doc <> first.doc")
+    found = found.select("doc", "at", "start", "end", F.col("first.doc").alias("first_doc"), (F.col("at") - F.col("first.at")).alias("shift"))
+    # Written, so that the join's shuffled rows and those of the window below are not there at once.
+    found = pin(found, "found-windows")
     # Windows one after the other have the same difference of place and rank; rows equal in all are one.
-    rank = F.dense_rank().over(Window.partitionBy("doc_id", "text_hash").orderBy("at"))
-    runs = found.withColumn("run", F.col("at") - rank).groupBy("doc_id", "text_hash", "run", "first_doc", "shift")
+    rank = F.dense_rank().over(Window.partitionBy("doc").orderBy("at"))
+    runs = found.withColumn("run", F.col("at") - rank).groupBy("doc", "run", "first_doc", "shift")
     passages = runs.agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max("at") - F.min("at") + words).cast("long").alias("words"))
-    return passages.select("doc_id", "text_hash", "start", "end", "words", F.col("first_doc.doc_id").alias("first_doc_id"))
+    passages = passages.join(places.select("doc", "doc_id", "text_hash"), "doc")
+    passages = passages.join(places.select(F.col("doc").alias("first_doc"), F.col("doc_id").alias("first_doc_id")), "first_doc")
+    return passages.select("doc_id", "text_hash", "start", "end", "words", "first_doc_id")
 
 
 def without_repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:

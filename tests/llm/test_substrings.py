@@ -130,3 +130,8 @@ def test_exact_ends_and_no_shorter_passages(spark):
         if n >= 50:
             expected.add((len(texts) - 1, " ".join(own), n))
     assert spans(spark, texts) == expected
+
+
+def test_windows_bear_a_number_for_the_document():
+    """Its id and a hash of its text, which would not compress, are not shuffled with every window."""
+    assert [c.split()[0] for c in sub.WINDOWS.split(", ")] == ["doc", "at", "start", "end", "digest"]

@@ -1,8 +1,9 @@
+import time
 from types import SimpleNamespace
 
 import pytest
 
-from postbag.session import pin, shared_path, spread
+from postbag.session import CLEANUP, pin, shared_path, spread
 
 
 def fake(master, folder):
@@ -51,3 +52,23 @@ def test_spread_deals_out_files_with_empty_splits(spark, tmp_path):
         assert dealt.columns == ["id"] and dealt.distinct().count() == 20_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_written_table_leaves_no_shuffled_rows(spark):
+    """What was shuffled for it goes with its query; the setting is as before."""
+    from pyspark.sql import functions as F
+
+    before = spark.conf.get(CLEANUP, None)
+
+    def shuffled():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).getName()).startswith("shuffle_")}
+
+    known = shuffled()
+    written = pin(spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count(), "grouped")
+    for _ in range(50):
+        if not (left := shuffled() - known):
+            break
+        time.sleep(0.1)
+    assert not left and written.count() == 100
+    assert spark.conf.get(CLEANUP, None) == before
