@@ -30,6 +30,11 @@ ORDER = 5
 GRAM_HEAD_SHARE = 2.0**-24
 HEAD_SHARE = 2.0**-20
 SMOOTHING = 0.1
+#: Bytes of text in one numpy step, words that a counting task holds, and rows that Spark hands to Python at once. Workers
+#: are used again and keep the memory they once needed: it adds up over the steps, beside a heap that Spark has filled.
+STEP_BYTES = 1 << 18
+HELD_WORDS = 250_000
+BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,7 +80,7 @@ def words_of(data: np.ndarray, borders: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 def _normalised(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, borders = utf8(column)
-    for low, high in steps(borders):
+    for low, high in steps(borders, STEP_BYTES):
         yield low, high, *normal(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
 
 
@@ -86,7 +91,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         parts, held, rows = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(parts).group_by("word").aggregate([("n", "sum")])
+            table = pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("n", "sum")])
             return table.rename_columns(["word", "n"]).combine_chunks().to_batches()[0]
 
         for batch in batches:
@@ -96,10 +101,10 @@ def count_words(texts: DataFrame) -> DataFrame:
                 word = counts.field("values").cast(pa.binary())
                 parts.append(pa.RecordBatch.from_arrays([word, counts.field("counts")], ["word", "n"]))
                 held += len(word)
-                if held > 1_000_000:
+                if held > HELD_WORDS:
                     parts = [out()]
                     held = parts[0].num_rows
-                    if held > 500_000:
+                    if held > HELD_WORDS // 2:
                         yield parts[0]
                         parts, held = [], 0
         if held:
@@ -128,13 +133,13 @@ def distinct_in_rows(grams: np.ndarray, at: np.ndarray, borders: np.ndarray) ->
 
 
 def head_costs(counts: DataFrame, total: int) -> tuple[ppm.GramTable, np.ndarray]:
-    """Bits of the frequent grams, at most 1 / GRAM_HEAD_SHARE. Each was seen in its longest context, and codes there."""
+    """Bits of the frequent grams, at most 1 / GRAM_HEAD_SHARE, and a 0 for all others. Each was seen in its longest context, and codes there."""
     context = F.shiftrightunsigned("gram", 8).alias("context")
     head = counts.filter(F.col("n") >= total * GRAM_HEAD_SHARE).select(context, "gram", "n")
     every = counts.groupBy(context).agg(F.sum("n").alias("all"))
     table = head.join(every, "context").select("gram", "n", "all").toArrow()
     bits = -np.log2((table["n"].to_numpy() - ppm.DISCOUNT) / table["all"].to_numpy())
-    return ppm.GramTable(table["gram"].to_numpy().astype(np.uint64)), bits
+    return ppm.GramTable(table["gram"].to_numpy().astype(np.uint64)), np.append(bits, 0.0)
 
 
 def scores(documents: DataFrame, training: DataFrame, order: int = ORDER) -> DataFrame:
@@ -144,20 +149,19 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER) -> Dat
     documents every byte costs 8 bits, and base_score is that of N = V = 0.
     """
     spark = documents.sparkSession
-    words = pin(count_words(training), "words")
+    words = pin(count_words(training), "words", **BATCH)
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.sum(F.when(F.col("c") > 0, 1).otherwise(0)).alias("V"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0)).alias("ends")).first()
     total, kinds, ends = sums["N"], (sums["V"] or 0), sums["ends"]
     words = words.filter("word IS NOT NULL AND c > 0")
     # At most 1 / HEAD_SHARE rows.
     head = words.filter(F.col("c") >= total * HEAD_SHARE).toArrow()
     below = total + SMOOTHING * (kinds + 1)
-    grams = pin(count_grams(training, order).groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    grams = pin(count_grams(training, order).groupBy("gram").agg(F.sum("n").alias("n")), "grams", **BATCH)
     bytes_ = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shared = spark.sparkContext.broadcast((*head_costs(grams, bytes_), head["word"].combine_chunks(), head["c"].to_numpy()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits, names, counts = shared.value
-        bits = np.append(bits, 0.0)
         each = np.append(np.log10((counts + SMOOTHING) / below), 0.0)
         end = np.log10((ends + SMOOTHING) / below)
         row_id = secrets.randbits(62)
@@ -190,7 +194,7 @@ def scores(documents: DataFrame, training: DataFrame, order: int = ORDER) -> Dat
 
     schema = "row_id bigint, doc_id bigint, n_tokens bigint, n_head bigint, head_score double, head_bits double, rare array<binary>, odd array<struct<gram: bigint, n: bigint>>"
     # Row numbers are drawn once, and fixed by writing them.
-    scored = pin(documents.select("doc_id", "text").mapInArrow(score, schema), "lm-scores")
+    scored = pin(documents.select("doc_id", "text").mapInArrow(score, schema), "lm-scores", **BATCH)
     rare = scored.select("row_id", F.explode("rare").alias("word")).join(words.filter(F.col("c") < total * HEAD_SHARE), "word")
     rare = rare.groupBy("row_id").agg(F.count("*").alias("known"), F.sum(F.log10((F.col("c") + SMOOTHING) / below) - float(np.log10(SMOOTHING / below))).alias("gain"))
     odd = scored.select("row_id", F.explode("odd").alias("odd")).select("row_id", "odd.*")

@@ -30,6 +30,8 @@ from postbag.session import pin
 DISCOUNT = 0.3
 #: Distinct grams that a counting task holds before it passes their counts on.
 HELD_GRAMS = 1_000_000
+#: Of HELD_GRAMS, a task that prices grams holds one part in so many at a time: a trie has many more columns than counts have.
+PRICED_SHARE = 4
 #: Bytes of grams short enough for every task to hold all of them.
 SHORT = 3
 
@@ -48,11 +50,20 @@ def padded(data: np.ndarray, borders: np.ndarray, order: int) -> tuple[np.ndarra
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
+    keys = keys[order]
+    counts = counts[order]
+    del order
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 class GramCounter:
     """Counts grams over many calls; gives its counts away when it holds too many."""
 
@@ -69,7 +80,11 @@ class GramCounter:
 
     def _merge(self) -> None:
         if len(self.parts) > 1:
-            self.parts = [merged(np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts]))]
+            # What is joined goes before it is sorted: workers keep what they once held.
+            keys = [k for k, _ in self.parts]
+            counts = [c for _, c in self.parts]
+            self.parts = []
+            self.parts = [merged(joined(keys), joined(counts))]
             self.held = len(self.parts[0][0])
 
     def full(self) -> bool:
@@ -102,12 +117,12 @@ def trie_counts(grams: DataFrame, order: int, least_share: float, by: list[str])
 
 
 class Trie:
-    """Context statistics of one model, from counts by gram length (1 to order + 1)."""
+    """Context statistics of one model, from counts by gram length (1 to order + 1); the first lengths may be those of ``short``."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        above: tuple[np.ndarray, np.ndarray] | None = None
-        for length, (keys, counts) in enumerate(levels, 1):
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], short: Trie | None = None):
+        self.levels = list(short.levels) if short else []
+        above = self.levels[-1][:2] if self.levels else None
+        for length, (keys, counts) in enumerate(levels, len(self.levels) + 1):
             sort = np.argsort(keys)
             keys, counts = keys[sort].astype(np.uint64), counts[sort].astype(np.float64)
             contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
@@ -149,20 +164,19 @@ class Trie:
 
 
 class GramTable:
-    """The place of each of some distinct grams; a table with open addresses, at most half full."""
+    """The place of each of some distinct grams; a table of places with open addresses, at most half full."""
 
     def __init__(self, grams: np.ndarray):
         self.shift = np.uint64(64 - max(4, int(2 * len(grams)).bit_length()))
-        self.keys = np.full(1 << (64 - int(self.shift)), np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.rows = np.full(len(self.keys), -1, np.int32)
+        self.keys = np.append(grams, np.uint64(0xFFFFFFFFFFFFFFFF))  # the last one stands for free slots
+        self.rows = np.full(1 << (64 - int(self.shift)), -1, np.int32)
         left, slot = np.arange(len(grams)), self._slot(grams)
         while len(left):
             free = self.rows[slot] < 0
             taken, first = np.unique(slot[free], return_index=True)
             self.rows[taken] = left[free][first]
-            self.keys[taken] = grams[left[free][first]]
-            wait = self.keys[slot] != grams[left]
-            left, slot = left[wait], (slot[wait] + 1) % len(self.keys)
+            wait = self.rows[slot] != left
+            left, slot = left[wait], (slot[wait] + 1) % len(self.rows)
 
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
@@ -170,15 +184,17 @@ class GramTable:
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Places of ``grams``, or -1."""
         slot = self._slot(grams)
-        found = self.keys[slot]
-        rows = np.where(found == grams, self.rows[slot], -1)
-        look = np.flatnonzero((found != grams) & (self.rows[slot] >= 0))
+        rows = self.rows[slot]
+        look = np.flatnonzero((self.keys[rows] != grams) & (rows >= 0))
+        slot = slot[look]
+        rows[look] = -1
         while len(look):
-            slot[look] = (slot[look] + 1) % len(self.keys)
-            found = self.keys[slot[look]]
-            same = found == grams[look]
-            rows[look[same]] = self.rows[slot[look[same]]]
-            look = look[~same & (self.rows[slot[look]] >= 0)]
+            slot = (slot + 1) % len(self.rows)
+            own = self.rows[slot]
+            same = self.keys[own] == grams[look]
+            rows[look[same]] = own[same]
+            on = ~same & (own >= 0)
+            look, slot = look[on], slot[on]
         return rows
 
 
@@ -242,26 +258,31 @@ def costs(counts: DataFrame, asked: DataFrame, levels: list[tuple[np.ndarray, np
     shared = counts.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = Trie(shared.value)
+
         def priced(grams: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             known = n > 0
             longer = [(grams[known], n[known])]
             for length in range(order, short, -1):
                 longer.insert(0, _shorter(longer[0][0], length))
             wanted = grams[~known]
-            return pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int64)), pa.array(Trie([*shared.value, *longer]).bits(wanted))], ["gram", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(wanted.astype(np.int64)), pa.array(Trie(longer, below).bits(wanted))], ["gram", "bits"])
 
-        parts, held = [], 0
+        least = HELD_GRAMS // PRICED_SHARE
+        parts, held, most = [], 0, least
         for batch in batches:
             parts.append((batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()))
             held += batch.num_rows
-            if held > HELD_GRAMS:
+            if held > most:
                 grams, n = (np.concatenate(x) for x in zip(*parts))
                 # The last context may go on in the next batch.
                 ends = (grams >> np.uint64(8)) & np.uint64((1 << 8 * short) - 1)
                 whole = int(np.flatnonzero(ends != ends[-1])[-1]) + 1 if (ends != ends[-1]).any() else 0
                 if whole:
                     yield priced(grams[:whole], n[:whole])
-                parts, held = [(grams[whole:], n[whole:])], len(grams) - whole
+                parts, held = [(grams[whole:].copy(), n[whole:].copy())], len(grams) - whole
+                # A context of many grams is not joined again with every batch.
+                most = max(least, 2 * held)
         if held:
             yield priced(*(np.concatenate(x) for x in zip(*parts)))
 

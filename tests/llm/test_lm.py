@@ -7,9 +7,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from postbag.llm import lm
+from postbag.llm import lm, ppm
 from postbag.llm.common import utf8
-from tests.llm.test_ppm import bits_one_by_one
+from tests.llm.test_ppm import bits_one_by_one, traced
 
 SCHEMA = "doc_id bigint, text string, word string, score string, c string"
 TEXTS = ["The cat sat.", "  THE\tÉcat\n\n cat ", "", " ", "x", "the the the end", "日本 語 the"]
@@ -81,3 +81,12 @@ def test_rare_grams_count_at_any_share(spark, monkeypatch, gram_share):
     training = rows[:31]
     found = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(training, SCHEMA)).collect()}
     assert found == pytest.approx({doc_id: score for doc_id, *_, score in expected(rows, training, lm.ORDER)})
+
+
+def test_steps_over_texts_hold_little():
+    texts = pa.array(["The cat sat on the mat. " * 200] * 1000)
+    data, _ = lm.normal(*utf8(texts))
+    seen = []
+    peak = traced(lambda: seen.extend(int(borders[-1]) for *_, part, borders in lm._normalised(texts) if len(ppm.padded(part, borders, lm.ORDER)) == borders[-1]))
+    assert sum(seen) == len(data)
+    assert peak < 24 << 20

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -134,3 +135,51 @@ def test_every_language_is_learned(spark):
 def test_a_language_keeps_one_text_at_least(spark):
     rows = [(i, f"{i} x", "en") for i in range(400)]
     assert langid.training_rows(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), train_rows=0).count() == 1
+
+
+def traced(work):
+    """The most memory, in bytes, that numpy's arrays took while ``work`` ran."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_counting_holds_few_copies():
+    draw = np.random.default_rng(1)
+    parts = [draw.integers(0, 1 << 48, 200_000, dtype=np.uint64) for _ in range(6)]
+    rows = []
+    peak = traced(lambda: rows.extend(batch.num_rows for batch in ppm.counted(((None, p) for p in parts), ["name", "gram", "n"])))
+    assert sum(rows) == len(np.unique(np.concatenate(parts)))
+    # Two numbers for each gram, and as much again while they are sorted.
+    assert peak < 44 * sum(map(len, parts))
+
+
+def test_table_holds_each_gram_once():
+    grams = np.unique(np.random.default_rng(2).integers(0, 1 << 48, 70_000, dtype=np.uint64))
+    table = ppm.GramTable(grams[::2])
+    assert table.find(grams).tolist() == [i // 2 if i % 2 == 0 else -1 for i in range(len(grams))]
+    assert ppm.GramTable(grams[:0]).find(grams[:3]).tolist() == [-1] * 3
+    assert table.keys.nbytes + table.rows.nbytes <= 24 * len(grams[::2]) + 8
+
+
+@pytest.mark.parametrize("held", [4, 40, 100_000])
+def test_costs_of_a_context_of_many_grams(spark, monkeypatch, held):
+    # All contexts end in the same bytes, so that no batch ends a context, whatever a task holds at a time.
+    monkeypatch.setattr(ppm, "HELD_GRAMS", held)
+    data, borders = utf8(pa.array([f"{a}{b}same{c}" for a in "abcdefgh" for b in "xyz" for c in "pqr"]))
+    grams, n = np.unique(ppm.padded(data, borders, 5), return_counts=True)
+    counts = spark.createDataFrame([(int(g), int(k)) for g, k in zip(grams, n)], "gram bigint, n bigint")
+    asked = np.unique(ppm.padded(*utf8(pa.array(["axsames", "kzsamep", "other"])), 5))
+    asked = asked[~np.isin(asked, grams)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = {r.gram: r.bits for r in ppm.costs(counts, spark.createDataFrame([(int(g),) for g in asked], "gram bigint"), ppm.short_levels(counts, 5), 5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    levels = [(grams, n)]
+    for length in range(5, 0, -1):
+        levels.insert(0, ppm._shorter(levels[0][0], length))
+    assert found == pytest.approx(dict(zip(asked.tolist(), ppm.Trie(levels).bits(asked))))

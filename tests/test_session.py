@@ -1,6 +1,7 @@
 import time
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from postbag.session import CLEANUP, pin, shared_path, spread
@@ -28,6 +29,19 @@ def test_pin_fixes_what_is_random(spark):
     assert pinned.count() == 100
 
 
+def test_settings_hold_while_rows_are_written(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    pinned = pin(spark.range(0, 100, 1, 2).mapInArrow(sizes, "n bigint"), "sizes", spark__sql__execution__arrow__maxRecordsPerBatch="10")
+    assert [r.n for r in pinned.collect()] == [10] * 10
+    assert spark.conf.get(key) == before
+
+
 def test_spread_leaves_enough_splits_alone(spark):
     assert spread(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() == 50
     assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 8
