@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postbag.llm import ppm
-from postbag.llm.common import fold, steps, utf8
+from postbag.llm.common import SMALL_STEP_BYTES, fold, pieces, steps, utf8
 from postbag.session import pin
 
 ORDER = 4
@@ -58,7 +58,7 @@ def learn(labelled: DataFrame, order: int = ORDER, train_rows: int = TRAIN_ROWS)
                 for lang in batch.column(1).unique().to_pylist():
                     own = batch.filter(pa.compute.equal(batch.column(1), lang))
                     data, borders = utf8(own.column(0))
-                    for low, high in steps(borders):
+                    for low, high in steps(borders, SMALL_STEP_BYTES):
                         yield lang, ppm.padded(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low], order)
 
         yield from ppm.counted(parts(), ["lang", "gram", "n"])
@@ -87,11 +87,11 @@ def identify(documents: DataFrame, languages: Languages, text: Column | None = N
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, model = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             data, borders = utf8(batch.column(1))
             bits = np.zeros((batch.num_rows, max(1, len(names))))
             if names:
-                for low, high in steps(borders):
+                for low, high in steps(borders, SMALL_STEP_BYTES):
                     bits[low:high] = model.bits(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]

@@ -23,18 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postbag.llm import ppm
-from postbag.llm.common import fold, row_sums, steps, utf8
+from postbag.llm.common import BATCH, SMALL_STEP_BYTES, fold, row_sums, steps, utf8
 from postbag.session import pin
 
 ORDER = 5
 GRAM_HEAD_SHARE = 2.0**-24
 HEAD_SHARE = 2.0**-20
 SMOOTHING = 0.1
-#: Bytes of text in one numpy step, words that a counting task holds, and rows that Spark hands to Python at once. Workers
-#: are used again and keep the memory they once needed: it adds up over the steps, beside a heap that Spark has filled.
-STEP_BYTES = 1 << 18
+#: Words that a counting task holds.
 HELD_WORDS = 250_000
-BATCH = {"spark__sql__execution__arrow__maxRecordsPerBatch": "1000"}
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -80,7 +77,7 @@ def words_of(data: np.ndarray, borders: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 def _normalised(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, borders = utf8(column)
-    for low, high in steps(borders, STEP_BYTES):
+    for low, high in steps(borders, SMALL_STEP_BYTES):
         yield low, high, *normal(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low])
 
 

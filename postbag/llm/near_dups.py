@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postbag.llm.common import Scratch, steps, utf8
+from postbag.llm.common import BATCH, SMALL_STEP_BYTES, Scratch, steps, utf8
 from postbag.session import pin
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -166,7 +166,7 @@ def band_keys(first_darts: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
 def _sets(column: pa.Array, counted: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Shingle sets of the rows, some rows at a time."""
     data, borders = utf8(column)
-    for low, high in steps(borders):
+    for low, high in steps(borders, SMALL_STEP_BYTES):
         yield shingle_sets_of(*word_hashes_apart(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low]), counted)
 
 
@@ -390,7 +390,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, counte
     equal texts are always in one class, NULL and empty texts too. class_id is its least doc_id (NULL, if none has
     one). ``kept`` marks the documents with the least text_id among those with that doc_id.
     """
-    rows = pin(signatures(documents, counted), "signatures")
+    rows = pin(signatures(documents, counted), "signatures", **BATCH)
     scratch = Scratch(documents.sparkSession, "near-dups")
     texts = scratch.pin(rows.groupBy("text_id").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     labels = classes_of(texts, documents, scratch, similarity, counted)

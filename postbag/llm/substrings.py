@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from postbag.llm.common import steps, utf8
+from postbag.llm.common import BATCH, SMALL_STEP_BYTES, pieces, steps, utf8
 from postbag.llm.near_dups import SPACE, mix, powers, word_hashes_apart
 from postbag.session import pin
 
@@ -130,7 +130,7 @@ def _anchor_rows(documents: DataFrame, words: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, borders = utf8(batch.column(2))
-            for low, high in steps(borders):
+            for low, high in steps(borders, SMALL_STEP_BYTES):
                 row, _, at, digest, _ = windows(data[borders[low] : borders[high]], borders[low : high + 1] - borders[low], words)
                 # A window's anchor is mostly that of the one before.
                 fresh = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1]))) if len(row) else row
@@ -147,7 +147,7 @@ def _window_rows(documents: DataFrame, words: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, borders = utf8(batch.column(1))
-            for low, high in steps(borders):
+            for low, high in steps(borders, SMALL_STEP_BYTES):
                 own, ends_of = data[borders[low] : borders[high]], borders[low : high + 1] - borders[low]
                 row, first, at, _, digest = windows(own, ends_of, words)
                 lists = batch.column(2)[low:high]
@@ -183,16 +183,16 @@ def repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     shared = anchors.groupBy("digest").agg(F.min(document).alias("first_doc"), F.max(document).alias("last_doc"))
     shared = shared.filter(~F.col("first_doc").eqNullSafe(F.col("last_doc"))).select("digest")
     # Written, so that rows of a digest that many documents have can be split over tasks when joined.
-    shared = pin(shared, "anchors")
+    shared = pin(shared, "anchors", **BATCH)
     places = anchors.join(shared, "digest").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("anchors"))
     # Windows bear a number that orders documents, in place of the id and a hash, which would not compress.
-    places = pin(places.orderBy("doc_id", "text_hash").withColumn("doc", F.monotonically_increasing_id()), "places")
+    places = pin(places.orderBy("doc_id", "text_hash").withColumn("doc", F.monotonically_increasing_id()), "places", **BATCH)
     id_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key")
     listed = places.select(id_key, F.col("text_hash").alias("hash_key"), "doc", "anchors")
     whole = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_hash().alias("text_hash"), "text")
     whole = whole.withColumn("id_key", id_key).withColumn("hash_key", F.col("text_hash"))
     whole = whole.join(listed.hint("shuffle_hash"), ["id_key", "hash_key"]).select("doc", "text", "anchors")
-    rows = pin(_window_rows(whole, words), "windows")
+    rows = pin(_window_rows(whole, words), "windows", **BATCH)
     kept = rows.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last_doc"))
     kept = pin(kept.filter("first.doc <> last_doc").select("digest", "first"), "kept-windows")
     found = rows.join(kept, "digest").filter("doc <> first.doc")
@@ -221,7 +221,7 @@ def without_repeats(documents: DataFrame, words: int = WORDS) -> DataFrame:
     joined = whole.join(spans.hint("shuffle_hash"), ["id_key", "hash_key"], "left").select("doc.*", F.col("spans").alias("__spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index("text")
             spans, texts = batch.column(batch.num_columns - 1), batch.column(at).to_pylist()
             for row in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():

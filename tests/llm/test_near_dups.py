@@ -4,9 +4,11 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postbag.llm import near_dups as nd
+from tests.llm.test_ppm import traced
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, text_id string, kept string, bucket string, m string"
 CLASH = ("l", "s", 1, "x", "y", "z", "w")
@@ -183,3 +185,10 @@ def test_a_bucket_ends_with_the_texts_outside_its_largest_class(spark, monkeypat
     classes, _ = brute(rows)
     assert found == {r[0]: classes[r[1]] for r in rows} and len(set(found.values())) > 1
     assert 1 <= len(rounds) <= most_rounds and (outside or len(rounds) > 1)
+
+
+def test_steps_over_texts_hold_little():
+    texts = pa.array([" ".join(f"w{i * k % 9973}" for k in range(400)) for i in range(2000)])
+    seen = []
+    peak = traced(lambda: seen.extend(len(borders) - 1 for *_, borders in nd._sets(texts, True)))
+    assert sum(seen) == len(texts) and peak < 32 << 20

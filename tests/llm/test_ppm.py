@@ -112,6 +112,22 @@ def test_without_training(spark, rows):
     assert langid.language_digests(documents.limit(0)).collect() == []
 
 
+def test_large_batches_are_told_alike(spark, rows):
+    languages = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    many = [(i, None if i % 9 == 0 else rows[i % len(rows)][1][: i % 90], *rows[0][2:]) for i in range(2500)]
+    documents = spark.createDataFrame(many, SCHEMA).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for most in ("100", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found.append(sorted(langid.identify(documents, languages).collect(), key=lambda r: r.doc.doc_id))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1]
+    assert [(r.doc.doc_id, r.doc.text) for r in found[1]] == [r[:2] for r in many]
+
+
 def test_training_sample_is_bounded(spark, rows):
     labelled = spark.createDataFrame(rows, SCHEMA)
     assert 20 < langid.training_rows(labelled, train_rows=30).count() < 100

@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 
 from postbag.llm import substrings as sub
-from postbag.llm.common import utf8
+from postbag.llm.common import BATCH_ROWS, pieces, utf8
+from tests.llm.test_ppm import traced
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, seq string, digest string, first_doc string"
 CLASH = ("l", "s", 1, "x", "y", "z")
@@ -135,3 +136,50 @@ def test_exact_ends_and_no_shorter_passages(spark):
 def test_windows_bear_a_number_for_the_document():
     """Its id and a hash of its text, which would not compress, are not shuffled with every window."""
     assert [c.split()[0] for c in sub.WINDOWS.split(", ")] == ["doc", "at", "start", "end", "digest"]
+
+
+class Rows:
+    """In place of a table: gives the function that its rows would go through."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+@pytest.mark.parametrize("make", [sub._anchor_rows, sub._window_rows])
+def test_steps_over_texts_hold_little(spark, make):
+    texts = pa.array([" ".join(words(random.Random(i), 400)) for i in range(2000)])
+    ids = pa.array(range(len(texts)))
+    columns = [ids, ids, texts] if make is sub._anchor_rows else [ids, texts, pa.array([[0]] * len(texts), pa.list_(pa.int32()))]
+    batch = pa.RecordBatch.from_arrays(columns, ["a", "b", "c"])
+    seen = []
+    peak = traced(lambda: seen.extend(part.num_rows for part in make(Rows(), sub.WORDS)(iter([batch]))))
+    assert len(seen) > 12 and peak < 24 << 20
+
+
+def test_batches_come_in_pieces():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * BATCH_ROWS + 7))], ["n"])
+    parts = list(pieces(iter([batch[:0], batch, batch[:3]])))
+    assert [p.num_rows for p in parts] == [BATCH_ROWS, BATCH_ROWS, 7, 3]
+    assert pa.Table.from_batches(parts[:3])["n"].to_pylist() == list(range(batch.num_rows))
+
+
+def test_large_batches_are_cut_alike(spark):
+    draw = random.Random(5)
+    passage = words(draw, 60)
+    rows = [(i, None if i % 7 == 0 else " ".join(words(draw, i % 5) + passage * (i % 3 == 0) + ["é"]), *CLASH) for i in range(2500)]
+    documents = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for most in ("100", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found.append(sorted(sub.without_repeats(documents).collect(), key=lambda r: r.doc_id))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1]
+    # The first document with the passage keeps it.
+    assert [r.doc_id for r in found[1] if passage[9] in (r.text or "")] == [3]
+    assert sum(r.text is None for r in found[1]) == sum(r[1] is None for r in rows)
